@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+from tessera.plans import table_queries, text_queries
+
+MODULES = [text_queries, table_queries]
 
 
 def queries() -> dict[str, Callable]:
-    return _QUERIES
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
