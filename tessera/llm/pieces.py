@@ -15,12 +15,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import table
 
 MARK = "▁"
+#: Characters of texts whose ids are held before they are passed on, about.
+SLICE = 1_000_000
 
 
 @dataclass
@@ -107,7 +110,7 @@ class Codec:
                 below, x = (rx, 0), halves[x][1]
             else:
                 below, y = (ry, 1), halves[y][0]
-        if len(self.pairs) >= 2_000_000:
+        if len(self.pairs) >= 1_000_000:
             self.pairs.clear()
         self.pairs[a, b] = ok
         return ok
@@ -191,7 +194,7 @@ class Codec:
 class Chunks(dict):
     """Ids, as text, of each chunk seen, ``before`` and a key. Each new chunk's ids are decoded too: those that don't give the chunk again go to the codec's odd."""
 
-    limit = 900_000
+    limit = 600_000
 
     def __init__(self, codec: Codec, before: str = ""):
         super().__init__()
@@ -244,8 +247,11 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, column
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(shared)
         for b in batches:
-            out = [row(codec, t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"]} | {c: [x[i] for x in out] for i, c in enumerate(names)})
+            size = b["text"].str.len().fillna(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(b)]):
+                out = [row(codec, t) for t in b["text"].iloc[x:y]]
+                yield pd.DataFrame({"id": b["id"].iloc[x:y].reset_index(drop=True)} | {c: pd.Series([z[i] for z in out], dtype=object) for i, c in enumerate(names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
@@ -257,7 +263,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def row(codec: Codec, text: str | None) -> tuple:
         ids = codec.encode(text)
-        return len(ids), ids, codec.decode(ids)
+        return len(ids), np.array(ids, np.int32), codec.decode(ids)
 
     return _mapped(docs, model_path, id_col, text_col, "n_tokens long, ids array<int>, decoded string", row)
 
