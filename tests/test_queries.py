@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("-" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df.astype(object).values.tolist())
+    return sorted(tuple("-" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df.astype(object).values.tolist())
 
 
 @pytest.fixture(scope="module")
