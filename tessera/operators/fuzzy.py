@@ -36,3 +36,17 @@ def partial_ratios(a: Column, b: Column) -> Column:
         return pd.Series([partial_ratio(p or "", q or "") for p, q in zip(x, y)])
 
     return score(a, b)
+
+
+def ratios(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([ratio(p or "", q or "") for p, q in zip(x, y)])
+
+    return score(a, b)
+
+
+def plain_name(name: Column) -> Column:
+    """A file's name for comparison: lower case, without its suffix, marks as spaces, runs of spaces as one."""
+    bare = F.regexp_replace(F.lower(name), r"\.[a-z0-9]{1,5}$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[_\-()\[\].]", " "), r"\s+", " "))

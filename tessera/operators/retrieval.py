@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.stem import stems
 
 K1, B, RRF, CANDIDATES = 1.2, 0.75, 60.0, 80
 #: Rows of a query side up to which it is broadcast; larger ones are joined by a shuffle.
@@ -32,18 +33,20 @@ def top(scored: DataFrame, k: int, key: str = "qid", score: str = "score", tie:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def query_terms(queries: DataFrame, least: int = 1) -> DataFrame:
+def query_terms(queries: DataFrame, least: int = 1, stemmed: bool = False) -> DataFrame:
     """(qid, term, times): a token repeated in a query counts once for each repetition."""
-    t = queries.select("qid", F.explode(T.tokens(F.col("query"))).alias("term"))
+    words = T.tokens(F.col("query"))
+    t = queries.select("qid", (stems(words) if stemmed else words).alias("t")).select("qid", F.explode("t").alias("term"))
     return t.where(F.length("term") >= least).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool = True, n_queries: int | None = None) -> DataFrame:
+def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool = True, n_queries: int | None = None, stemmed: bool = False, every: bool = False) -> DataFrame:
     """(qid, id, score, rank): BM25 over filename and content; with prefix, a query token stands for all words that start with it,
-    as one term whose frequency and document count are those of all of them together."""
+    as one term whose frequency and document count are those of all of them together. stemmed: texts and queries by Porter stems,
+    a query's before its prefixes are looked up. every: only texts that hold all of a query's terms."""
     body = F.concat(T.tokens(F.col("filename")), T.tokens(F.col("content")))
-    docs = files.select("id", body.alias("t"))
-    terms = query_terms(queries)
+    docs = files.select("id", (stems(body) if stemmed else body).alias("t"))
+    terms = query_terms(queries, stemmed=stemmed)
     wanted = terms.select("term").distinct()
     if prefix:
         lengths = wanted.agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))  # at most as many as words are long
@@ -56,8 +59,10 @@ def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool
     found = postings.groupBy("term").agg(F.count("*").alias("df"))
     weights = terms.join(hint(found, n_queries), "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
     part = F.col("w") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = postings.join(hint(weights, n_queries), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top(scored, k)
+    scored = postings.join(hint(weights, n_queries), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("held"))
+    if every:
+        scored = scored.join(hint(terms.groupBy("qid").agg(F.count("*").alias("held")), n_queries), ["qid", "held"])
+    return top(scored.drop("held"), k)
 
 
 def trigram(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, n_queries: int | None = None) -> DataFrame:

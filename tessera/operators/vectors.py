@@ -71,3 +71,36 @@ def greedy_distinct(frames: DataFrame, threshold: float = 0.85, most: int = 80,
         return pd.DataFrame(ids, columns=[group, "id"])
 
     return frames.groupBy(group).applyInPandas(keep, f"{group} {frames.schema[group].dataType.simpleString()}, id long")
+
+
+def hash_embed_md5(tokens: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, slot, value) of (id, term) rows: the hashed embedding in sparse form, on the JVM, with md5 as its hash. Norm 1 an id."""
+    h = tokens.select("id", F.md5("term").alias("h"))
+    number = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("int")
+    h = h.select("id", (number(1, 4) % dim).alias("slot"), (F.when(number(5, 1) % 2 == 1, 1.0).otherwise(-1.0) * (1 + number(6, 4) % 100 / 400)).alias("x"))
+    sums = h.groupBy("id", "slot").agg(F.sum("x").alias("x"))
+    return sums.select("id", "slot", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))).alias("value"))
+
+
+def nearest_approx(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 48, bits: int = 6, seed: int = 3) -> DataFrame:
+    """(qid, id, score, rank) by cosine among rows that share a bucket with the query: in each of ``tables`` tables a bucket is the signs
+    of ``bits`` random projections. Candidates are scored exactly; vectors are shuffled as bucket numbers, then met again by id."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(6)
+
+    def buckets(v: Column) -> Column:
+        @F.pandas_udf("array<long>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                x = np.stack(b.to_numpy()).astype(float) if len(b) else np.empty((0, dim))
+                signs = np.einsum("nd,tbd->ntb", x, planes) > 0
+                numbers = (signs << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
+                yield pd.Series(list(numbers.astype(np.int64)))
+
+        return run(v)
+
+    of_rows = vectors.select("id", F.explode(buckets(F.col("embedding"))).alias("b"))
+    of_queries = queries.select("qid", F.explode(buckets(F.col("q"))).alias("b"))
+    met = of_rows.join(of_queries, "b").select("qid", "id").distinct()
+    scored = met.join(vectors, "id").join(queries, "qid").select("qid", "id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
