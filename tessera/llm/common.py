@@ -85,7 +85,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word's bytes; kept for words seen before, up to ``limit`` of them."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -32,7 +32,7 @@ from tessera.llm.common import WordHashes, components, cut, roots, shingle_hashe
 
 WIDTH, SHARE = 5, (75, 100)
 #: Tokens that a map task packs together, and a reduce task sorts at once, about.
-PACK, BUCKET = 1_000_000, 6_000_000
+PACK, BUCKET = 500_000, 3_000_000
 #: Tokens in a cell, or a group of small cells, at most, before cells are cut into tiles.
 CELL = 2_000_000
 #: Texts whose ids may be broadcast to find them again; more are found by a shuffled join.

@@ -110,7 +110,7 @@ class Codec:
                 below, x = (rx, 0), halves[x][1]
             else:
                 below, y = (ry, 1), halves[y][0]
-        if len(self.pairs) >= 1_000_000:
+        if len(self.pairs) >= 200_000:
             self.pairs.clear()
         self.pairs[a, b] = ok
         return ok
@@ -194,7 +194,7 @@ class Codec:
 class Chunks(dict):
     """Ids, as text, of each chunk seen, ``before`` and a key. Each new chunk's ids are decoded too: those that don't give the chunk again go to the codec's odd."""
 
-    limit = 600_000
+    limit = 150_000
 
     def __init__(self, codec: Codec, before: str = ""):
         super().__init__()

@@ -10,6 +10,7 @@ are not toxic. A logistic curve, fitted to labelled texts that took no part in t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,7 @@ class Model:
 class WordScores(dict):
     """A word's score: its own, or else that of the longest of its starts that has one; words seen before are kept, up to a bound."""
 
-    limit = 500_000
+    limit = 100_000
 
     def __init__(self, scores: dict[str, float], other: float):
         super().__init__()
@@ -153,9 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, y) for t, y in zip(b["text"], b["y"]) for w in {""} | terms(t)]
-            one = pd.DataFrame(rows, columns=["w", "y"]).groupby("w")["y"].agg(["sum", "count"]).reset_index()
-            yield pd.DataFrame({"w": one["w"], "toxic": one["sum"].astype("int64"), "texts": one["count"].astype("int64")})
+            texts, toxic = Counter(), Counter()
+            for t, y in zip(b["text"], b["y"]):
+                found = {""} | terms(t)
+                texts.update(found)
+                if y:
+                    toxic.update(found)
+            yield pd.DataFrame({"w": list(texts), "toxic": [toxic[w] for w in texts], "texts": list(texts.values())})
 
     counts = texts.where("scores").select("text", "y").mapInPandas(tokens, "w string, toxic long, texts long")
     counts = counts.groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
