@@ -245,12 +245,16 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, column
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(shared)
+        codec, last, result = codec_of(shared), (), None
         for b in batches:
             size = b["text"].str.len().fillna(0).to_numpy()
             cuts = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
             for x, y in zip([0, *cuts], [*cuts, len(b)]):
-                out = [row(codec, t) for t in b["text"].iloc[x:y]]
+                out = []
+                for t in b["text"].iloc[x:y]:
+                    if t != last:  # a mix's copies of a document follow each other
+                        last, result = t, row(codec, t)
+                    out.append(result)
                 yield pd.DataFrame({"id": b["id"].iloc[x:y].reset_index(drop=True)} | {c: pd.Series([z[i] for z in out], dtype=object) for i, c in enumerate(names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
