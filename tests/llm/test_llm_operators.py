@@ -185,3 +185,40 @@ def test_mixing(spark):
     assert got.sort_values("doc_id")["copies"].tolist() == mixing.copies(docs).toPandas().sort_values("doc_id")["copies"].tolist()
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == got["copies"].sum()
     assert mixing.copies(docs.limit(0)).count() == 0
+
+
+def crowd():
+    """Lines of one template that share much and are mostly below the similarity, and near copies of each."""
+    import random
+
+    pick = random.Random(7)
+    words = [f"{a}{b}{c}" for a in ("bra", "chi", "del", "fox", "gol") for b in ("vo", "mer", "tan", "lis") for c in ("na", "rek", "sum", "ton")]
+    frame = pick.sample(words, 24)
+    lines = []
+    for _ in range(60):
+        line = frame.copy()
+        for i in pick.sample(range(24), 5):
+            line[i] = pick.choice(words)
+        near = line.copy()
+        near[pick.randrange(24)] = pick.choice(words)
+        lines += [" ".join(line), " ".join(near)]
+    return lines
+
+
+def test_lines_of_crowded_bands_are_compared_in_full(spark):
+    """Lines removed are those that all pairs of one template's lines would have removed; no pair within a component is made."""
+    lines = crowd()
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    sets = {r.doc_id: set(r.s) for r in df.select("doc_id", line_dedup.shingles("text").alias("s")).collect()}
+    true = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])]
+    root = roots(len(lines), *np.array(true).T)
+    expected = {i for i in sets if root[i] != i}
+    got = {r.doc_id for r in line_dedup.duplicate_lines(df).collect()}
+    assert len(expected) > 30 and got <= expected and len(got) >= 0.95 * len(expected)
+
+    members = spark.createDataFrame([(i, 1, 120) for i in range(120)], "key long, band long, size long")
+    compared = spark.createDataFrame([(0, 1)], "a long, b long")
+    none = spark.createDataFrame([], "node long, component long")
+    assert line_dedup.unsettled(members, none, compared).count() == 120 * 119 // 2 - 1
+    twos = spark.createDataFrame([(i, i // 2 * 2) for i in range(120)], "node long, component long")
+    assert line_dedup.unsettled(members, twos, compared).count() == 120 * 118 // 2
