@@ -222,3 +222,11 @@ def test_lines_of_crowded_bands_are_compared_in_full(spark):
     assert line_dedup.unsettled(members, none, compared).count() == 120 * 119 // 2 - 1
     twos = spark.createDataFrame([(i, i // 2 * 2) for i in range(120)], "node long, component long")
     assert line_dedup.unsettled(members, twos, compared).count() == 120 * 118 // 2
+
+
+def test_lines_that_differ_in_case_or_short_words(spark):
+    line = "Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima"
+    short = "go to it as we do so on up at my ex or an ax"
+    df = spark.createDataFrame([(1, line), (2, line.upper()), (3, short), (4, short.title())], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.duplicate_lines(df).collect()} == {2, 4}
+    assert line_dedup.HASHES >= 5
