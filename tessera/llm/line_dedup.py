@@ -1,12 +1,12 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations only.
 
 Equal lines are collapsed first, by keys and bands alone: no text is dealt out for that. The shingles of a line, in lower case, are
-the runs of up to 10 characters that start with each of its words; five min-hashes of them, taken two at a time, give ten bands.
-Lines that share a band are candidates: each with the first of its band and with the one before it, so a band of any size
+its runs of 10 characters from every place (a shorter line is one shingle); five min-hashes of them, taken two at a time, give ten
+bands. Lines that share a band are candidates: each with the first of its band and with the one before it, so a band of any size
 costs a linear number of pairs at first. Candidates are verified by the exact Jaccard similarity of their shingle sets and links are
 joined by distributed union-find; then all pairs that share a band and aren't in one component yet are verified too. So components
-are those of all pairs that share a band. Of each only the first line, by document and place, stays. Two lines of similarity 0.75 share a
-band with probability 0.98, of 0.85 with 0.998; every line that is equal to an earlier one is found.
+are those of all pairs that share a band. Of each only the first line, by document and place, stays. Two lines of similarity 0.75
+share a band with probability 0.98, of 0.85 with 0.998; every line that is equal to an earlier one is found.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, cut_table, table
 
 SIMILARITY, CHARACTERS, HASHES = 0.75, 10, 5
-#: Lines of fewer shingles are only compared for equality.
-LEAST = 5
 #: Lines whose keys may be broadcast to find them again; more are found by a shuffled join.
 BROADCAST = 500_000
 
 
 def shingles(line: str, characters: int = CHARACTERS) -> Column:
-    # The word is passed over once its shingle is taken: no place within it is tried.
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{characters - 1}}}+))\S++"), F.lit(1))
+    low = F.lower(line)
+    return F.when(F.length(low) < characters, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{characters}}}))."), F.lit(1)))
+
+
+def hashes_of(line: str) -> Column:
+    return F.transform(shingles(line), lambda s: F.xxhash64(s))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,17 +45,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each holds at the same place counts once. Should two different lines share a 64-bit key, both stay.
     """
     lines = occurrences(docs, id_col, text_col)
-    hashed = lines.select("id", "pos", "key", F.xxhash64(F.lit(1), "line").alias("check"), F.transform(shingles("line"), lambda s: F.xxhash64(s)).alias("h"))
-    # Columns of their own: within the condition below, each would be computed once for every band that takes it.
-    least = [F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(c)))).alias(f"least{i}") for i, c in enumerate(seeds(hashes))]
-    hashed = hashed.select("id", "pos", "key", "check", F.size("h").alias("n"), *least)
-    bands = F.array(*[F.xxhash64(F.lit(a * hashes + b), f"least{a}", f"least{b}") for a, b in combinations(range(hashes), 2)])
-    hashed = cut_table(hashed.select("id", "pos", "key", "check", F.when(F.col("n") >= LEAST, bands).alias("bands")))
-    distinct = hashed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    distinct = cut_table(distinct.where("c0 = c1").select("key", "first", "n", "bands"))
+    hashed = lines.select("id", "pos", "key", F.xxhash64(F.lit(1), "line").alias("check"), hashes_of("line").alias("h"))
+    # Columns of their own: else each would be computed once for every one that takes it. The largest of the numbers is a min-hash too,
+    # that of the seed's complement.
+    mixes = [F.transform("h", lambda h: h.bitwiseXOR(F.lit(c))).alias(f"h{i}") for i, c in enumerate(seeds((hashes + 1) // 2))]
+    hashed = hashed.select("id", "pos", "key", "check", *mixes)
+    least = [F.hash((F.array_max if i % 2 else F.array_min)(f"h{i // 2}")).alias(f"least{i}") for i in range(hashes)]
+    hashed = cut_table(hashed.select("id", "pos", "key", "check", *least))
+    names = [f"least{i}" for i in range(hashes)]
+    distinct = hashed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in names], F.min("check").alias("c0"), F.max("check").alias("c1"))
+    distinct = cut_table(distinct.where("c0 = c1").select("key", "first", "n", *names))
 
     in_band = Window.partitionBy("band").orderBy("key")
-    members = distinct.select("key", F.explode("bands").alias("band"))
+    bands = F.array(*[F.xxhash64(F.lit(a * hashes + b), f"least{a}", f"least{b}") for a, b in combinations(range(hashes), 2)])
+    members = distinct.select("key", F.explode(bands).alias("band"))
     members = members.select("key", "band", F.first("key").over(in_band).alias("head"), F.lag("key").over(in_band).alias("before"), F.count("*").over(Window.partitionBy("band")).alias("size"))
     members = cut_table(members.where("size > 1"))
     near = members.where("before is not null").select("key", F.explode(F.array_distinct(F.array("head", "before"))).alias("other"))
@@ -62,10 +67,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = cut_table(ends.select("key", F.col("first.id").alias("id"), F.col("first.pos").alias("pos")))
     whole_texts = docs.select(docs[id_col].alias("id"), F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
     held = whole_texts.join(F.broadcast(ends) if ends.count() <= BROADCAST else ends, ["id", "pos"])
-    text = cut_table(held.select("key", F.array_distinct(F.transform(shingles("line"), lambda s: F.xxhash64(s))).alias("s")))
-    links = cut_table(linked(pairs, text, similarity))
+    text = cut_table(held.select("key", "line", F.size(F.array_distinct(hashes_of("line"))).alias("n")))
+    links = linked(pairs, text, similarity)
     whole = cut_table(components(links))
-    more = cut_table(linked(unsettled(members, whole, pairs), text, similarity))
+    more = linked(unsettled(members, whole, pairs), text, similarity)
     if not more.isEmpty():
         whole = components(links.unionByName(more))
 
@@ -80,9 +85,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def linked(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b), as (u, v), whose shingle sets have at least this Jaccard similarity."""
-    both = pairs.join(text.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(text.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ends = [text.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b")]
+    # Sets of sizes further apart than the similarity can't have it.
+    both = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    shared = F.size(F.array_intersect(hashes_of("line_a"), hashes_of("line_b")))
+    # Written before the condition, which would compute the sets once for each time it names them.
+    both = cut_table(both.select("a", "b", shared.alias("shared"), (F.col("n_a") + F.col("n_b")).alias("sizes")))
+    return both.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def unsettled(members: DataFrame, whole: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -230,3 +230,16 @@ def test_lines_that_differ_in_case_or_short_words(spark):
     df = spark.createDataFrame([(1, line), (2, line.upper()), (3, short), (4, short.title())], "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.duplicate_lines(df).collect()} == {2, 4}
     assert line_dedup.HASHES >= 5
+
+
+def test_lines_are_compared_by_every_character(spark):
+    """Short lines and lines without spaces are near copies too; numbers beyond the start of a word's window count."""
+    chinese = "".join(chr(0x4E00 + 37 * i % 2000) for i in range(120))
+    heading = "Licensed under the Apache License version 2.0"
+    report = "Measured temperature humidity pressure visibility "
+    texts = [chinese, chinese[:60] + "\u4e00" + chinese[61:], heading, heading + ".", "https://example.org/a/very/long/path/to/some/page/0001", "https://example.org/a/very/long/path/to/some/page/0002"]
+    texts += [report + "12 45 77 31 90 26 58 14", report + "98 13 54 62 17 83 49 70", "ab", "AB", "cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.duplicate_lines(df).collect()} == {1, 3, 5, 9}
+    found = df.select(line_dedup.shingles("text").alias("s")).collect()
+    assert [r.s for r in found] == [[t.lower()[j : j + 10] for j in range(max(1, len(t) - 9))] for t in texts]
