@@ -34,10 +34,21 @@ def requeue(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(m, F.col("p") == F.col("path"), "left").select("path", "size", "modified", F.when(same, "FETCHED").otherwise("QUEUED").alias("state"))
 
 
-def claim(manifest: DataFrame, workers: int) -> DataFrame:
-    """Queued files in the order smallest first, dealt to workers in turn: (path, place, worker)."""
-    w = Window.orderBy(F.coalesce("size", F.lit(0)), "path")
-    q = manifest.where("state = 'QUEUED'").withColumn("place", F.row_number().over(w))
+def claim(manifest: DataFrame, workers: int, ranges: int = 32) -> DataFrame:
+    """Queued files in the order smallest first, dealt to workers in turn: (path, place, worker).
+
+    The queue is cut into ranges at files picked by a hash, which only spread the work: places are counted within each range, from
+    the number of files in the ranges before.
+    """
+    at = F.struct("size", "path")
+    q = manifest.where("state = 'QUEUED'").select("path", F.coalesce("size", F.lit(0)).alias("size"))
+    some = q.where("path is not null").orderBy(F.xxhash64("path"), "path").limit(64 * ranges).orderBy("size", "path").collect()
+    cuts = [F.struct(F.lit(r["size"]).cast(q.schema["size"].dataType).alias("size"), F.lit(r["path"]).alias("path")) for r in some[64::64]]
+    q = q.withColumn("range", sum([(at >= c).cast("int") for c in cuts], F.lit(0)))
+    counts = q.groupBy("range").agg(F.count("*").alias("n"))
+    ahead = counts.select(F.col("range"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
+    q = q.withColumn("within", F.row_number().over(Window.partitionBy("range").orderBy("size", "path")))
+    q = q.join(F.broadcast(ahead), "range").withColumn("place", F.col("ahead") + F.col("within"))
     return q.select("path", "place", F.pmod(F.col("place") - 1, F.lit(workers)).alias("worker"))
 
 

@@ -121,9 +121,12 @@ _MAN = "m as (select o_orderkey::varchar path, floor(o_totalprice)::bigint size,
 
 
 def manifest_queue(spark, d):
-    # One line for the whole queue: the first 500, of a limit before the sort's single task.
-    queued = _manifest(spark, d).where("state = 'QUEUED'").orderBy(F.coalesce("size", F.lit(0)), "path").limit(500)
-    return M.claim(queued, 4)
+    # The rows of the SQL; manifest_queue_whole has them all.
+    return manifest_queue_whole(spark, d).where("place <= 500")
+
+
+def manifest_queue_whole(spark, d):
+    return M.claim(_manifest(spark, d), 4)
 
 
 def manifest_requeue(spark, d):
@@ -259,7 +262,7 @@ def tombstones(spark, d):
 
 
 NAMES = """knn_cosine knn_angular knn_l2 hash_embed_blake2b greedy_dedup run_metrics ndcg token_reduction upsert_newest unchanged_skip stale_rows resume_semi prefix_delete content_hash_sync
- manifest_queue manifest_requeue manifest_counts state_guard buffer_assemble hit_counter top_searched recent_sync daily_trend day_delta dir_stats lang_dist state_pivot kpi_snapshot modality_classify language_map
+ manifest_queue manifest_queue_whole manifest_requeue manifest_counts state_guard buffer_assemble hit_counter top_searched recent_sync daily_trend day_delta dir_stats lang_dist state_pivot kpi_snapshot modality_classify language_map
  name_style json_props paging correlated_count left_distinct three_way_join budget_sessions tombstones"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
@@ -287,6 +290,7 @@ SQL = {
     "content_hash_sync": f"with {_SYNC} select uri, change from s",
     "tombstones": f"with {_SYNC} select uri, case change when 'deleted' then 'deleted' else 'active' end status from s",
     "manifest_queue": f"with {_MAN}, q as (select path, row_number() over (order by coalesce(size, 0), path) place from m where state = 'QUEUED') select path, place, (place-1) % 4 worker from q where place <= 500",
+    "manifest_queue_whole": f"with {_MAN}, q as (select path, row_number() over (order by coalesce(size, 0), path) place from m where state = 'QUEUED') select path, place, (place-1) % 4 worker from q",
     "manifest_requeue": f"with {_MAN} select path, case when size % 2 = 0 then size+1 else size end size, modified, case when size % 2 <> 0 and state = 'FETCHED' then 'FETCHED' else 'QUEUED' end state from m",
     "manifest_counts": f"with {_MAN} select count(*) filter(state='QUEUED') queued, count(*) filter(state='FETCHING') fetching, count(*) filter(state='FETCHED') fetched, count(*) filter(state='FAILED') failed, count(*) total from m",
     "state_guard": f"with {_MAN}, c as (select path, state before, case when size % 2 = 0 then 'QUEUED' else 'FETCHING' end \"after\" from m) select *, (before, \"after\") in (('QUEUED','FETCHING'),('FETCHING','FETCHED'),('FETCHING','FAILED'),('FETCHED','QUEUED'),('FAILED','QUEUED')) allowed from c",

@@ -72,3 +72,17 @@ def test_debounce_stream_is_the_batch(spark, tmp_path):
     batch = stateful.debounce(spark.read.parquet(str(tmp_path / "e")))
     stream = stateful.drained(stateful.debounce_stream(spark.readStream.schema("key string, ts double").parquet(str(tmp_path / "e"))), "debounced", "append")
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect())) == [("a", 0.0), ("a", 2.5), ("a", 4.6), ("b", 1.0)]
+
+
+def test_queue_is_numbered_in_full(spark):
+    rows = [(f"p{i}", None if i % 7 == 0 else i * 37 % 900, "QUEUED" if i % 3 else "FETCHED") for i in range(6000)]
+    got = M.claim(spark.createDataFrame(rows, "path string, size long, state string"), 4).collect()
+    queue = [p for p, s, state in sorted(rows, key=lambda r: (r[1] or 0, r[0])) if state == "QUEUED"]
+    assert {r.path: (r.place, r.worker) for r in got} == {p: (i + 1, i % 4) for i, p in enumerate(queue)}
+
+
+def test_queue_query_gives_all_queued(spark):
+    from tessera.plans import table_queries as Q
+
+    d = "/root/testdata/sf0.001"
+    assert Q.QUERIES["manifest_queue_whole"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'").count() > 500
