@@ -38,6 +38,22 @@ def partial_ratios(a: Column, b: Column) -> Column:
     return score(a, b)
 
 
+def best_ratios(words: Column, name: Column) -> Column:
+    """The best partial ratio of any of the words with the name; no words: 0."""
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([max((partial_ratio(w, q or "") for w in (p if p is not None else ())), default=0.0) for p, q in zip(x, y)])
+
+    return score(words, name)
+
+
+def may_reach(word: str, name: str, least: float) -> Column:
+    """False only where the columns' partial ratio is below least: common letters c bound it by 200 c / (shorter length + c)."""
+    c = F.length(word) - F.length(F.expr(f"translate({word}, {name}, '')"))
+    return F.lit(200.0) * c >= F.lit(least) * (F.least(F.length(word), F.length(name)) + c)
+
+
 def ratios(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:

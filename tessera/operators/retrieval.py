@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.stem import stems
+from tessera.operators import fuzzy
 
 K1, B, RRF, CANDIDATES = 1.2, 0.75, 60.0, 80
 #: Rows of a query side up to which it is broadcast; larger ones are joined by a shuffle.
@@ -120,9 +121,15 @@ def best_chunks(hits: DataFrame, files: DataFrame, queries: DataFrame, max_chunk
     return out.select(*keys, F.col("x")[0]["index"].alias("chunk_index"), T.text_chunk_id(F.col("id"), F.col("x")[0]["index"], F.col("cc"), F.col("ov")).alias("chunk_id"), F.size("x").alias("matched_chunks"), F.array_join(F.col("x.text"), "\n\n---\n\n").alias("chunk_text"), F.aggregate("x", F.lit(0), lambda a, s: a + s["tokens"]).alias("tokens"))
 
 
-def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybrid", matter_id: str | None = None, exclude: list[str] | None = None, prefilter: bool = False, n_queries: int | None = None) -> DataFrame:
+#: Of the reference's names: the least partial ratio of a near name, the boost's factor and its cap, which every near name reaches.
+NEAR_NAME, NAME_BOOST, NAME_CAP = 70.0, 2.5, 1.25
+
+
+def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybrid", matter_id: str | None = None, exclude: list[str] | None = None, prefilter: bool = False, n_queries: int | None = None, names: bool = True) -> DataFrame:
     """(qid, id, score, rank): both lanes' best 80, fused by rank; a query that is a file's name gets that file alone with score 5.
 
+    names: the word lane is stemmed; a file whose name is near a word of the query (partial ratio of NEAR_NAME or more) gains up to
+    NAME_CAP; where no lane finds a file, those of near names are found, with the ratio as score. Without: the fused lanes alone.
     matter_id and exclude (paths) apply after the lanes' limit, or before with prefilter.
     """
     keep = F.lit(True) if matter_id is None else F.col("matter_id") == matter_id
@@ -131,9 +138,17 @@ def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybri
     q = queries.withColumn("w", T.lane_weights(F.lit(mode), T.is_noisy(F.col("query"))))
     lanes = []
     for name, lane in (("word", bm25), ("trigram", trigram)):
-        found = lane(pool, queries, n_queries=n_queries).join(q.select("qid", F.col(f"w.{name}").alias("weight")), "qid")
+        found = lane(pool, queries, n_queries=n_queries, **({"stemmed": True} if names and lane is bm25 else {})).join(q.select("qid", F.col(f"w.{name}").alias("weight")), "qid")
         lanes.append((found, F.col("weight")))
     fused = fuse(lanes)
+    if names:
+        words = q.select("qid", T.tokens(F.col("query")).alias("words"))
+        near = lambda hits: hits.withColumn("near", fuzzy.best_ratios(F.col("words"), F.lower("filename")))
+        alone = words.join(fused.select("qid").distinct(), "qid", "left_anti")
+        known = near(fused.select("qid", "id", "score").join(pool.select("id", "filename"), "id").join(words, "qid"))
+        boost = F.when(F.col("near") >= NEAR_NAME, F.least(F.lit(NAME_CAP), F.col("near") / 100 * NAME_BOOST)).otherwise(0.0)
+        found = near(pool.select("id", "filename").crossJoin(hint(alone, n_queries))).where(F.col("near") >= NEAR_NAME)
+        fused = known.select("qid", "id", (F.col("score") + boost).alias("score")).unionByName(found.select("qid", "id", F.least(F.lit(1.0), F.col("near") / 100).alias("score")))
     exact = queries.join(pool.select("id", "filename"), F.lower(T.strip(F.col("query"))) == F.lower("filename")).groupBy("qid").agg(F.max("id").alias("id")).withColumn("score", F.lit(5.0))
     fused = fused.join(exact.select("qid"), "qid", "left_anti").unionByName(exact.select("qid", "id", "score"))
     if not prefilter and (matter_id is not None or exclude):

@@ -45,10 +45,10 @@ def code_lexical_score(spark, d):
 
 def fuzzy_partial_ratio(spark, d):
     """Best file name for each query word of four letters or more, from 70 up."""
-    n = table(spark, d, "nation").select(F.col("n_name").alias("name"))
-    r = table(spark, d, "region").select(F.col("r_name").alias("query"))
-    s = n.crossJoin(F.broadcast(r)).withColumn("score", F.round(fuzzy.partial_ratios(F.lower("query"), F.lower("name")), 6))
-    return s.groupBy("query").agg(F.max("score").alias("best"))
+    q = queries(spark, d).select(F.explode(T.tokens(F.col("query"))).alias("word")).where(F.length("word") >= 4).distinct()
+    f = files(spark, d).select(F.lower("filename").alias("name")).crossJoin(F.broadcast(q))
+    s = f.where(fuzzy.may_reach("word", "name", R.NEAR_NAME)).withColumn("score", F.round(fuzzy.partial_ratios(F.col("word"), F.col("name")), 6))
+    return s.where(F.col("score") >= R.NEAR_NAME).groupBy(F.col("word").alias("query")).agg(F.max("score").alias("best"))
 
 
 def html_text(spark, d):

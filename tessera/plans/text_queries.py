@@ -57,7 +57,7 @@ def text_search(spark, d):
 
 def matter_filter(spark, d):
     q = queries(spark, d, 2)
-    return _rounded(R.search(files(spark, d), q, 10, mode="bm25_only", matter_id="en", n_queries=_n(q)), "score")
+    return _rounded(R.search(files(spark, d), q, 10, mode="bm25_only", matter_id="en", n_queries=_n(q), names=False), "score")
 
 
 def exclude_sources(spark, d):

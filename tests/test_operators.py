@@ -86,3 +86,29 @@ def test_queue_query_gives_all_queued(spark):
 
     d = "/root/testdata/sf0.001"
     assert Q.QUERIES["manifest_queue_whole"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'").count() > 500
+
+
+def test_search_takes_stems_and_near_file_names(spark):
+    rows = [(1, "/a/x.txt", "x.txt", "alpha running shoes"), (2, "/a/alpha_plan.txt", "alpha_plan.txt", "alpha beta gamma delta"), (3, "/a/budget_report.txt", "budget_report.txt", "nothing of the kind")]
+    f = spark.createDataFrame([(i, p, n, "c", "m", 1.0, t) for i, p, n, t in rows], "id long, path string, filename string, category string, matter_id string, mtime double, content string")
+    q = spark.createDataFrame([(1, "alpha"), (2, "runs"), (3, "budgetx"), (4, "x.txt"), (5, "qqqq")], "qid long, query string")
+    got = {(r.qid, r.id): r.score for r in R.search(f, q, n_queries=5).collect()}
+    plain = {(r.qid, r.id): r.score for r in R.search(f, q, n_queries=5, names=False).collect()}
+    assert abs(got[1, 2] - plain[1, 2] - 1.25) < 0.05 and got[1, 2] > 1.25 > got[1, 1]
+    assert (2, 1) in got and (2, 1) not in plain
+    assert abs(got[3, 3] - fuzzy.partial_ratio("budgetx", "budget_report.txt") / 100) < 1e-9 and not any(k[0] == 3 for k in plain)
+    assert got[4, 1] == 5.0 and not any(k[0] == 5 for k in got)
+
+
+def test_fuzzy_names_of_query_words(spark):
+    from tessera.plans import more_queries as Q
+    from tessera.sources.relations import files, queries
+
+    d = "/root/testdata/sf0.001"
+    words = {w for r in queries(spark, d).select(T.tokens(F.col("query")).alias("w")).collect() for w in r.w if len(w) >= 4}
+    names = [r.filename.lower() for r in files(spark, d).collect()]
+    best = {w: max(fuzzy.partial_ratio(w, n) for n in names) for w in words}
+    got = {r.query: r.best for r in Q.fuzzy_partial_ratio(spark, d).collect()}
+    assert got == {w: round(s, 6) for w, s in best.items() if s >= 70}
+    pairs = spark.createDataFrame([(w, n) for w in ("docx", "odc_1", "coddle", "abcd", "report") for n in ("doc_1.txt", "do", "my_report_2")], "word string, name string")
+    assert all(r.m or fuzzy.partial_ratio(r.word, r.name) < 70 for r in pairs.withColumn("m", fuzzy.may_reach("word", "name", 70)).collect())
