@@ -18,17 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, the caller must have set one on the context.
     """
     cut_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def cut_dir(spark: SparkSession) -> None:
-    """See that the context has a checkpoint folder."""
+    """See that the context has a checkpoint folder: that of ``spark.checkpoint.dir``, or, on a local master only, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until no column of df has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def cut_table(df: DataFrame) -> DataFrame:

@@ -1,86 +1,132 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations only.
 
-Equal lines are collapsed first, by keys and bands alone: no text is dealt out for that. The shingles of a line, in lower case, are
-its runs of 10 characters from every place (a shorter line is one shingle); five min-hashes of them, taken two at a time, give ten
-bands. Lines that share a band are candidates: each with the first of its band and with the one before it, so a band of any size
-costs a linear number of pairs at first. Candidates are verified by the exact Jaccard similarity of their shingle sets and links are
-joined by distributed union-find; then all pairs that share a band and aren't in one component yet are verified too. So components
-are those of all pairs that share a band. Of each only the first line, by document and place, stays. Two lines of similarity 0.75
-share a band with probability 0.98, of 0.85 with 0.998; every line that is equal to an earlier one is found.
+The shingles of a line, in lower case, are its runs of 10 characters from every place (a shorter line is one shingle). Lines are
+exploded to shingles and aggregated again at once, before any shuffle, to nine min-hashes each; equal lines collapse in the same
+aggregation. The nine min-hashes stand in a square of three by three, and each of the twelve lines of the affine plane over it
+(rows, columns, slopes) makes a band of three: lines of similarity 0.75 share one with probability 0.975, of 0.85 with 0.998.
+
+A band's lines stand in the order of their min-hashes; each is compared with the first and the four before it, so a band of any size
+costs a linear number of pairs, and one of up to five lines is compared in full. Candidates are verified by the exact Jaccard
+similarity of their whole shingle sets, and links are joined by distributed union-find. In bands that then still hold more than
+one component, each line outside the band's largest component is compared with all lines of other components, inside the join's
+condition: no pair is made that isn't a link. So the components are those of all pairs that share a band. Of each only the first
+line, by document and place, stays; every line that is equal to an earlier one is found.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut_table, table
+from tessera.llm.common import components, cut_table, fresh, table
+
+SIMILARITY, CHARACTERS, BEFORE = 0.75, 10, 4
+#: Bytes of keys that may be broadcast to find candidates' texts again; more are found by a shuffled join.
+BROADCAST_BYTES = 8 << 20
+HASHES = 9
+#: Three min-hashes each, any two of which are together in one: the lines of the affine plane of order three.
+BANDS = [tuple(3 * x + (slope * x + c) % 3 for x in range(3)) for slope in range(3) for c in range(3)] + [tuple(3 * x + y for y in range(3)) for x in range(3)]
+
+
+def seeds(n: int) -> list[int]:
+    """Fixed numbers that turn one hash into n: a multiple of the golden ratio's bits each, as signed 64-bit numbers."""
+    return [((i + 1) * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for i in range(n)]
+
+
+def code_points(line: str) -> Column:
+    """A line in lower case with four bytes for each character, so that a place is found in constant time."""
+    return F.encode(F.lower(line), "UTF-32")
 
-SIMILARITY, CHARACTERS, HASHES = 0.75, 10, 5
-#: Lines whose keys may be broadcast to find them again; more are found by a shuffled join.
-BROADCAST = 500_000
 
+def starts(points: str, characters: int = CHARACTERS) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(points) / 4 - characters).cast("int")))
 
-def shingles(line: str, characters: int = CHARACTERS) -> Column:
-    low = F.lower(line)
-    return F.when(F.length(low) < characters, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{characters}}}))."), F.lit(1)))
 
+def shingle(points: Column, start: Column, characters: int = CHARACTERS) -> Column:
+    return F.substring(points, start * 4 + 1, F.lit(4 * characters))
 
-def hashes_of(line: str) -> Column:
-    return F.transform(shingles(line), lambda s: F.xxhash64(s))
+
+def shingle_set(line: str) -> Column:
+    """The distinct 64-bit hashes of a line's shingles. The array of one binds the code points, which else were made for each place."""
+    last = lambda p: F.greatest(F.lit(0), (F.octet_length(p) / 4 - CHARACTERS).cast("int"))
+    each = lambda p: F.transform(F.sequence(F.lit(0), last(p)), lambda i: F.xxhash64(shingle(p, i)))
+    return F.array_distinct(F.get(F.transform(F.array(code_points(line)), each), F.lit(0)))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line, key) of all lines that aren't blank."""
+    """(id, pos, line) of all lines that aren't blank, of rows whose id isn't null."""
     rows = docs.select(docs[id_col].alias("id"), F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
-    return rows.where(F.col("id").isNotNull() & (F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")).withColumn("key", F.xxhash64("line"))
+    return rows.where(F.col("id").isNotNull() & (F.ltrim("line", F.lit(" \t\x0b\f\r")) != ""))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(key, n, s0, s1, ...): each distinct line's 64-bit hash, how often it occurs, and its min-hashes. Should two different lines
+    share a key, neither has a row."""
+    rows = lines.select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("check"), code_points("line").alias("points"))
+    rows = rows.select("key", "check", "points", F.explode(starts("points")).alias("i"))
+    rows = rows.select("key", "check", "i", F.xxhash64(shingle(F.col("points"), F.col("i"))).alias("h"))
+    # The largest of the numbers is a min-hash too, that of the seed's complement.
+    least = [(F.max if i % 2 else F.min)(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{i}") for i, c in enumerate(x for c in seeds((HASHES + 1) // 2) for x in (c, c)) if i < HASHES]
+    grouped = rows.groupBy("key").agg(F.count(F.when(F.col("i") == 0, 1)).alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), *least)
+    return grouped.where("c0 = c1").select("key", "n", *[F.hash(f"s{i}").alias(f"s{i}") for i in range(HASHES)])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hashes: int = HASHES) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, removed): for each id with lines that repeat earlier ones, or nearly so, their places, from 0, as an array.
 
-    Blank lines are never removed, nor are lines of rows with a null id. Ids are taken as unique; of rows that share one, a line that
-    each holds at the same place counts once. Should two different lines share a 64-bit key, both stay.
+    Blank lines are never removed, nor are lines of rows with a null id or text; the empty table gives no rows. Rows that share an id
+    are taken as one document's versions: a line that each holds at the same place is one line, of different lines there all but the
+    first of their components go. Ties between equal places don't occur. A line of any length is read whole. Should two different
+    lines share a 64-bit key, both stay. Other columns are ignored.
     """
     lines = occurrences(docs, id_col, text_col)
-    hashed = lines.select("id", "pos", "key", F.xxhash64(F.lit(1), "line").alias("check"), hashes_of("line").alias("h"))
-    # Columns of their own: else each would be computed once for every one that takes it. The largest of the numbers is a min-hash too,
-    # that of the seed's complement.
-    mixes = [F.transform("h", lambda h: h.bitwiseXOR(F.lit(c))).alias(f"h{i}") for i, c in enumerate(seeds((hashes + 1) // 2))]
-    hashed = hashed.select("id", "pos", "key", "check", *mixes)
-    least = [F.hash((F.array_max if i % 2 else F.array_min)(f"h{i // 2}")).alias(f"least{i}") for i in range(hashes)]
-    hashed = cut_table(hashed.select("id", "pos", "key", "check", *least))
-    names = [f"least{i}" for i in range(hashes)]
-    distinct = hashed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in names], F.min("check").alias("c0"), F.max("check").alias("c1"))
-    distinct = cut_table(distinct.where("c0 = c1").select("key", "first", "n", *names))
-
-    in_band = Window.partitionBy("band").orderBy("key")
-    bands = F.array(*[F.xxhash64(F.lit(a * hashes + b), f"least{a}", f"least{b}") for a, b in combinations(range(hashes), 2)])
-    members = distinct.select("key", F.explode(bands).alias("band"))
-    members = members.select("key", "band", F.first("key").over(in_band).alias("head"), F.lag("key").over(in_band).alias("before"), F.count("*").over(Window.partitionBy("band")).alias("size"))
-    members = cut_table(members.where("size > 1"))
-    near = members.where("before is not null").select("key", F.explode(F.array_distinct(F.array("head", "before"))).alias("other"))
-    pairs = cut_table(near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
-    ends = members.select("key").distinct().join(distinct.select("key", "first"), "key")
-    ends = cut_table(ends.select("key", F.col("first.id").alias("id"), F.col("first.pos").alias("pos")))
-    whole_texts = docs.select(docs[id_col].alias("id"), F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
-    held = whole_texts.join(F.broadcast(ends) if ends.count() <= BROADCAST else ends, ["id", "pos"])
-    text = cut_table(held.select("key", "line", F.size(F.array_distinct(hashes_of("line"))).alias("n")))
-    links = linked(pairs, text, similarity)
+    distinct = cut_table(signatures(lines))
+    members = banded(distinct)
+    pairs = cut_table(near_pairs(members))
+    text = cut_table(texts_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    links = cut_table(linked(pairs, text, similarity))
     whole = cut_table(components(links))
-    more = linked(unsettled(members, whole, pairs), text, similarity)
-    if not more.isEmpty():
-        whole = components(links.unionByName(more))
-
-    keys = distinct.select("key", "first", "n").join(whole, distinct["key"] == whole["node"], "left").where("n > 1 or component is not null")
-    keys = cut_table(keys.select("key", "first", F.coalesce("component", "key").alias("class")))
+    unsettled = mixed_bands(members, whole)
+    if not unsettled.isEmpty():
+        more = cut_table(exhausted(unsettled, text, similarity))
+        if not more.isEmpty():
+            whole = cut_table(components(links.unionByName(more)))
+
+    known = distinct.select("key", "n").join(whole, distinct["key"] == whole["node"], "left").where("n > 1 or component is not null")
+    known = cut_table(known.select("key", F.coalesce("component", "key").alias("class")))
+    repeated = cut_table(lines.select("id", "pos", F.xxhash64("line").alias("key")).join(known, "key").select("id", "pos", "class"))
     # Written, so that the join's two sides are plain shuffles, of which a hot class's can be split.
-    stays = cut_table(keys.groupBy("class").agg(F.min("first").alias("stays")))
-    known = keys.join(stays, "class").select("key", "stays")
-    repeated = hashed.select("id", "pos", "key").join(known, "key").where(F.struct("id", "pos") != F.col("stays"))
-    return repeated.groupBy("id").agg(F.collect_set("pos").alias("removed")).withColumnRenamed("id", id_col)
+    stays = cut_table(repeated.groupBy("class").agg(F.min(F.struct("id", "pos")).alias("stays")))
+    gone = repeated.join(stays, "class").where(F.struct("id", "pos") != F.col("stays"))
+    return gone.groupBy("id").agg(F.collect_set("pos").alias("removed")).withColumnRenamed("id", id_col)
+
+
+def banded(distinct: DataFrame) -> DataFrame:
+    """(band, t, key, s0, ...): the rows of all bands of more than one line; t is the band's number among a line's."""
+    names = [f"s{i}" for i in range(HASHES)]
+    of = [F.xxhash64(F.lit(t), *[f"s{i}" for i in band]) for t, band in enumerate(BANDS)]
+    by_key = Window.partitionBy("band").orderBy("key")
+    rows = distinct.select("key", F.explode(F.array(*of)).alias("band"))
+    rows = rows.select("key", "band", F.lag("key").over(by_key).alias("before"), F.lead("key").over(by_key).alias("after"))
+    rows = cut_table(rows.where("before is not null or after is not null").select("key", "band"))
+    number = F.coalesce(*[F.when(F.col("band") == h, F.lit(t)) for t, h in enumerate(of)])
+    return cut_table(rows.join(distinct.select("key", *names), "key").select("band", number.alias("t"), "key", *names))
+
+
+def near_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each line of a band with the band's first and the BEFORE ones before it, in the order of their min-hashes."""
+    order = Window.partitionBy("band").orderBy(*[f"s{i}" for i in range(HASHES)], "key")
+    others = F.array(F.first("key").over(order), *[F.lag("key", i).over(order) for i in range(1, BEFORE + 1)])
+    near = members.select("key", others.alias("others"))
+    near = near.select("key", F.explode(F.array_distinct(F.array_compact("others"))).alias("other")).where("key <> other")
+    return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, line, n): the text of each of these keys, and the size of its shingle set."""
+    keys = cut_table(keys)
+    held = lines.withColumn("key", F.xxhash64("line")).join(F.broadcast(keys) if keys.count() * 32 <= BROADCAST_BYTES else keys, "key")
+    return held.groupBy("key").agg(F.min("line").alias("line")).withColumn("n", F.size(shingle_set("line")))
 
 
 def linked(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
@@ -88,47 +134,57 @@ def linked(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     ends = [text.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b")]
     # Sets of sizes further apart than the similarity can't have it.
     both = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    shared = F.size(F.array_intersect(hashes_of("line_a"), hashes_of("line_b")))
+    shared = F.size(F.array_intersect(shingle_set("line_a"), shingle_set("line_b")))
     # Written before the condition, which would compute the sets once for each time it names them.
     both = cut_table(both.select("a", "b", shared.alias("shared"), (F.col("n_a") + F.col("n_b")).alias("sizes")))
     return both.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def unsettled(members: DataFrame, whole: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): all pairs of lines that share a band, are in different components so far and aren't among the pairs compared.
+def mixed_bands(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """members with class and main, of bands that hold lines of several components and haven't been compared in full: class is a
+    line's component so far, main that of most of the band's lines."""
+    classed = members.join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).drop("component")
+    counts = classed.groupBy("band", "class").agg(F.count("*").alias("held"))
+    mixed = counts.groupBy("band").agg(F.max(F.struct("held", "class"))["class"].alias("main"), F.sum("held").alias("size"), F.count("*").alias("classes"))
+    mixed = mixed.where((F.col("classes") > 1) & (F.col("size") > BEFORE + 1)).select("band", "main")
+    return cut_table(classed.join(mixed, "band"))
 
-    Components meet in a band first, and only then their lines: no pair within a component is made.
-    """
-    crowded = members.where("size > 2").select("key", "band")
-    crowded = crowded.join(whole.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("class"))
-    mixed = crowded.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
-    crowded = cut_table(crowded.join(mixed, "band"))
-    classes = crowded.select("band", "class").distinct()
-    meet = classes.withColumnRenamed("class", "ca").join(classes.withColumnRenamed("class", "cb"), "band").where("ca < cb")
-    meet = meet.join(crowded.select("band", F.col("class").alias("ca"), F.col("key").alias("x")), ["band", "ca"])
-    meet = meet.join(crowded.select("band", F.col("class").alias("cb"), F.col("key").alias("y")), ["band", "cb"])
-    return cut_table(meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
 
+def exhausted(unsettled: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the links between lines of unsettled bands that are in different components.
 
-def seeds(n: int) -> list[int]:
-    """Fixed numbers that turn one hash into n: a multiple of the golden ratio's bits each, as signed 64-bit numbers."""
-    return [((i + 1) * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for i in range(n)]
+    Of each pair one line at least is outside its band's main component; the pair is tried in the first band that it shares. It is
+    tried on 32-bit hashes inside the join, and what passes is verified on the whole sets.
+    """
+    small = text.select("key", "n", F.transform(shingle_set("line"), lambda h: F.hash(h)).alias("h"))
+    rows = unsettled.join(small, "key")
+    x = rows.where("class <> main").select([F.col(c).alias(f"x_{c}") for c in rows.columns])
+    first = F.coalesce(*[F.when(F.expr(" and ".join(f"s{i} = x_s{i}" for i in band)), F.lit(t)) for t, band in enumerate(BANDS)])
+    apart = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_key") < F.col("key"))) & (first == F.col("t"))
+    sizes = F.least("n", "x_n") >= similarity * F.greatest("n", "x_n")
+    shared = F.size(F.array_intersect("h", "x_h"))
+    close = F.when(apart & sizes, shared * (1 + similarity) >= similarity * (F.col("n") + F.col("x_n")) - 2).otherwise(False)
+    tried = x.join(rows, (F.col("band") == F.col("x_band")) & close)
+    tried = cut_table(tried.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct())
+    return linked(tried, text, similarity)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """docs with the lines that duplicate_lines() names taken out of the text; columns and the other rows' texts as they are.
 
-    drop_emptied: rows go that have lost all their lines but blank ones. Empty tables and null texts pass through.
+    drop_emptied: rows go that have lost all their lines but blank ones.
+    Empty tables, null texts and rows with a null id pass through; extra columns may have any names.
     """
-    removed = duplicate_lines(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"))
+    id_, gone, cut_ = fresh(docs, "id", "removed", "cut")
+    removed = duplicate_lines(docs, id_col, text_col).select(F.col(id_col).alias(id_), F.col("removed").alias(gone))
+    joined = docs.join(removed, docs[id_col] == F.col(id_), "left")
     lines = F.split(docs[text_col], "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")).otherwise(docs[text_col])
-    joined = docs.join(removed, docs[id_col] == removed["__id"], "left")
-    out = joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col("__removed").isNotNull().alias("__cut"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")).otherwise(docs[text_col])
+    out = joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col(gone).isNotNull().alias(cut_))
     if drop_emptied:
-        out = out.where(~F.col("__cut") | F.col(text_col).rlike(r"\S"))
-    return out.drop("__cut")
+        out = out.where(~F.col(cut_) | F.col(text_col).rlike(r"\S"))
+    return out.select(*docs.columns)
 
 
 def n_lines(text: str) -> Column:
@@ -137,6 +193,8 @@ def n_lines(text: str) -> Column:
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_lines, n_kept, kept_sha256 of the text without its duplicate lines. Null texts have
+    no lines and the digest of the empty text; all else is as dedup_lines() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_lines("text").alias("n_lines"))
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", n_lines("text").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
