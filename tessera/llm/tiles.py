@@ -16,17 +16,18 @@ def finite(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & ok, F.lit(False))
 
 
-def pack(rows: DataFrame, keys: list[str], id_kind: str = "long") -> DataFrame:
-    """Rows (keys..., id, copies, vec) as one row for each combination of keys: (keys..., ids, copies, vecs, n), binary."""
+def pack(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys..., id, copies, vec, and maybe key) as one row for each combination of keys: (keys..., ids, copies, vecs, n, keys), binary.
+    """
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         out = {k: [group[k].iloc[0]] for k in keys}
-        out |= {"ids": [group["id"].to_numpy(np.int64).tobytes()], "copies": [group["copies"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(group["vec"].to_numpy()).astype(np.float64).tobytes()], "n": [len(group)]}
+        out |= {"ids": [group["id"].to_numpy(np.int64).tobytes()], "copies": [group["copies"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(group["vec"].to_numpy()).astype(np.float64).tobytes()], "n": [len(group)], "keys": [group["key"].to_numpy(np.int64).tobytes() if "key" in group else b""]}
         return pd.DataFrame(out)
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, ids binary, copies binary, vecs binary, n long")
+    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, ids binary, copies binary, vecs binary, n long, keys binary")
 
 
 def each(fn, columns: list[str]):
