@@ -67,13 +67,13 @@ token 1eb9c654e721b4f812088970e66a6345 is not a number
 
 
 def shape(word: str) -> str:
-    """Letters as x or X, digits as d, runs of over four cut to four and a plus; other characters stay."""
+    """Letters as x or X, digits as d, runs of over four cut to four and a space, which no word holds; other characters stay."""
     s = re.sub(r"[0-9]", "d", re.sub(r"[A-Z]", "X", re.sub(r"[^\W\d_A-Z]", "x", word)))
-    return re.sub(r"(.)\1{4,}", lambda m: m[1] * 4 + "+", s)[:40]
+    return re.sub(r"(.)\1{4,}", lambda m: m[1] * 4 + " ", s)
 
 
 def features(word: str) -> list[str]:
-    """What the field sees of a word; it depends on the word's shape alone."""
+    """What the field sees of a word; it depends on the whole shape and on the counts of digits and dots."""
     s, digits = shape(word), sum(c.isdigit() for c in word)
     if "@" not in word and not re.search("[0-9]", word):
         return ["any", "no digit"]
@@ -199,12 +199,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Finder:
-    """Finds spans in batches of texts; emissions of shapes seen before are kept, up to a bound."""
+    """Finds spans in batches of texts; emissions of what features() depends on are kept, up to a bound, but not those of long words."""
 
     def __init__(self, field: Field):
         self.field, self.known = field, {}
 
     def emission(self, word: str) -> np.ndarray:
+        if len(word) > 200:
+            return self.field.scores(word)
         key = shape(word), min(sum(c.isdigit() for c in word), 17), min(word.strip(".,").count("."), 4)
         if key not in self.known:
             if len(self.known) > 50_000:
@@ -272,7 +274,9 @@ _finders: dict[int, Finder] = {}
 def find_pii(docs: DataFrame, labelled: str = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): spans as strings kind:start:end, joined by commas, in code points; base holds those of the patterns alone.
 
-    Null texts count as empty; every row gives a row, repeated or not; other columns are ignored.
+    Null and empty texts have no spans; every row gives a row, repeated or not, with a null id or not; texts of any length are read
+    whole, in linear time; the empty table gives no rows; other columns are ignored, whatever their names. Of spans that start
+    together the kinds' order decides.
     """
     field = train(labelled)
     key = hash(labelled)
@@ -291,4 +295,5 @@ def find_pii(docs: DataFrame, labelled: str = LABELLED, id_col: str = "doc_id",
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
+    """find_pii() over documents: one row for each row."""
     return find_pii(table(spark, sf_dir, "documents"))
