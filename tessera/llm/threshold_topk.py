@@ -20,6 +20,26 @@ from tessera.llm.tiles import each, finite, pack
 TILE, BLOCK = 8192, 1024
 
 
+def product(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact: as float64 where no sum can pass 2^53, else as 64-bit integers where none can pass 2^63,
+    else as Python's, which must then fit into 64 bits."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).sum())
+    if most < 2**53:
+        return (x @ q).astype(np.int64)
+    if most < 2**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    out = x.astype(np.int64).astype(object) @ q.astype(np.int64).astype(object)
+    if any(not -(2**63) <= v < 2**63 for v in np.atleast_1d(out)):
+        raise ArithmeticError("a score does not fit into 64 bits")
+    return np.asarray(out, np.int64)
+
+
+def bound(last: np.ndarray, q: np.ndarray) -> float:
+    """At least the inner product: a float64 sum with room for its rounding."""
+    each = last * q
+    return float(each.sum() + np.abs(each).sum() * (2.0**-50) * len(q))
+
+
 class Lists:
     """A tile's vectors (whole numbers) with a sorted list for each dimension."""
 
@@ -46,12 +66,12 @@ class Lists:
             seen[rows] = True
             scored += len(rows)
             ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, (self.x[rows] @ q).astype(np.int64)])
+            scores = np.concatenate([scores, product(self.x[rows], q)])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             depth, step = until, step * 2
             last = np.where(signs, self.sorted[n - depth, used], self.sorted[depth - 1, used])
-            if len(ids) == k and scores[-1] > last @ q[used] or scored + met == n:
+            if scored + met == n or len(ids) == k and scores[-1] > bound(last, q[used]):
                 break
         return ids, scores, scored
 
@@ -61,7 +81,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     inner product of floor(scale * x); all of them, if fewer; ties to the smaller id.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; only vectors of one length
-    meet. Ids are taken as unique: of rows that share one, the smallest vector counts. Other columns are ignored.
+    meet. Rows that share an id are one vector: of different ones the smallest counts. Components must lie within 2^53 when scaled;
+    a score beyond 64 bits raises ArithmeticError. Empty tables, of either kind, give no rows. Other columns are ignored.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
 
@@ -76,7 +97,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     # Each tile goes to every block of queries: these carry the tile numbers, so that both sides meet on an even key.
     n_tiles = tiles.groupBy("dim").agg(F.max("tiles").alias("t"))
     n_blocks = blocks.groupBy("dim").agg(F.max("tiles").alias("b"))
-    left = tiles.drop("tiles").join(n_blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))).drop("b", "copies")
+    left = tiles.drop("tiles").join(n_blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))).drop("b", "copies", "keys")
     right = blocks.select("dim", F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("n").alias("q_n")).join(n_tiles, "dim")
     right = right.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1))).drop("t")
     columns = ["query_id", "id", "score"]
@@ -95,5 +116,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
 
 def op3_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """top_k() of the embeddings whose vec_id is divisible by 100 against all."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
