@@ -23,8 +23,6 @@ from tessera.llm.common import crc_train, table
 
 #: Labelled texts that are learned from at most: those with the least hashes of their ids. Of 3 in a row, 2 go to the scores.
 SAMPLE = 20_000
-#: Tokens with a score of their own at most.
-VOCABULARY = 20_000
 #: Strength of the prior in texts; the least size of a token's log-odds, its least z, and least number of toxic texts that hold it.
 PRIOR, LEAST_ODDS, LEAST_Z, LEAST_TEXTS = 50.0, 1.5, 4.0, 3
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -34,7 +32,7 @@ STARTS = (7, 6, 5, 4)
 
 @dataclass
 class Model:
-    """Bounded by VOCABULARY, whatever the data."""
+    """Bounded by the significant tokens of the labelled sample."""
 
     scores: dict[str, float]
     other: float
@@ -146,10 +144,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled texts, of rows whose labels may be learned from. Without labels of both kinds the
-    model has no token scores, and scores follow the share of toxic labels."""
-    chosen = labels.where(crc_train(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("__y"))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample))  # bounded by sample
-    texts = docs.join(chosen, docs[id_col] == chosen["__id"]).select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.col("__y").alias("y"))
+    model has no token scores, and scores follow the share of toxic labels. Of rows that share an id one text counts, and any label of
+    1; null ids, labels and texts teach nothing or an empty text."""
+    chosen = labels.where(crc_train(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("y"))
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(sample))  # bounded by sample
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    # Rows that share an id are one text, that of the least: else a label could count for many.
+    texts = rows.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     texts = texts.withColumn("scores", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) < 2)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log(a1 / (n1 + PRIOR - a1 + 0.5)) - F.log(a0 / (n0 + PRIOR - a0 + 0.5))
     z = odds / F.sqrt(1 / a1 + 1 / a0)
     top = counts.where("w <> ''").select("w", "texts", odds.alias("odds"), z.alias("z"), "toxic").where((F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS) & ((F.col("z") < 0) | (F.col("toxic") >= LEAST_TEXTS)))
-    top = top.orderBy(F.abs("z").desc(), "w").limit(VOCABULARY).collect()  # bounded by VOCABULARY
+    top = top.orderBy("w").collect()  # bounded by the sample's tokens
     scores = {r["w"]: float(np.clip(r["odds"], -3, 6)) for r in top}
     model = Model(scores, -0.25, 1.0, 0.0, (0.0, 1.0, 0.0))
 
@@ -184,31 +185,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text, y in zip(b["text"], b["y"]):
                 s = token_scores(text, model)
                 kinds, times = np.unique(np.round(s, 1), return_counts=True)
-                rows.append((int(y), len(s), kinds.tolist(), times.tolist(), [v for _, _, v in sorted(segments(s), key=lambda x: -x[2])[:20]]))
+                rows.append((int(y), len(s), kinds.tolist(), times.tolist(), max((v for _, _, v in segments(s)), default=0.0)))
             yield pd.DataFrame(rows, columns=["y", "n", "kinds", "times", "best"])
 
-    seen = texts.where(~F.col("scores")).select("text", "y").mapInPandas(look, "y int, n long, kinds array<double>, times array<long>, best array<double>").toPandas()  # bounded by sample
+    rest = texts.where(~F.col("scores")).select("text", "y")
+    seen = rest.mapInPandas(look, "y int, n long, kinds array<double>, times array<long>, best double").toPandas()  # bounded by sample
     clean = seen[(seen["y"] == 0) & (seen["n"] > 0)]
     if not len(clean) or not (seen["y"] == 1).any():
         return Model(scores, model.other, 1.0, 0.0, (-3.0, 1.0, 0.0))
     background = pd.Series(np.concatenate(clean["times"].to_list())).groupby(np.concatenate(clean["kinds"].to_list())).sum()
     model.rate = decay(background.index.to_numpy(), (background / background.sum()).to_numpy())
     # With the rate known, the most likely K for best segments S: number of texts / sum of n * exp(-rate * S).
-    best = np.array([b[0] if len(b) else 0.0 for b in clean["best"]])
-    model.log_k = float(np.log(len(clean) / (clean["n"].to_numpy() * np.exp(-model.rate * best)).sum()))
-    x = []
-    for n, b in zip(seen["n"], seen["best"]):
-        v = model.rate * np.array(b, float) - np.log(max(n, 1)) - model.log_k
-        top_v = max(v.max(initial=-10.0), -10.0) if n else -10.0
-        x.append((min(top_v, 40.0), min(v[v > 0].sum() - max(top_v, 0.0), 60.0) if len(v) else 0.0))
-    model.curve = tuple(float(w) for w in logistic(np.array(x), seen["y"].to_numpy(float)))
+    model.log_k = float(np.log(len(clean) / (clean["n"].to_numpy() * np.exp(-model.rate * clean["best"].to_numpy())).sum()))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [evidence(token_scores(text, model), model)[:2] for text in b["text"]]
+            yield pd.DataFrame({"best": [min(best, 40.0) for best, _ in found], "rest": [more for _, more in found], "y": b["y"]})
+
+    x = rest.mapInPandas(weigh, "best double, rest double, y int").toPandas()  # bounded by sample
+    model.curve = tuple(float(w) for w in logistic(x[["best", "rest"]].to_numpy(), x["y"].to_numpy(float)))
     return model
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, passages): passages are the significant segments as start:end:significance in tokens, joined by commas.
 
-    Null texts count as empty; every row gives a row, repeated or not; other columns are ignored.
+    Null texts count as empty; every row gives a row, repeated or not, with a null id or not; texts of any length are read whole, in
+    linear time; the empty table gives no rows; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +228,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores below ``least``, as they are: one pass, no join."""
+    """The rows of docs whose text scores below ``least``, as they are: one pass, no join. Null and empty texts stay where the model
+    takes them for clean; repeated rows, null ids and columns of any name pass; the empty table stays empty."""
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -235,6 +240,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """score_texts() of documents by a model of their labels: one row for each row."""
     docs = table(spark, sf_dir, "documents")
     scored = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (~crc_train("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
