@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, components, cut, roots, shingle_hashes, table
+from tessera.llm.common import WordHashes, components, cut, fresh, roots, shingle_hashes, table
 
 WIDTH, SHARE = 5, (75, 100)
 #: Tokens that a map task packs together, and a reduce task sorts at once, about.
@@ -311,12 +311,14 @@ def link_texts(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
     """(id, n_shingles, component_id): the size of each text's set and the smallest id that links lead to, its own included.
 
     Texts without words, empty or null, link with nothing. Rows that share an id are one document: its links are those of all of
-    its rows, its size is the largest. Rows with a null id are left out. Other columns are ignored.
+    its rows, its size is the largest. Rows with a null id are left out. The empty table gives no rows. Texts of any length are read
+    whole. Shingles are told apart by 64-bit hashes of theirs, equal sets by 128-bit digests. Other columns are ignored, whatever
+    their names.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(1, volume // 6 // BUCKET))
+    buckets = int(max(2 * spark.sparkContext.defaultParallelism, volume // 6 // BUCKET))
     first = packed(rows, buckets, width, whole=False)
     one = "batch string, bucket long, doc binary, n binary, tokens binary"
     group = F.when(F.col("bucket") < 0, F.xxhash64("batch")).otherwise(F.col("bucket"))
@@ -351,10 +353,12 @@ def link_texts(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest, as they are; rows with a null id stay too."""
-    gone = link_texts(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs whose id is their component's smallest, as they are, with columns of any name; rows with a null id stay too."""
+    (gone_,) = fresh(docs, "gone")
+    gone = link_texts(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone_))
+    return docs.join(gone, docs[id_col] == gone[gone_], "left_anti")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """link_texts() of documents: one row for each document."""
     return link_texts(table(spark, sf_dir, "documents"))
