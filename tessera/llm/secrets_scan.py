@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut_table, table
 
 
 @dataclass(frozen=True)
@@ -58,14 +58,15 @@ def empty_ledger(spark) -> DataFrame:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Ledger rows (blob, rule, found) for all blobs of docs and rules without one: what to append to the ledger.
 
-    Null texts are the empty blob. Equal texts are one blob and scanned once; the empty table gives no rows.
+    Null texts are the empty blob. Equal texts are one blob and scanned once, however many rows hold them; the empty table gives no
+    rows. Texts of any length are scanned whole. A ledger may hold a row twice; null rules in it count for nothing.
     """
     blobs = docs.select(blob_of(docs[text_col]).alias("blob"), F.coalesce(docs[text_col], F.lit("")).alias("text")).dropDuplicates(["blob"])
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
         todo = blobs.withColumn("todo", keys)
     else:
-        known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("done"))
+        known = ledger.where("rule is not null").groupBy("blob").agg(F.collect_set("rule").alias("done"))
         todo = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).where(F.size("todo") > 0)
     wanted = [F.array_contains("todo", r.key) for r in rules]
     matches = [F.when(w, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for w, r in zip(wanted, rules)]
@@ -89,11 +90,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, found) for every row of docs: what the ledger and a scan for what it lacks have for the row's blob, by start and rule.
 
-    A ledger's rows of other rules or versions are left aside. Rows may repeat; other columns are ignored.
+    A ledger's rows of other rules or versions are left aside, and of rows for one blob and rule one counts. Rows may repeat, ids may
+    be null, and each row gives a row; other columns are ignored, whatever their names.
     """
     rows = scan(docs, ledger, rules, text_col)
     if ledger is not None:
-        rows = rows.unionByName(ledger.where(F.col("rule").isin([r.key for r in rules])))
+        rows = rows.unionByName(ledger.where(F.col("rule").isin([r.key for r in rules])).dropDuplicates(["blob", "rule"]))
     by_blob = rows.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
     paths = docs.select(docs[id_col].alias("id"), blob_of(docs[text_col]).alias("blob"))
     return paths.join(by_blob, "blob", "left").select("id", F.coalesce("found", F.array().cast(FINDING)).alias("found")).withColumnRenamed("id", id_col)
@@ -104,7 +106,10 @@ def joined(found: Column) -> Column:
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = findings(table(spark, sf_dir, "documents"))
+    """One row for each row of documents. The ledger is written with the base rules' scan of all blobs first; the scan by all rules
+    then finds it and looks only for the (blob, rule version) pairs that it lacks."""
+    docs = table(spark, sf_dir, "documents")
+    found = findings(docs, cut_table(scan(docs, rules=BASE)))
     kinds = [r.kind for r in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(kinds))
     counts = [F.size(F.filter(F.col("found.kind"), lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in kinds]  # noqa: B023
