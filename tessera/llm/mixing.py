@@ -28,7 +28,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) from one row a source: shares of ``total`` times all sizes in proportion to the weights,
+    """(source, name, absent, source_size, target) from one row a source: shares of ``total`` times all sizes in proportion to the weights,
     which repeat over the sources by code point, null last; none above ``most`` times its source's size, the excess shared out again.
 
     Sources reach their cap in the order of cap / weight; with the first m capped, the others get (total - caps of these m) *
@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, mo
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.select("source", "source_size", w.alias("w")).withColumn("cap", F.col("source_size") * F.lit(most))
+    s = sizes.select("source", "name", "absent", "source_size", w.alias("w")).withColumn("cap", F.col("source_size") * F.lit(most))
     up = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, whole = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
     s = s.withColumn("left", F.sum("source_size").over(whole) * F.lit(total) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
@@ -44,46 +44,62 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, mo
     s = s.withColumn("capped", F.col("left") * F.col("w") / F.col("others") >= F.col("cap"))
     caps, open_w = F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0.0)).over(whole), F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("w"))).over(whole)
     share = F.when(F.col("capped"), F.col("cap")).otherwise((F.sum("source_size").over(whole) * F.lit(total) - caps) * F.col("w") / open_w)
-    return s.select("source", "source_size", F.least(F.greatest(share, F.lit(0.0)), F.col("cap")).alias("target"))
+    return s.select("source", "name", "absent", "source_size", F.least(F.greatest(share, F.lit(0.0)), F.col("cap")).alias("target"))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often the mix emits each row.
+def hex_number(*columns, digits: int = 15) -> Column:
+    """A whole number from the first hex digits of the columns' md5, null counting as no text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, digits), 16, 10).cast("long")
 
-    Null texts have size 0; null sources form a source of their own; rows that repeat are separate rows; sources without words
-    take none. Ties in size go by a hash of the id, then the id. Reruns agree: the offsets come from a hash of source and seed.
-    """
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))
-    rows = cut(rows.withColumn("key", F.xxhash64("id")).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")))
-    counted = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    per_source = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
+
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, total: float, most: float, seed: int, carry: bool) -> DataFrame:
+    """(row, id, source, size, source_size, target, copies): each row of docs, as a struct if it is to be carried along."""
+    name, absent = F.coalesce(docs[source_col].cast("string"), F.lit("")), docs[source_col].isNull()
+    whole = F.struct(*[docs[c] for c in docs.columns]) if carry else F.lit(None).cast("int")
+    rows = docs.select(whole.alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), name.alias("name"), absent.alias("absent"), n_words(docs[text_col]).alias("size"))
+    # Not the text: rows that agree in all this are told apart by nothing that the mix depends on.
+    rows = rows.withColumn("key", hex_number(F.col("id").cast("string"))).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
+    light = cut(rows.drop("row", "id"))
+    counted = light.groupBy("source", "name", "absent", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    per_source = targets(counted.groupBy("source", "name", "absent").agg(F.sum("words").alias("source_size")), weights, total, most)
     per_source = per_source.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    per_source = per_source.withColumn("offset", F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    parts = counted.select("source", "class", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    same = lambda a, b, *cs: [a[c].eqNullSafe(b[c]) for c in cs]
-    placed = rows.join(parts, same(rows, parts, "source", "class")).select(rows["*"], F.pmod(F.shiftright(rows["key"], 20), parts["parts"]).alias("part"))
-    blocks = placed.groupBy("source", "class", "part").agg(F.count("*").alias("n"))
-    line = Window.partitionBy("source").orderBy("class", "part")
+    offset = hex_number(F.lit(str(seed)), F.col("absent").cast("string"), "name", digits=5) / F.lit(float(1 << 20))
+    per_source = per_source.withColumn("offset", offset).drop("source")
+    parts = counted.select("name", "absent", "class", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    part = F.pmod(F.shiftright("key", 20), F.col("parts")).alias("part")
+    line = Window.partitionBy("name", "absent").orderBy("class", "part")
+    blocks = light.join(parts, ["name", "absent", "class"]).select("name", "absent", "class", part).groupBy("name", "absent", "class", "part").agg(F.count("*").alias("n"))
     blocks = blocks.withColumn("first", F.sum("n").over(line) - F.col("n"))
-    info = blocks.join(per_source, same(blocks, per_source, "source")).select(blocks["source"], "class", "part", "first", "source_size", "target", "each", "offset")
-    within = Window.partitionBy("source", "class", "part").orderBy("size", "key", "id")
-    placed = placed.withColumn("place", F.row_number().over(within))
-    full = placed.join(info, same(placed, info, "source", "class", "part"), "left").select(placed["id"], placed["source"], "size", "place", "first", "source_size", "target", "each", "offset")
+    info = blocks.join(per_source, ["name", "absent"]).select("name", "absent", "class", "part", "first", "source_size", "target", "each", "offset")
+    within = Window.partitionBy("name", "absent", "class", "part").orderBy("size", "key", "id")
+    dealt = rows.join(parts, ["name", "absent", "class"]).select(*rows.columns, part).withColumn("place", F.row_number().over(within))
+    full = dealt.join(info, ["name", "absent", "class", "part"])
     after = F.floor((F.col("first") + F.col("place")) * F.col("each") + F.col("offset"))
     until = F.floor((F.col("first") + F.col("place") - 1) * F.col("each") + F.col("offset"))
-    return full.select("id", "source", "size", "source_size", "target", (after - until).cast("long").alias("copies")).withColumnRenamed("id", id_col)
+    return full.select("row", "id", "source", "size", "source_size", "target", (after - until).cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with the columns of docs, each as often as copies() says; those with 0 copies go.
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """(id, source, size, source_size, target, copies): how often the mix emits each row.
 
-    Ids must be unique: a row whose id repeats would meet each of its counts. Rows with a null id are left out.
+    Null texts have size 0; null sources form a source of their own; sources without words take none; texts of any length count whole.
+    Rows that repeat are separate rows, each with its own place, and so are rows with a null id. Ties in size go by a hash of the id,
+    then the id. The empty table gives no rows. Reruns agree: the offsets come from a hash of source and seed. Other columns are
+    ignored, whatever their names.
     """
-    counts = copies(docs, id_col, **options).where("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(counts, docs[id_col] == counts["__id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    out = placed(docs, id_col, text_col, source_col, weights, total, most, seed, carry=False)
+    return out.drop("row").withColumnRenamed("id", id_col)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The documents of the mix with the columns of docs, whatever their names, each row as often as copies() says; rows with 0 copies
+    go. Rows are carried along, not found again by their ids: ids may repeat or be null."""
+    rows = placed(docs, id_col, text_col, source_col, weights, total, most, seed, carry=True).where("copies > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """copies() of documents: one row for each row, with the words that the mix takes from it."""
     c = copies(table(spark, sf_dir, "documents"))
     return c.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
