@@ -34,21 +34,22 @@ def seeds(n: int) -> list[int]:
 
 
 def code_points(line: str) -> Column:
-    """A line in lower case with four bytes for each character, so that a place is found in constant time."""
-    return F.encode(F.lower(line), "UTF-32")
+    """A line in lower case with two bytes for each character (four for those beyond U+FFFF, which count as two), so that a place is
+    found in constant time."""
+    return F.encode(F.lower(line), "UTF-16BE")
 
 
 def starts(points: str, characters: int = CHARACTERS) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(points) / 4 - characters).cast("int")))
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(points) / 2 - characters).cast("int")))
 
 
 def shingle(points: Column, start: Column, characters: int = CHARACTERS) -> Column:
-    return F.substring(points, start * 4 + 1, F.lit(4 * characters))
+    return F.substring(points, start * 2 + 1, F.lit(2 * characters))
 
 
 def shingle_set(line: str) -> Column:
     """The distinct 64-bit hashes of a line's shingles. The array of one binds the code points, which else were made for each place."""
-    last = lambda p: F.greatest(F.lit(0), (F.octet_length(p) / 4 - CHARACTERS).cast("int"))
+    last = lambda p: F.greatest(F.lit(0), (F.octet_length(p) / 2 - CHARACTERS).cast("int"))
     each = lambda p: F.transform(F.sequence(F.lit(0), last(p)), lambda i: F.xxhash64(shingle(p, i)))
     return F.array_distinct(F.get(F.transform(F.array(code_points(line)), each), F.lit(0)))
 
