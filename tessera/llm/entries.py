@@ -1,10 +1,12 @@
-"""The registered queries of this package. None has SQL: their tests hold them against brute force, round trips or held-out labels."""
+"""The registered queries of this package and the SQL of those that have one; tests hold the others against brute force, round trips or
+held-out labels."""
 
 from __future__ import annotations
 
 from tessera.llm.line_dedup import op5_line_dedup
 from tessera.llm.mixing import op10_mixing
 from tessera.llm.ngram_join import op6_ngram_join
+from tessera.llm.oracles import ORACLES  # noqa: F401
 from tessera.llm.pieces import op8_sentencepiece
 from tessera.llm.pii import op2_pii
 from tessera.llm.quality import op9_quality
@@ -14,4 +16,3 @@ from tessera.llm.toxicity import op4_toxicity
 from tessera.llm.vector_dedup import op1_embedding_near_dedup
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_join, op7_secret_scan, op8_sentencepiece, op9_quality, op10_mixing)}
-ORACLES: dict[str, str] = {}
