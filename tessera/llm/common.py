@@ -45,14 +45,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), but as Parquet: smaller where rows are many, and read by column."""
+def cut_table(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """As cut(), but as Parquet: smaller where rows are many, and read by column. scratch: a list that the table's path is added to."""
     cut_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that cut_table() has written, once all that reads them has been written itself."""
+    for path in scratch:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    scratch.clear()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, component), component the smallest node.
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut_table, fresh, table
+from tessera.llm.common import components, cut_table, drop_tables, fresh, table
 
 SIMILARITY, CHARACTERS, BEFORE = 0.75, 10, 4
 #: Bytes of keys that may be broadcast to find candidates' texts again; more are found by a shuffled join.
@@ -80,38 +80,40 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first of their components go. Ties between equal places don't occur. A line of any length is read whole. Should two different
     lines share a 64-bit key, both stay. Other columns are ignored.
     """
+    spark, scratch = docs.sparkSession, []
     lines = occurrences(docs, id_col, text_col)
-    distinct = cut_table(signatures(lines))
-    members = banded(distinct)
-    pairs = cut_table(near_pairs(members))
-    text = cut_table(texts_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-    links = cut_table(linked(pairs, text, similarity))
-    whole = cut_table(components(links))
-    unsettled = mixed_bands(members, whole)
+    distinct = cut_table(signatures(lines), scratch)
+    members = banded(distinct, scratch)
+    pairs = cut_table(near_pairs(members), scratch)
+    text = cut_table(texts_of(lines, cut_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), scratch)), scratch)
+    links = cut_table(linked(pairs, text, similarity, scratch), scratch)
+    whole = components(links)
+    unsettled = cut_table(mixed_bands(members, whole), scratch)
     if not unsettled.isEmpty():
-        more = cut_table(exhausted(unsettled, text, similarity))
+        more = cut_table(exhausted(unsettled, text, similarity, scratch), scratch)
         if not more.isEmpty():
-            whole = cut_table(components(links.unionByName(more)))
+            whole = components(links.unionByName(more))
 
     known = distinct.select("key", "n").join(whole, distinct["key"] == whole["node"], "left").where("n > 1 or component is not null")
-    known = cut_table(known.select("key", F.coalesce("component", "key").alias("class")))
+    known = cut_table(known.select("key", F.coalesce("component", "key").alias("class")), scratch)
     repeated = cut_table(lines.select("id", "pos", F.xxhash64("line").alias("key")).join(known, "key").select("id", "pos", "class"))
     # Written, so that the join's two sides are plain shuffles, of which a hot class's can be split.
     stays = cut_table(repeated.groupBy("class").agg(F.min(F.struct("id", "pos")).alias("stays")))
+    drop_tables(spark, scratch)
     gone = repeated.join(stays, "class").where(F.struct("id", "pos") != F.col("stays"))
     return gone.groupBy("id").agg(F.collect_set("pos").alias("removed")).withColumnRenamed("id", id_col)
 
 
-def banded(distinct: DataFrame) -> DataFrame:
+def banded(distinct: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(band, t, key, s0, ...): the rows of all bands of more than one line; t is the band's number among a line's."""
     names = [f"s{i}" for i in range(HASHES)]
     of = [F.xxhash64(F.lit(t), *[f"s{i}" for i in band]) for t, band in enumerate(BANDS)]
     by_key = Window.partitionBy("band").orderBy("key")
     rows = distinct.select("key", F.explode(F.array(*of)).alias("band"))
     rows = rows.select("key", "band", F.lag("key").over(by_key).alias("before"), F.lead("key").over(by_key).alias("after"))
-    rows = cut_table(rows.where("before is not null or after is not null").select("key", "band"))
+    rows = cut_table(rows.where("before is not null or after is not null").select("key", "band"), scratch)
     number = F.coalesce(*[F.when(F.col("band") == h, F.lit(t)) for t, h in enumerate(of)])
-    return cut_table(rows.join(distinct.select("key", *names), "key").select("band", number.alias("t"), "key", *names))
+    return cut_table(rows.join(distinct.select("key", *names), "key").select("band", number.alias("t"), "key", *names), scratch)
 
 
 def near_pairs(members: DataFrame) -> DataFrame:
@@ -125,19 +127,18 @@ def near_pairs(members: DataFrame) -> DataFrame:
 
 def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, line, n): the text of each of these keys, and the size of its shingle set."""
-    keys = cut_table(keys)
     held = lines.withColumn("key", F.xxhash64("line")).join(F.broadcast(keys) if keys.count() * 32 <= BROADCAST_BYTES else keys, "key")
     return held.groupBy("key").agg(F.min("line").alias("line")).withColumn("n", F.size(shingle_set("line")))
 
 
-def linked(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+def linked(pairs: DataFrame, text: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
     """Those of the pairs (a, b), as (u, v), whose shingle sets have at least this Jaccard similarity."""
     ends = [text.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b")]
     # Sets of sizes further apart than the similarity can't have it.
     both = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     shared = F.size(F.array_intersect(shingle_set("line_a"), shingle_set("line_b")))
     # Written before the condition, which would compute the sets once for each time it names them.
-    both = cut_table(both.select("a", "b", shared.alias("shared"), (F.col("n_a") + F.col("n_b")).alias("sizes")))
+    both = cut_table(both.select("a", "b", shared.alias("shared"), (F.col("n_a") + F.col("n_b")).alias("sizes")), scratch)
     return both.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -148,10 +149,10 @@ def mixed_bands(members: DataFrame, whole: DataFrame) -> DataFrame:
     counts = classed.groupBy("band", "class").agg(F.count("*").alias("held"))
     mixed = counts.groupBy("band").agg(F.max(F.struct("held", "class"))["class"].alias("main"), F.sum("held").alias("size"), F.count("*").alias("classes"))
     mixed = mixed.where((F.col("classes") > 1) & (F.col("size") > BEFORE + 1)).select("band", "main")
-    return cut_table(classed.join(mixed, "band"))
+    return classed.join(mixed, "band")
 
 
-def exhausted(unsettled: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+def exhausted(unsettled: DataFrame, text: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
     """(u, v): the links between lines of unsettled bands that are in different components.
 
     Of each pair one line at least is outside its band's main component; the pair is tried in the first band that it shares. It is
@@ -166,8 +167,8 @@ def exhausted(unsettled: DataFrame, text: DataFrame, similarity: float) -> DataF
     shared = F.size(F.array_intersect("h", "x_h"))
     close = F.when(apart & sizes, shared * (1 + similarity) >= similarity * (F.col("n") + F.col("x_n")) - 2).otherwise(False)
     tried = x.join(rows, (F.col("band") == F.col("x_band")) & close)
-    tried = cut_table(tried.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct())
-    return linked(tried, text, similarity)
+    tried = cut_table(tried.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct(), scratch)
+    return linked(tried, text, similarity, scratch)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
