@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,15 @@ def drop_tables(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system: idle workers stay in memory beside the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no such call in this C library
+        gc.collect()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, component), component the smallest node.
 

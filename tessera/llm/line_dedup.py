@@ -183,7 +183,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(docs[text_col], "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")).otherwise(docs[text_col])
-    out = joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col(gone).isNotNull().alias(cut_))
+    # An array of one, exploded: what follows reads the text, and would make it again wherever it is moved before a plain column.
+    out = joined.select(*[docs[c] for c in docs.columns if c != text_col], F.col(gone).isNotNull().alias(cut_), F.explode(F.array(text)).alias(text_col))
     if drop_emptied:
         out = out.where(~F.col(cut_) | F.col(text_col).rlike(r"\S"))
     return out.select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, components, cut, fresh, roots, shingle_hashes, table
+from tessera.llm.common import WordHashes, components, cut, fresh, release, roots, shingle_hashes, table
 
 WIDTH, SHARE = 5, (75, 100)
 #: Tokens that a map task packs together, and a reduce task sorts at once, about.
@@ -81,8 +81,11 @@ def packed(docs: DataFrame, buckets: int, width: int, whole: bool) -> DataFrame:
                 if held >= PACK:
                     yield flush()
                     number, ids, sets, held = number + 1, [], [], 0
+            del b
         if ids:
             yield flush()
+        ids, sets = [], []
+        release()
 
     return docs.mapInPandas(run, "batch string, bucket long, doc binary, n binary, tokens binary")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_train, table
+from tessera.llm.common import crc_train, release, table
 
 #: Labelled texts that are learned from at most: those with the least hashes of their ids. Of 3 in a row, 2 go to the scores.
 SAMPLE = 20_000
@@ -162,6 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 if y:
                     toxic.update(found)
             yield pd.DataFrame({"w": list(texts), "toxic": [toxic[w] for w in texts], "texts": list(texts.values())})
+            del b, texts, toxic, found
+            release()
 
     counts = texts.where("scores").select("text", "y").mapInPandas(tokens, "w string, toxic long, texts long")
     counts = counts.groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
@@ -235,6 +237,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least:
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series([score(token_scores(x, model), model) for x in t])
+            del t
+            release()
 
     return docs.where(scored(F.col(text_col)) < least)
 
