@@ -23,6 +23,8 @@ from tessera.llm.common import components, cut_table, drop_tables, fresh, table
 SIMILARITY, CHARACTERS, BEFORE = 0.75, 10, 4
 #: Bytes of keys that may be broadcast to find candidates' texts again; more are found by a shuffled join.
 BROADCAST_BYTES = 8 << 20
+#: Lines of a mixed band that one task compares with the band's lines outside the main component, about.
+BLOCK = 1024
 HASHES = 9
 #: Three min-hashes each, any two of which are together in one: the lines of the affine plane of order three.
 BANDS = [tuple(3 * x + (slope * x + c) % 3 for x in range(3)) for slope in range(3) for c in range(3)] + [tuple(3 * x + y for y in range(3)) for x in range(3)]
@@ -92,7 +94,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not unsettled.isEmpty():
         more = cut_table(exhausted(unsettled, text, similarity, scratch), scratch)
         if not more.isEmpty():
-            whole = components(links.unionByName(more))
+            whole = components(whole.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     known = distinct.select("key", "n").join(whole, distinct["key"] == whole["node"], "left").where("n > 1 or component is not null")
     known = cut_table(known.select("key", F.coalesce("component", "key").alias("class")), scratch)
@@ -143,12 +145,12 @@ def linked(pairs: DataFrame, text: DataFrame, similarity: float, scratch: list[s
 
 
 def mixed_bands(members: DataFrame, whole: DataFrame) -> DataFrame:
-    """members with class and main, of bands that hold lines of several components and haven't been compared in full: class is a
+    """members with class, main and blocks, of bands that hold lines of several components and haven't been compared in full: class is a
     line's component so far, main that of most of the band's lines."""
     classed = members.join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).drop("component")
     counts = classed.groupBy("band", "class").agg(F.count("*").alias("held"))
     mixed = counts.groupBy("band").agg(F.max(F.struct("held", "class"))["class"].alias("main"), F.sum("held").alias("size"), F.count("*").alias("classes"))
-    mixed = mixed.where((F.col("classes") > 1) & (F.col("size") > BEFORE + 1)).select("band", "main")
+    mixed = mixed.where((F.col("classes") > 1) & (F.col("size") > BEFORE + 1)).select("band", "main", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     return classed.join(mixed, "band")
 
 
@@ -160,13 +162,17 @@ def exhausted(unsettled: DataFrame, text: DataFrame, similarity: float, scratch:
     """
     small = text.select("key", "n", F.transform(shingle_set("line"), lambda h: F.hash(h)).alias("h"))
     rows = unsettled.join(small, "key")
-    x = rows.where("class <> main").select([F.col(c).alias(f"x_{c}") for c in rows.columns])
+    x = rows.where("class <> main").select(*[F.col(c).alias(f"x_{c}") for c in rows.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x_block"))
+    rows = rows.withColumn("block", F.pmod("key", "blocks"))
+    # Dealt out by number: rows are wide here, and splitting what little is uneven after that makes thousands of tasks.
+    parts = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, rows = x.repartition(parts, "x_band", "x_block"), rows.repartition(parts, "band", "block")
     first = F.coalesce(*[F.when(F.expr(" and ".join(f"s{i} = x_s{i}" for i in band)), F.lit(t)) for t, band in enumerate(BANDS)])
     apart = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_key") < F.col("key"))) & (first == F.col("t"))
     sizes = F.least("n", "x_n") >= similarity * F.greatest("n", "x_n")
     shared = F.size(F.array_intersect("h", "x_h"))
     close = F.when(apart & sizes, shared * (1 + similarity) >= similarity * (F.col("n") + F.col("x_n")) - 2).otherwise(False)
-    tried = x.join(rows, (F.col("band") == F.col("x_band")) & close)
+    tried = x.join(rows, (F.col("band") == F.col("x_band")) & (F.col("block") == F.col("x_block")) & close)
     tried = cut_table(tried.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct(), scratch)
     return linked(tried, text, similarity, scratch)
 
