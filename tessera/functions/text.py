@@ -15,10 +15,12 @@ MODALITY_SUFFIXES = {
     "audio": ["mp3", "wav", "m4a", "flac", "ogg", "aac"],
 }
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin",
-    "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "scala": "scala", "sh": "shell", "sql": "sql",
-    "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown",
+    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "go": "go",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "swift": "swift", "rb": "ruby", "php": "php", "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp",
+    "c": "c", "h": "c", "hpp": "cpp", "sql": "sql", "sh": "shell", "bash": "shell", "zsh": "shell", "ps1": "powershell", "toml": "toml", "yaml": "yaml", "yml": "yaml",
+    "json": "json", "xml": "xml", "ini": "ini", "cfg": "config", "conf": "config", "env": "env", "md": "markdown", "txt": "text",
 }
+LANGUAGE_NAMES = {"dockerfile": "dockerfile", "makefile": "make", "cmakelists.txt": "cmake"}
 
 
 def tokens(text) -> Column:
@@ -117,15 +119,15 @@ def modality(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    pairs = [F.lit(x) for kv in LANGUAGES.items() for x in kv]
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.when(name == "Dockerfile", "dockerfile").when(name == "Makefile", "makefile").otherwise(F.coalesce(F.try_element_at(F.create_map(*pairs), suffix(path)), F.lit("unknown")))
+    """By the file's name, in any case, or else its suffix."""
+    of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(of(LANGUAGE_NAMES), F.lower(F.element_at(F.split(path, "/"), -1))), F.try_element_at(of(LANGUAGES), suffix(path)), F.lit("unknown"))
 
 
 def name_style(name: Column) -> Column:
     return (
         F.when(name.rlike(r"^[a-z0-9]+(_[a-z0-9]+)+$"), "snake").when(name.rlike(r"^[a-z0-9]+(-[a-z0-9]+)+$"), "kebab")
-        .when(name.rlike(r"^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$"), "camel").otherwise("other")
+        .when(name.rlike(r"^[a-z]+([A-Z][a-z0-9]*)+$"), "camel").otherwise("other")
     )
 
 

@@ -68,7 +68,7 @@ def declared(path: str, source: str | None) -> list[tuple[str, str, str]]:
     name, out = path.rsplit("/", 1)[-1], []
     try:
         if name == "package.json":
-            for section in ("dependencies", "devDependencies", "peerDependencies"):
+            for section in ("dependencies", "devDependencies", "optionalDependencies"):
                 out += [(k, str(v), section) for k, v in (json.loads(source or "{}").get(section) or {}).items()]
         elif name in ("pyproject.toml", "Cargo.toml"):
             t = tomllib.loads(source or "")

@@ -55,17 +55,17 @@ def hash_embed(tokens: Column) -> Column:
     return embed(tokens)
 
 
-def greedy_distinct(frames: DataFrame, threshold: float = 0.85, most: int = 80, group: str = "video_id", order: str = "ts") -> DataFrame:
-    """(group, id) kept in order: a frame stays iff its cosine with every kept one before it is below the threshold, up to ``most``.
+def greedy_distinct(frames: DataFrame, threshold: float = 0.85, most: int | None = None, group: str = "video_id", order: str = "ts") -> DataFrame:
+    """(group, id) kept in order: a frame stays iff its cosine with every kept one before it is below the threshold, up to ``most`` if given.
 
-    Order decides, so each group is one task; at most ``most`` vectors are held against each new one."""
+    Order decides, so each group is one task; what is kept is held against each new one."""
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         kept, ids = [], []
         for r in rows.sort_values([order, "id"]).itertuples():
             v = np.asarray(r.embedding, float)
             v = v / (np.linalg.norm(v) + 1e-12)
-            if len(kept) < most and (not kept or (np.stack(kept) @ v).max() < threshold):
+            if (most is None or len(kept) < most) and (not kept or (np.stack(kept) @ v).max() < threshold):
                 kept.append(v)
                 ids.append((getattr(r, group), r.id))
         return pd.DataFrame(ids, columns=[group, "id"])

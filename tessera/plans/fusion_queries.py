@@ -67,7 +67,7 @@ def audio_search(spark, d):
 def video_search(spark, d):
     frames = _owner(spark, d, "video_id", "v")
     lane = _lexical(spark, d, 4 * K, every=True)
-    said = lane.where("id % 3 = 0").join(frames, "id").select("qid", "video_id", "score")
+    said = lane.join(frames, "id").select("qid", "video_id", "score")
     out = X.video(_near(spark, d, 4 * K), lane, said, frames, K)
     return out.select("qid", "video_id", F.round("score", 4).alias("score"), "context_match", "transcript_match")
 
@@ -83,7 +83,7 @@ def unified_search(spark, d):
 def code_candidates(spark, d):
     f = files(spark, d).select("id", F.lower("path").alias("path"), "content", "mtime")
     lines = f.select("id", "path", "mtime", (F.regexp_count("content", F.lit("\n")) + 1).cast("long").alias("line_count"))
-    symbols = f.select("id", F.explode(F.array_distinct(F.slice(T.tokens(F.col("content")), 1, 12))).alias("name"))
+    symbols = f.select("id", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("name"))
     q = queries(spark, d, 1).select("qid", F.concat_ws(" ", F.concat(F.lit("src"), F.col("qid") % 3), "query").alias("query"))
     return X.code_candidates(lines, symbols, q, 20).select("qid", "id", "score", F.array_join("reasons", ",").alias("reasons"))
 
@@ -109,7 +109,7 @@ def porter_bm25(spark, d):
 
 def knn_lsh(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
     return V.nearest_approx(v, q, 5, 64)
 
 
@@ -158,12 +158,12 @@ SQL = {
     "match_type": f"{_LEX}, {_NEAR}, {_IMAGE} select match_type, count(*) n from image group by all",
     "audio_search": f"{_LEX}, {_AUDIO} select qid, id, round(score, 6) score, transcript_md5 from audio",
     "video_search": f"""{_EVERY}, {_NEAR}, lane as (select *, 'v'||(id//{GROUP}) video_id from ranked where rank <= {4 * K}),
- s as (select qid, 'v'||(id//{GROUP}) video_id, max(score) s from near join files using(id) where rank <= {4 * K} and score >= 0.15 group by all), c as (select qid, video_id, sum(least(0.35, abs(score)/20)) c from lane group by all), t as (select qid, video_id, sum(least(0.3, abs(score)/20)) t from lane where id % 3 = 0 group by all),
+ s as (select qid, 'v'||(id//{GROUP}) video_id, max(score) s from near join files using(id) where rank <= {4 * K} and score >= 0.15 group by all), c as (select qid, video_id, sum(least(0.35, abs(score)/20)) c from lane group by all), t as (select qid, video_id, sum(least(0.3, abs(score)/20)) t from lane group by all),
  a as (select * from s full join c using(qid, video_id) full join t using(qid, video_id)), f as (select qid, video_id, round(case when c is not null or t is not null then least(0.99, coalesce(s, 0.2) + coalesce(c, 0) + coalesce(t, 0)) else s end, 9) score, c is not null context_match, t is not null transcript_match from a)
  select qid, video_id, round(score, 4) score, context_match, transcript_match from (select *, row_number() over (partition by qid order by score desc, video_id) r from f where score > 0) where r <= {K}""",
     "unified_search": f"""{_LEX}, {_NEAR}, {_CLOUD}, {_AUDIO}, u as (select qid, 'text' modality, id::varchar item, round(1.0::double/(60+rank), 12) score from ranked where rank <= {K} union all select qid, 'cloud', path, round(score, 6) from cloud union all select qid, 'audio', id::varchar, round(score, 6) from audio)
  select qid, modality, item, round(score, 6) score, low_confidence from (select *, max(score) over (partition by qid) < 0.1 low_confidence, row_number() over (partition by qid order by score desc, modality, item) r from u) where r <= {2 * K}""",
-    "code_candidates": rf"""with {FILES}, f as (select id, lower(path) path, mtime, content, length(content) - length(replace(content, chr(10), '')) + 1 line_count from files), sy as (select distinct id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}\p{{M}}_]+')[1:12]) name from f),
+    "code_candidates": rf"""with {FILES}, f as (select id, lower(path) path, mtime, content, length(content) - length(replace(content, chr(10), '')) + 1 line_count from files), sy as (select distinct id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}\p{{M}}_]+')) name from f),
  q as (select item_id qid, 'src'||(item_id%3)||' '||string_split(text, ' ')[1] query from benchmark), t as (select distinct qid, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}\p{{M}}_]+')) tok from q), tk as (select * from t where length(tok) >= 2), w as (select distinct tok from tk),
  p as (select tok, id, row_number() over (partition by tok order by mtime desc, id) n from f join w on contains(path, tok)), s as (select tok, id, row_number() over (partition by tok order by id) n from (select distinct tok, id from sy join w on contains(name, tok))),
  h as (select qid, id, 2.0 s, 'path:'||tok reason from p join tk using(tok) where n <= 300 union all select qid, id, 3.0, 'symbol:'||tok from s join tk using(tok) where n <= 500 union all select qid, id, 0.25, 'fallback' from q, (select id from f order by mtime desc, id limit 200)),

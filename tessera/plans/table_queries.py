@@ -26,7 +26,7 @@ def _vec(spark, d):
 
 
 def _q_vec(spark, d):
-    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def knn_cosine(spark, d):
@@ -121,11 +121,6 @@ _MAN = "m as (select o_orderkey::varchar path, floor(o_totalprice)::bigint size,
 
 
 def manifest_queue(spark, d):
-    # The rows of the SQL; manifest_queue_whole has them all.
-    return manifest_queue_whole(spark, d).where("place <= 500")
-
-
-def manifest_queue_whole(spark, d):
     return M.claim(_manifest(spark, d), 4)
 
 
@@ -208,10 +203,12 @@ def modality_classify(spark, d):
     return p.groupBy(T.modality(F.col("path")).alias("modality")).agg(F.count("*").alias("n"))
 
 
+_NAMES = [f"x.{s}" for s in (*T.LANGUAGES, "zzz", "PY", "html")] + ["Dockerfile", "MAKEFILE", "CMakeLists.txt"]
+
+
 def language_map(spark, d):
-    kinds = ["py", "ts", "rs", "go", "zzz"]
-    n = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    p = table(spark, d, "part").select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string"), F.lit("."), n).alias("path"))
+    n = F.element_at(F.array(*[F.lit(k) for k in _NAMES]), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    p = table(spark, d, "part").select(F.concat(F.lit("/p/"), n).alias("path"))
     return p.groupBy(T.language(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
 
 
@@ -262,13 +259,13 @@ def tombstones(spark, d):
 
 
 NAMES = """knn_cosine knn_angular knn_l2 hash_embed_blake2b greedy_dedup run_metrics ndcg token_reduction upsert_newest unchanged_skip stale_rows resume_semi prefix_delete content_hash_sync
- manifest_queue manifest_queue_whole manifest_requeue manifest_counts state_guard buffer_assemble hit_counter top_searched recent_sync daily_trend day_delta dir_stats lang_dist state_pivot kpi_snapshot modality_classify language_map
+ manifest_queue manifest_requeue manifest_counts state_guard buffer_assemble hit_counter top_searched recent_sync daily_trend day_delta dir_stats lang_dist state_pivot kpi_snapshot modality_classify language_map
  name_style json_props paging correlated_count left_distinct three_way_join budget_sessions tombstones"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 
 def _knn(score: str, places: int) -> str:
-    return f"with {_VEC}, s as (select q.id qid, v.id, round({score}, 9) score from v, v q where q.id % 50 = 0), r as (select *, row_number() over (partition by qid order by score desc, id) rank from s) select qid, id, round(score, {places}) score, rank from r where rank <= 5"
+    return f"with {_VEC}, s as (select q.id qid, v.id, round({score}, 9) score from v, v q where q.id % 20 = 0), r as (select *, row_number() over (partition by qid order by score desc, id) rank from s) select qid, id, round(score, {places}) score, rank from r where rank <= 5"
 
 
 _COS = "list_cosine_similarity(v.e::double[], q.e::double[])"
@@ -289,8 +286,7 @@ SQL = {
     "prefix_delete": f"with {FILES} select category, count(*) n from files where not starts_with(path, '/src1/') group by all",
     "content_hash_sync": f"with {_SYNC} select uri, change from s",
     "tombstones": f"with {_SYNC} select uri, case change when 'deleted' then 'deleted' else 'active' end status from s",
-    "manifest_queue": f"with {_MAN}, q as (select path, row_number() over (order by coalesce(size, 0), path) place from m where state = 'QUEUED') select path, place, (place-1) % 4 worker from q where place <= 500",
-    "manifest_queue_whole": f"with {_MAN}, q as (select path, row_number() over (order by coalesce(size, 0), path) place from m where state = 'QUEUED') select path, place, (place-1) % 4 worker from q",
+    "manifest_queue": f"with {_MAN}, q as (select path, row_number() over (order by coalesce(size, 0), path) place from m where state = 'QUEUED') select path, place, (place-1) % 4 worker from q",
     "manifest_requeue": f"with {_MAN} select path, case when size % 2 = 0 then size+1 else size end size, modified, case when size % 2 <> 0 and state = 'FETCHED' then 'FETCHED' else 'QUEUED' end state from m",
     "manifest_counts": f"with {_MAN} select count(*) filter(state='QUEUED') queued, count(*) filter(state='FETCHING') fetching, count(*) filter(state='FETCHED') fetched, count(*) filter(state='FAILED') failed, count(*) total from m",
     "state_guard": f"with {_MAN}, c as (select path, state before, case when size % 2 = 0 then 'QUEUED' else 'FETCHING' end \"after\" from m) select *, (before, \"after\") in (('QUEUED','FETCHING'),('FETCHING','FETCHED'),('FETCHING','FAILED'),('FETCHED','QUEUED'),('FAILED','QUEUED')) allowed from c",
@@ -305,7 +301,7 @@ SQL = {
     "state_pivot": "select o_orderpriority, count(*) filter(o_orderstatus='F') \"F\", count(*) filter(o_orderstatus='O') \"O\", count(*) filter(o_orderstatus='P') \"P\" from orders group by all",
     "kpi_snapshot": "with x as (select sum(octet_length(encode(text)))::bigint b, count(*) files from documents), y as (select files, b//4 naive, b//8 optimised, round((1-(b//8)/(b//4))*100, 4) reduction from x) select *, case when reduction >= 55 then 'good' when reduction >= 25 then 'warn' else 'critical' end health from y",
     "modality_classify": "select ['text','image','video','audio','unknown'][p_partkey%5+1] modality, count(*) n from part group by all",
-    "language_map": "select ['python','typescript','rust','go','unknown'][p_partkey%5+1] as language, count(*) n from part group by all",
+    "language_map": f"with m as (select unnest({list(T.LANGUAGES)}) s, unnest({list(T.LANGUAGES.values())}) g), p as (select lower({_NAMES}[p_partkey%{len(_NAMES)}+1]) nm from part) select case nm when 'dockerfile' then 'dockerfile' when 'makefile' then 'make' when 'cmakelists.txt' then 'cmake' else coalesce(g, 'unknown') end as language, count(*) n from p left join m on nm = 'x.'||s group by all",
     "name_style": "with p as (select unnest([p_name, replace(p_name,' ','_'), replace(p_name,' ','-')]) name from part) select case when regexp_full_match(name, '[a-z0-9]+(_[a-z0-9]+)+') then 'snake' when regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)+') then 'kebab' when regexp_full_match(name, '[a-z][a-z0-9]*([A-Z][a-z0-9]*)+') then 'camel' else 'other' end style, count(*) n from p group by all",
     "json_props": "select event_type, sum((props->>'$.k')::bigint)::bigint k, count(*) n from events group by all",
     "paging": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 40",

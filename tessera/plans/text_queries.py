@@ -75,7 +75,7 @@ def exact_filename(spark, d):
 
 def like_fallback(spark, d):
     q = queries(spark, d, 1).select("qid", F.lower("query").alias("tok")).where("tok <> ''")
-    f = files(spark, d).orderBy("id").limit(5000)
+    f = files(spark, d)
     hits = f.join(R.hint(q, _n(q)), F.contains(F.lower("content"), F.col("tok")) | F.contains(F.lower("filename"), F.col("tok")))
     return hits.select("qid", "id", (T.occurrences(F.lower("filename"), F.col("tok")) * 3 + T.occurrences(F.lower("content"), F.col("tok"))).cast("long").alias("score"))
 
@@ -125,12 +125,13 @@ def line_chunks(spark, d):
 
 
 def relevance_tag(spark, d):
-    """strong from 0.75 of a query's best score, medium from 0.4, else weak."""
+    """strong from 0.75 of a query's best score, medium from 0.4, else weak; weak too where no score is above 0."""
     from pyspark.sql import Window
 
     q = queries(spark, d)
     hits = R.bm25(files(spark, d), q, 10, prefix=False, n_queries=_n(q))
-    part = F.col("score") / F.max("score").over(Window.partitionBy("qid"))
+    best = F.max("score").over(Window.partitionBy("qid"))
+    part = F.when(best > 0, F.col("score") / best).otherwise(0.0)
     return hits.select("qid", "id", F.when(part >= 0.75, "strong").when(part >= 0.4, "medium").otherwise("weak").alias("tag"))
 
 
@@ -155,7 +156,7 @@ SQL = {
     "matter_filter": f"with {FILES}, {_QS2}, {TERMS}, {_PREFIX_WORD}, scored as (select qid, id, 1.0/(60+rank) score from word join files using(id) where matter_id = 'en'), {RANKED} select qid, id, round(score, 6) score, rank from ranked where rank <= 10",
     "exclude_sources": f"{_BM25.replace(QS, _QS2)} select qid, id, round(score, 6) score from ranked join files using(id) where rank <= 80 and category not in ('src0', 'src3')",
     "exact_filename": f"with {FILES} select l.doc_id qid, id, path, 5.0::double score from labels l join files on lower(filename) = 'doc_'||l.doc_id||'.txt'",
-    "like_fallback": f"with {FILES}, {_QS1} select qid, id, cast(3*((length(filename)-length(replace(lower(filename), t, '')))//length(t)) + (length(lower(content))-length(replace(lower(content), t, '')))//length(t) as bigint) score from (select qid, lower(query) t from qs where query <> '') join (select * from files order by id limit 5000) on contains(lower(content), t) or contains(lower(filename), t)",
+    "like_fallback": f"with {FILES}, {_QS1} select qid, id, cast(3*((length(filename)-length(replace(lower(filename), t, '')))//length(t)) + (length(lower(content))-length(replace(lower(content), t, '')))//length(t) as bigint) score from (select qid, lower(query) t from qs where query <> '') join files on contains(lower(content), t) or contains(lower(filename), t)",
     "lane_weights": f"with {_QS3}, {_NOISY} select qid, mode, noisy, (case mode when 'trigram_only' then 0.0 else 1.0 end)::double word, (case mode when 'bm25_only' then 0.0 when 'trigram_only' then 1.0 else case when noisy then 0.55 else 0.2 end end)::double trigram from noisy, (values ('hybrid'), ('bm25_only'), ('trigram_only')) m(mode)",
     "token_estimate": f"with {FILES} select id, greatest(1, round_even(len(regexp_extract_all(content, '\\S+')) * 1.35::double, 0)::bigint) tokens from files",
     "adaptive_chunks": f'with {FILES}, {_CH} select id, chunk_index, "start", "end", md5(txt) text_md5 from ch',
