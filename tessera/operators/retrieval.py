@@ -41,51 +41,67 @@ def query_terms(queries: DataFrame, least: int = 1, stemmed: bool = False) -> Da
     return t.where(F.length("term") >= least).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
+def vocabulary(files: DataFrame, words: Column) -> DataFrame:
+    """(word, times): the distinct words of all files and how often they occur; combined before the shuffle, so as small as they are few.
+    Dealt out by number: few bytes, but much is done with each word, which one merged partition would do alone."""
+    counts = files.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    return counts.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+
+def scored(postings: DataFrame, terms: DataFrame, stats: DataFrame, n_queries: int | None) -> DataFrame:
+    """(qid, id, score, held) of postings (term, id, dl, tf): held is how many of the query's terms a text has. stats: n, avgdl."""
+    found = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms.join(hint(found, n_queries), "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
+    part = F.col("w") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return postings.join(hint(weights, n_queries), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("held"))
+
+
 def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool = True, n_queries: int | None = None, stemmed: bool = False, every: bool = False) -> DataFrame:
     """(qid, id, score, rank): BM25 over filename and content; with prefix, a query token stands for all words that start with it,
     as one term whose frequency and document count are those of all of them together. stemmed: texts and queries by Porter stems,
-    a query's before its prefixes are looked up. every: only texts that hold all of a query's terms."""
+    a query's before its prefixes are looked up. every: only texts that hold all of a query's terms.
+
+    Terms are looked up among the distinct words, which alone are stemmed or cut to prefixes; texts meet them by whole words.
+    """
     body = F.concat(T.tokens(F.col("filename")), T.tokens(F.col("content")))
-    docs = files.select("id", (stems(body) if stemmed else body).alias("t"))
     terms = query_terms(queries, stemmed=stemmed)
     wanted = terms.select("term").distinct()
+    words = vocabulary(files, body)
+    stats = files.agg(F.count("*").alias("n")).crossJoin(words.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("held"))).select("n", (F.col("held") / F.col("n")).alias("avgdl"))
+    names = words.select("word", (F.get(stems(F.array("word")), F.lit(0)) if stemmed else F.col("word")).alias("s"))
     if prefix:
         lengths = wanted.agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))  # at most as many as words are long
-        docs = docs.crossJoin(F.broadcast(lengths))
-        each = docs.select("id", F.size("t").alias("dl"), F.explode(F.flatten(F.transform("t", lambda w: F.transform(F.filter("lengths", lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))))).alias("term"))
-    else:
-        each = docs.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = each.join(hint(wanted, n_queries), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    stats = files.select(F.size(F.concat(T.tokens(F.col("filename")), T.tokens(F.col("content")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(hint(found, n_queries), "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
-    part = F.col("w") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = postings.join(hint(weights, n_queries), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("held"))
+        starts = F.transform(F.filter("lengths", lambda n: n <= F.length("s")), lambda n: F.substring("s", F.lit(1), n))
+        names = names.crossJoin(F.broadcast(lengths)).select("word", F.explode(starts).alias("s"))
+    names = names.join(hint(wanted, n_queries), F.col("s") == F.col("term")).select("word", "term")
+    each = files.select("id", body.alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("word"))
+    postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    out = scored(postings, terms, stats, n_queries)
     if every:
-        scored = scored.join(hint(terms.groupBy("qid").agg(F.count("*").alias("held")), n_queries), ["qid", "held"])
-    return top(scored.drop("held"), k)
+        out = out.join(hint(terms.groupBy("qid").agg(F.count("*").alias("held")), n_queries), ["qid", "held"])
+    return top(out.drop("held"), k)
 
 
 def trigram(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, n_queries: int | None = None) -> DataFrame:
     """(qid, id, score, rank): BM25 over trigrams: a token of three characters or more is a phrase of trigrams, so a substring; its
-    frequency counts overlapping places; a text's length is its number of trigrams."""
+    frequency counts overlapping places; a text's length is its number of trigrams.
+
+    A token holds only word characters, so its places lie within words: it is looked up, by its first trigram, among the distinct
+    words, and texts meet it by whole words.
+    """
     terms = query_terms(queries, least=3)
-    wanted = terms.select("term").distinct()
-    docs = files.select("id", F.lower("filename").alias("f"), F.lower("content").alias("c"))
-    dl = F.greatest(F.length("f") - 2, F.lit(0)) + F.greatest(F.length("c") - 2, F.lit(0))
-    # The queries' tokens are a stated set, met with each text once. Places can overlap only where a token ends as it starts.
-    overlaps = F.exists(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.left("term", i) == F.right("term", i))
-    wanted = wanted.select("term", overlaps.alias("overlaps"))
-    met = docs.withColumn("dl", dl).join(hint(wanted, n_queries), F.contains("f", F.col("term")) | F.contains("c", F.col("term")))
-    both = F.concat_ws("\n", "f", "c")
-    times = F.when(F.col("overlaps"), F.regexp_count(both, F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)")))).otherwise(T.occurrences(both, F.col("term")))
-    postings = met.select("term", "id", "dl", times.alias("tf"))
-    stats = docs.select(dl.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(found, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
-    scored = postings.join(hint(weights, n_queries), "term").groupBy("qid", "id").agg(F.sum(F.col("w") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
-    scored = scored.withColumn("score", F.round("score", 9))
-    return top(scored, k)
+    whole = lambda x: F.coalesce(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0)), F.array().cast("array<string>"))
+    body = F.filter(F.concat(whole(F.col("filename")), whole(F.col("content"))), lambda w: F.length(w) >= 3)
+    dl = F.greatest(F.length("filename") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
+    stats = files.select(dl.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = vocabulary(files, body).select("word")
+    keyed = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))).alias("key"))
+    wanted = terms.select("term", F.left("term", F.lit(3)).alias("key")).distinct()
+    places = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - F.length("term") + 1), lambda i: F.substring("word", i, F.length("term")) == F.col("term")))
+    names = keyed.join(hint(wanted, n_queries), "key").where(F.contains("word", F.col("term"))).select("word", "term", places.alias("times"))
+    each = files.select("id", dl.alias("dl"), body.alias("t")).select("id", "dl", F.explode("t").alias("word"))
+    postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.sum("times").alias("tf"))
+    return top(scored(postings, terms, stats, n_queries).drop("held"), k)
 
 
 def fuse(lanes: list[tuple[DataFrame, Column | float]], k: int | None = None) -> DataFrame:

@@ -82,7 +82,7 @@ def hash_embed_md5(tokens: DataFrame, dim: int = DIM) -> DataFrame:
     return sums.select("id", "slot", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))).alias("value"))
 
 
-def nearest_approx(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 48, bits: int = 6, seed: int = 3) -> DataFrame:
+def nearest_approx(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 72, bits: int = 6, seed: int = 3) -> DataFrame:
     """(qid, id, score, rank) by cosine among rows that share a bucket with the query: in each of ``tables`` tables a bucket is the signs
     of ``bits`` random projections. Candidates are scored exactly; vectors are shuffled as bucket numbers, then met again by id."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(6)

@@ -85,7 +85,7 @@ def test_queue_query_gives_all_queued(spark):
     from tessera.plans import table_queries as Q
 
     d = "/root/testdata/sf0.001"
-    assert Q.QUERIES["manifest_queue_whole"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'").count() > 500
+    assert Q.QUERIES["manifest_queue"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'").count() > 500
 
 
 def test_search_takes_stems_and_near_file_names(spark):
