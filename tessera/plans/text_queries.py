@@ -150,7 +150,12 @@ QUERIES = {
     f.__name__: f
     for f in (bm25_top10, bm25_prefix, trigram_top10, rrf_hybrid, text_search, matter_filter, exclude_sources, exact_filename, like_fallback, lane_weights, token_estimate, adaptive_chunks, chunk_id, chunk_neighbors, best_chunk, line_chunks, relevance_tag)
 }
+_TRIGRAMS = f"""with {FILES}, {_QS2}, {TERMS.replace("from qs)", "from qs) where length(term) >= 3")}, tok as (select id, unnest(regexp_extract_all(lower(filename)||' '||lower(content), '{WORD}')) t from files),
+ stats as (select id, greatest(length(filename)-2, 0) + greatest(length(content)-2, 0) dl from files), corpus as (select count(*) n, avg(dl) avgdl from stats),
+ held as (select term, word, len(list_filter(range(1, length(word)-length(term)+2), lambda i: substr(word, i, length(term)) = term)) m from (select distinct t word from tok) join (select distinct term from terms) on contains(word, term)),
+ post as (select term, id, sum(m)::bigint tf from tok join held on t = word group by all), {SCORED}, {RANKED}"""
 SQL = {
+    "trigram_top10": f"{_TRIGRAMS} select qid, id, round(score, 6) score, rank from ranked where rank <= 10",
     "bm25_top10": f"{_BM25} select qid, id, round(score, 6) score, rank from ranked where rank <= 10",
     "bm25_prefix": f"with {FILES}, {_QS3}, {TERMS}, {_PREFIX_WORD} select qid, id, round(score, 6) score, rank from word",
     "matter_filter": f"with {FILES}, {_QS2}, {TERMS}, {_PREFIX_WORD}, scored as (select qid, id, 1.0/(60+rank) score from word join files using(id) where matter_id = 'en'), {RANKED} select qid, id, round(score, 6) score, rank from ranked where rank <= 10",
