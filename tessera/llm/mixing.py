@@ -65,14 +65,15 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     per_source = per_source.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     offset = hex_number(F.lit(str(seed)), F.col("absent").cast("string"), "name", digits=5) / F.lit(float(1 << 20))
     per_source = per_source.withColumn("offset", offset).drop("source")
-    parts = counted.select("name", "absent", "class", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    part = F.pmod(F.shiftright("key", 20), F.col("parts")).alias("part")
+    # One number for all classes, so that rows need no join to learn it, and the window below deals them out by part too.
+    parts = max(1, -(-(counted.agg(F.max("n")).first()[0] or 0) // BLOCK))
+    part = F.pmod(F.shiftright("key", 20), F.lit(parts)).alias("part")
     line = Window.partitionBy("name", "absent").orderBy("class", "part")
-    blocks = light.join(parts, ["name", "absent", "class"]).select("name", "absent", "class", part).groupBy("name", "absent", "class", "part").agg(F.count("*").alias("n"))
+    blocks = light.select("name", "absent", "class", part).groupBy("name", "absent", "class", "part").agg(F.count("*").alias("n"))
     blocks = blocks.withColumn("first", F.sum("n").over(line) - F.col("n"))
     info = blocks.join(per_source, ["name", "absent"]).select("name", "absent", "class", "part", "first", "source_size", "target", "each", "offset")
     within = Window.partitionBy("name", "absent", "class", "part").orderBy("size", "key", "id")
-    dealt = rows.join(parts, ["name", "absent", "class"]).select(*rows.columns, part).withColumn("place", F.row_number().over(within))
+    dealt = rows.select(*rows.columns, part).withColumn("place", F.row_number().over(within))
     full = dealt.join(info, ["name", "absent", "class", "part"])
     after = F.floor((F.col("first") + F.col("place")) * F.col("each") + F.col("offset"))
     until = F.floor((F.col("first") + F.col("place") - 1) * F.col("each") + F.col("offset"))
