@@ -1,4 +1,5 @@
-"""Text of files by suffix, from Spark's binaryFile source. Formats whose libraries are missing give an empty text."""
+"""Text of files by suffix, from Spark's binaryFile source. What is in a format that nothing here
+can read (pdf, doc, ppt, rtf, xls) has a null text, which an empty file hasn't."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+UNREAD = ["pdf", "doc", "ppt", "rtf", "xls"]
+
 
 def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "ignore")
@@ -32,12 +35,46 @@ def zipped_text(raw: bytes, prefix: str, tag: str) -> str:
         return "\n".join(" ".join(e.text for e in ElementTree.fromstring(z.read(n)).iter() if e.tag.endswith(tag) and e.text) for n in parts)
 
 
-def extract(path: str, raw: bytes) -> str:
-    """The text of one file; an unknown suffix or a file that can't be read gives an empty text."""
+def tagged(element: ElementTree.Element, tag: str) -> list[ElementTree.Element]:
+    return [e for e in element.iter() if e.tag.endswith("}" + tag)]
+
+
+def cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
+    if cell.get("t") == "inlineStr":
+        return "".join(e.text or "" for e in tagged(cell, "t"))
+    value = next((e.text or "" for e in tagged(cell, "v")), "")
+    if cell.get("t") == "b":
+        return "True" if value == "1" else "False"
+    return shared[int(value)] if cell.get("t") == "s" and value else value
+
+
+def workbook_text(raw: bytes) -> str:
+    """Each sheet's name, then its rows, cells that aren't blank joined by tabs; a formula by its stored value, a date by its number."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(e.text or "" for e in tagged(item, "t")) for item in tagged(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")]
+        target = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in tagged(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet"):
+            out.append(f"# Sheet: {sheet.get('name')}")
+            part = target[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+            rows = tagged(ElementTree.fromstring(z.read(part.lstrip("/") if part.startswith("/") else f"xl/{part}")), "row")
+            cells = [[t for t in (cell_text(c, shared) for c in tagged(r, "c")) if t.strip()] for r in rows]
+            out += ["\t".join(c) for c in cells if c]
+        return "\n".join(out).strip()
+
+
+def extract(path: str, raw: bytes) -> str | None:
+    """The text of one file: empty for an unknown suffix or a file that is broken, null for a format that can't be read."""
     suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix in UNREAD:
+        return None
     try:
         if suffix == "csv":
             return rows_text(raw)
+        if suffix == "tsv":
+            return rows_text(raw, "\t")
         if suffix == "json":
             try:
                 return json.dumps(json.loads(decoded(raw)), indent=2, ensure_ascii=False)
@@ -49,8 +86,10 @@ def extract(path: str, raw: bytes) -> str:
             return zipped_text(raw, "word/document", "}t")
         if suffix == "ods":
             return zipped_text(raw, "content", "}p")
-        return decoded(raw) if suffix in T.MODALITY_SUFFIXES["text"] and suffix not in ("pdf", "doc", "ppt", "rtf", "xls", "xlsx") else ""
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, csv.Error):
+        if suffix == "xlsx":
+            return workbook_text(raw)
+        return decoded(raw) if suffix in T.MODALITY_SUFFIXES["text"] or suffix in T.LANGUAGES else ""
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, StopIteration, csv.Error):
         return ""
 
 
