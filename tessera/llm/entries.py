@@ -4,6 +4,7 @@ held-out labels."""
 from __future__ import annotations
 
 from tessera.llm.line_dedup import op5_line_dedup
+from tessera.llm.merkle import op11_merkle_manifest
 from tessera.llm.mixing import op10_mixing
 from tessera.llm.ngram_join import op6_ngram_join
 from tessera.llm.oracles import ORACLES  # noqa: F401
@@ -15,4 +16,4 @@ from tessera.llm.threshold_topk import op3_exact_topk
 from tessera.llm.toxicity import op4_toxicity
 from tessera.llm.vector_dedup import op1_embedding_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_join, op7_secret_scan, op8_sentencepiece, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_join, op7_secret_scan, op8_sentencepiece, op9_quality, op10_mixing, op11_merkle_manifest)}

@@ -70,4 +70,49 @@ f AS (
   FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, source_size, target, CAST(floor(place * each + shift) - floor((place - 1) * each + shift) AS BIGINT) * size AS taken FROM f"""
 
-ORACLES = {"op1_embedding_near_dedup": EMBEDDING_NEAR_DEDUP, "op3_exact_topk": EXACT_TOPK, "op6_ngram_join": NGRAM_JOIN, "op10_mixing": MIXING}
+#: crc32, which DuckDB lacks, byte by byte over a table made by its rule.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes, with crc in the FROM clause."""
+    data = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def framed(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+_FIELDS = "||".join(framed(f) for f in ("doc_id", "source", "lang", "n_chars"))
+_TAMPERED = f"CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+    sha256({_FIELDS} || {framed("text")}) AS leaf, sha256({_FIELDS} || {framed(_TAMPERED)}) AS tampered FROM documents, crc),
+nodes(g, level, idx, h, n) AS (
+  SELECT g, 0, idx, leaf, n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY g, level, n, idx // 3),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+above(level, idx, h, n) AS (
+  SELECT 0, idx, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM above WHERE n > 1 GROUP BY level, n, idx // 3),
+runs AS (SELECT g, level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM nodes WHERE n > 1 GROUP BY g, level, idx // 3),
+above_runs AS (SELECT level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM above WHERE n > 1 GROUP BY level, idx // 3),
+met AS (
+  SELECT doc_id, runs.level, hs, CAST(idx // CAST(pow(3, runs.level) AS BIGINT) % 3 AS BIGINT) AS place FROM leaves JOIN runs ON leaves.g IS NOT DISTINCT FROM runs.g AND runs.run = idx // CAST(pow(3, runs.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT doc_id, 1000 + r.level, hs, CAST(s.idx // CAST(pow(3, r.level) AS BIGINT) % 3 AS BIGINT) FROM leaves JOIN subroots s ON leaves.g IS NOT DISTINCT FROM s.g JOIN above_runs r ON r.run = s.idx // CAST(pow(3, r.level + 1) AS BIGINT)),
+steps AS (SELECT doc_id, level, [array_to_string(hs[1:place], ''), array_to_string(hs[place + 2:], '')] AS step FROM met),
+paths AS (SELECT doc_id, string_agg(step[1] || step[2], '' ORDER BY level) AS proof, list(step ORDER BY level) AS path FROM steps GROUP BY doc_id),
+out AS (
+  SELECT l.doc_id, leaf, subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend([tampered, ''], coalesce(path, [])), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''])[1] AS folded_root
+  FROM leaves l JOIN subroots s ON l.g IS NOT DISTINCT FROM s.g LEFT JOIN paths p ON p.doc_id = l.doc_id)
+SELECT *, folded_root = root AS verified FROM out"""
+
+ORACLES = {"op1_embedding_near_dedup": EMBEDDING_NEAR_DEDUP, "op3_exact_topk": EXACT_TOPK, "op6_ngram_join": NGRAM_JOIN, "op10_mixing": MIXING, "op11_merkle_manifest": MERKLE_MANIFEST}
