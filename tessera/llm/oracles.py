@@ -115,4 +115,30 @@ out AS (
   FROM leaves l JOIN subroots s ON l.g IS NOT DISTINCT FROM s.g LEFT JOIN paths p ON p.doc_id = l.doc_id)
 SELECT *, folded_root = root AS verified FROM out"""
 
-ORACLES = {"op1_embedding_near_dedup": EMBEDDING_NEAR_DEDUP, "op3_exact_topk": EXACT_TOPK, "op6_ngram_join": NGRAM_JOIN, "op10_mixing": MIXING, "op11_merkle_manifest": MERKLE_MANIFEST}
+_RUN = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, CAST(doc_id AS VARCHAR) || ':' || run AS named, count(*) AS c
+  FROM (SELECT doc_id, {_RUN} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)) WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {crc32("named")} AS h FROM runs, crc),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+indels AS (SELECT DISTINCT g.word AS longer, g.n AS longer_n, w.word AS shorter, w.n AS shorter_n FROM gone g JOIN words w ON w.word = g.rest),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT longer, shorter, shorter_n FROM indels
+  UNION ALL SELECT shorter, longer, longer_n FROM indels),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+led(word, reached, depth) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL
+  SELECT led.word, forms.form, depth + 1 FROM led JOIN forms ON forms.word = led.reached WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, first(reached ORDER BY depth DESC) AS root FROM led GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN roots r ON r.word = f.word"""
+
+ORACLES = {"op1_embedding_near_dedup": EMBEDDING_NEAR_DEDUP, "op3_exact_topk": EXACT_TOPK, "op6_ngram_join": NGRAM_JOIN, "op10_mixing": MIXING, "op11_merkle_manifest": MERKLE_MANIFEST, "op13_spelling_variants": SPELLING_VARIANTS}
