@@ -52,14 +52,21 @@ def hex_number(*columns, digits: int = 15) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, digits), 16, 10).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns; maps, which have none, by their entries."""
+    held = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
+    return F.xxhash64(*held)
+
+
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, total: float, most: float, seed: int, carry: bool) -> DataFrame:
     """(row, id, source, size, source_size, target, copies): each row of docs, as a struct if it is to be carried along."""
     name, absent = F.coalesce(docs[source_col].cast("string"), F.lit("")), docs[source_col].isNull()
     whole = F.struct(*[docs[c] for c in docs.columns]) if carry else F.lit(None).cast("int")
-    rows = docs.select(whole.alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), name.alias("name"), absent.alias("absent"), n_words(docs[text_col]).alias("size"))
-    # Not the text: rows that agree in all this are told apart by nothing that the mix depends on.
-    rows = rows.withColumn("key", hex_number(F.col("id").cast("string"))).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
-    light = cut(rows.drop("row", "id"))
+    rows = docs.select(whole.alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), name.alias("name"), absent.alias("absent"), n_words(docs[text_col]).alias("size"), row_hash(docs).alias("mark"))
+    # Rows of one id and size stand by all that they hold, so that a rerun, or a task run again, puts them in the same places.
+    rows = rows.withColumn("key", hex_number(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("mark").cast("string"))))).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
+    light = cut(rows.drop("row"))
+    rows = rows if carry else light.withColumn("row", F.lit(None).cast("int"))
     counted = light.groupBy("source", "name", "absent", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     per_source = targets(counted.groupBy("source", "name", "absent").agg(F.sum("words").alias("source_size")), weights, total, most)
     per_source = per_source.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -72,7 +79,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     blocks = light.select("name", "absent", "class", part).groupBy("name", "absent", "class", "part").agg(F.count("*").alias("n"))
     blocks = blocks.withColumn("first", F.sum("n").over(line) - F.col("n"))
     info = blocks.join(per_source, ["name", "absent"]).select("name", "absent", "class", "part", "first", "source_size", "target", "each", "offset")
-    within = Window.partitionBy("name", "absent", "class", "part").orderBy("size", "key", "id")
+    within = Window.partitionBy("name", "absent", "class", "part").orderBy("size", "key", "id", "mark")
     dealt = rows.select(*rows.columns, part).withColumn("place", F.row_number().over(within))
     full = dealt.join(info, ["name", "absent", "class", "part"])
     after = F.floor((F.col("first") + F.col("place")) * F.col("each") + F.col("offset"))
@@ -85,8 +92,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     Null texts have size 0; null sources form a source of their own; sources without words take none; texts of any length count whole.
     Rows that repeat are separate rows, each with its own place, and so are rows with a null id. Ties in size go by a hash of the id,
-    then the id. The empty table gives no rows. Reruns agree: the offsets come from a hash of source and seed. Other columns are
-    ignored, whatever their names.
+    then the id, then a hash of the whole row, which also stands for a null id; rows alike in all columns change places unseen. The empty
+    table gives no rows. Reruns agree: the offsets come from a hash of source and seed. Other columns, whatever their names, only tell
+    rows of one id apart.
     """
     out = placed(docs, id_col, text_col, source_col, weights, total, most, seed, carry=False)
     return out.drop("row").withColumnRenamed("id", id_col)

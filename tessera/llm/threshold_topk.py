@@ -43,19 +43,20 @@ def bound(last: np.ndarray, q: np.ndarray) -> float:
 class Lists:
     """A tile's vectors (whole numbers) with a sorted list for each dimension."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, x: np.ndarray, copies: np.ndarray | None = None):
+        self.ids, self.x, self.copies = ids, x, np.ones(len(ids), np.int64) if copies is None else copies
         self.order = np.argsort(x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(x, self.order, axis=0)
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best rows but the one with id ``own``, ties to smaller ids; how many rows were scored."""
+        """Ids and scores of the k best rows but those with id ``own``, each as often as it has copies, ties to smaller ids; how many rows
+        were scored."""
         n, used = len(self.ids), np.nonzero(q)[0]
         seen = self.ids == own
         met = int(seen.sum())
         if not len(used):
-            best = np.argsort(np.where(seen, np.iinfo(np.int64).max, self.ids), kind="stable")[: min(k, n - met)]
-            return self.ids[best], np.zeros(len(best), np.int64), 0
+            best = np.sort(np.repeat(self.ids, np.where(seen, 0, self.copies)))[:k]
+            return best, np.zeros(len(best), np.int64), 0
         signs = q[used] > 0
         ids, scores, depth, step, scored = np.empty(0, np.int64), np.empty(0, np.int64), 0, 4 * k, 0
         while depth < n:
@@ -65,8 +66,8 @@ class Lists:
             rows = rows[~seen[rows]]
             seen[rows] = True
             scored += len(rows)
-            ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, product(self.x[rows], q)])
+            ids = np.concatenate([ids, np.repeat(self.ids[rows], self.copies[rows])])
+            scores = np.concatenate([scores, np.repeat(product(self.x[rows], q), self.copies[rows])])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             depth, step = until, step * 2
@@ -81,37 +82,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     inner product of floor(scale * x); all of them, if fewer; ties to the smaller id.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; only vectors of one length
-    meet. Rows that share an id are one vector: of different ones the smallest counts. Components must lie within 2^53 when scaled;
-    a score beyond 64 bits raises ArithmeticError. Empty tables, of either kind, give no rows. Other columns are ignored.
+    meet. Every row counts: rows that share an id are candidates of their own, and queries of their own, whose rows stand under the one
+    query_id; a row repeated in ``vectors`` is there as often in the k, and one repeated in ``queries`` is answered as often. A component
+    beyond 2^53 when scaled, or a score beyond 64 bits, fails the job with an ArithmeticError. Empty tables, of either kind, give no rows.
+    Other columns are ignored.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def whole(df: DataFrame, size: int) -> DataFrame:
         rows = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & finite("vec"))
-        rows = rows.groupBy("id").agg(F.min("vec").alias("vec")).select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"), F.lit(1).cast("long").alias("copies"))
+        whole = F.transform("vec", lambda x: F.when(F.abs(x * scale) <= 2.0**53, F.floor(x * scale).cast("double")).otherwise(F.raise_error(F.lit("ArithmeticError: a scaled component is beyond 2^53")).cast("double")))
+        rows = rows.select("id", whole.alias("vec")).groupBy("id", "vec").agg(F.count("*").alias("copies"))
         rows = rows.withColumn("dim", F.size("vec"))
         tiles = rows.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("tiles"))
-        return pack(rows.join(tiles, "dim").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))), ["dim", "tiles", "tile"])
+        return pack(rows.join(tiles, "dim").withColumn("tile", F.pmod(F.xxhash64("id", "vec"), F.col("tiles"))), ["dim", "tiles", "tile"])
 
     tiles, blocks = whole(vectors, tile), whole(queries, block)
     # Each tile goes to every block of queries: these carry the tile numbers, so that both sides meet on an even key.
     n_tiles = tiles.groupBy("dim").agg(F.max("tiles").alias("t"))
     n_blocks = blocks.groupBy("dim").agg(F.max("tiles").alias("b"))
-    left = tiles.drop("tiles").join(n_blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))).drop("b", "copies", "keys")
-    right = blocks.select("dim", F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("n").alias("q_n")).join(n_tiles, "dim")
+    left = tiles.drop("tiles").join(n_blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))).drop("b", "keys")
+    right = blocks.select("dim", F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("copies").alias("q_copies"), F.col("n").alias("q_n")).join(n_tiles, "dim")
     right = right.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1))).drop("t")
-    columns = ["query_id", "id", "score"]
+    columns = ["query_id", "block", "number", "times", "id", "score"]
 
     def work(row) -> dict:
-        lists = Lists(np.frombuffer(row.ids, np.int64), np.frombuffer(row.vecs, np.float64).reshape(row.n, -1))
+        copies = np.minimum(np.frombuffer(row.copies, np.int64), k)  # more of one row can't be among k
+        lists = Lists(np.frombuffer(row.ids, np.int64), np.frombuffer(row.vecs, np.float64).reshape(row.n, -1), copies)
         q_ids, q = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_vecs, np.float64).reshape(row.q_n, -1)
         found = [lists.top(v, own, k)[:2] for own, v in zip(q_ids, q)]
-        return {"query_id": np.repeat(q_ids, [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])}
+        of = np.repeat(np.arange(len(q)), [len(i) for i, _ in found])
+        return {"query_id": q_ids[of], "block": row.block, "number": of, "times": np.frombuffer(row.q_copies, np.int64)[of], "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])}
 
     met = left.join(right, ["dim", "tile", "block"]).repartition(F.col("tile"), F.col("block"))
-    found = met.mapInPandas(each(work, columns), "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    found = met.mapInPandas(each(work, columns), "query_id long, block long, number long, times long, id long, score long")
+    # A query is told by its block and its number there: pack() sorts by id, then vector, so that every tile sees it under the same number.
+    best = Window.partitionBy("query_id", "block", "number").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = ranked.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return ranked.select(F.col("query_id").cast(kind), F.col("rank").cast("int"), F.col("id").cast(kind).alias(id_col), "score")
 
 

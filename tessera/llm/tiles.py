@@ -22,9 +22,13 @@ def pack(rows: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
+        vecs = np.stack(group["vec"].to_numpy()).astype(np.float64)
+        order = np.argsort(group["id"].to_numpy(np.int64), kind="stable")
+        if group["id"].duplicated().any():  # by id, then vector: a task run again packs alike
+            order = np.array(sorted(order, key=lambda i: (group["id"].iloc[i], vecs[i].tobytes())))
+        group, vecs = group.iloc[order], vecs[order]
         out = {k: [group[k].iloc[0]] for k in keys}
-        out |= {"ids": [group["id"].to_numpy(np.int64).tobytes()], "copies": [group["copies"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(group["vec"].to_numpy()).astype(np.float64).tobytes()], "n": [len(group)], "keys": [group["key"].to_numpy(np.int64).tobytes() if "key" in group else b""]}
+        out |= {"ids": [group["id"].to_numpy(np.int64).tobytes()], "copies": [group["copies"].to_numpy(np.int64).tobytes()], "vecs": [vecs.tobytes()], "n": [len(group)], "keys": [group["key"].to_numpy(np.int64).tobytes() if "key" in group else b""]}
         return pd.DataFrame(out)
 
     return rows.groupBy(*keys).applyInPandas(run, f"{schema}, ids binary, copies binary, vecs binary, n long, keys binary")

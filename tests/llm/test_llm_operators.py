@@ -307,3 +307,36 @@ def test_lines_are_compared_by_every_character(spark):
     assert {r.doc_id for r in line_dedup.duplicate_lines(df).collect()} == {1, 3, 5, 9}
     found = df.select(line_dedup.shingle_set("text").alias("s")).collect()
     assert [len(r.s) for r in found] == [len(shingled(t)) for t in texts]
+
+
+def test_topk_counts_every_row_of_an_id(spark):
+    rows = [(5, [0.1, 0.0]), (5, [0.9, 0.9]), (5, [0.9, 0.9]), (7, [0.5, 0.5]), (100, [1.0, 1.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (200, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for tile, block in ((8192, 1024), (1, 1)):
+        got = defaultdict(list)
+        for r in threshold_topk.top_k(df, df.where("vec_id % 100 = 0"), k=4, tile=tile, block=block).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        want = defaultdict(list)
+        for q, v in rows:
+            if q % 100 == 0:
+                scored = sorted((-sum(int(a * 1024 // 1) * int(b * 1024 // 1) for a, b in zip(v, w)), i) for i, w in rows if i != q)
+                want[q] += [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:4])]
+        assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
+def test_topk_refuses_what_does_not_fit(spark):
+    for rows in ([(0, [1e30]), (1, [1 / 1024])], [(0, [2.0**42]), (1, [2.0**42])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="ArithmeticError"):
+            threshold_topk.top_k(df, df.where("vec_id = 0")).collect()
+
+
+def test_mix_agrees_in_any_order_of_rows(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 2 else 5, " ".join(rng.choices("abcdefgh", k=6)), "s", {"a": i % 3}, i % 4) for i in range(80)]
+    seen = set()
+    for seed in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, mark int").repartition(seed + 2)
+        seen.add(tuple(sorted((str(r.doc_id), r.text, r.m["a"], r.mark) for r in mixing.mixed(df).collect())))
+    assert len(seen) == 1
