@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed below spark.checkpoint.dir; only a local session without that setting uses a folder of its own."""
-    context = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The context's checkpoint folder, set to spark.checkpoint.dir where it isn't yet; only a local session without that setting uses a
+    folder of its own (a master named local-cluster has several machines' worth of executors)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local"):
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is not set")
         context.setCheckpointDir(shared or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed below the shared folder."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()

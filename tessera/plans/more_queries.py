@@ -66,14 +66,17 @@ def _stream(spark, d):
 
 
 def stream_hits(spark, d):
-    return stateful.drained(stateful.hits_stream(_stream(spark, d)), "stream_hits_out", "complete").select("source_path", "hit_count", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    return stateful.drained(stateful.hits_stream(_stream(spark, d)), "complete").select("source_path", "hit_count", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
 def stream_trend(spark, d):
-    return stateful.drained(stateful.trend_stream(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))), "stream_trend_out", "append").select(F.col("day").cast("string").alias("day"), "n", F.round("value", 2).alias("value"))
+    """Each day's last state, open days too."""
+    days = stateful.drained(stateful.trend_stream(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))), "update", ["day"])
+    return days.select(F.col("day").cast("string").alias("day"), "n", F.round("value", 2).alias("value"))
 
 
 QUERIES = {f.__name__: f for f in (code_symbols, manifest_deps, code_lexical_score, fuzzy_partial_ratio, html_text, debounce, stream_hits, stream_trend)}
 SQL = {
     "stream_hits": "select 'u'||user_id source_path, count(*) hit_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_seen from events group by all",
+    "stream_trend": "select strftime(ts, '%Y-%m-%d') \"day\", count(*) n, round(sum(value), 2) as value from events group by all",
 }

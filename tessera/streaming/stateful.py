@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.lineage import checkpoints
+
 
 def accepted(times: list[float], last: float | None, gap: float) -> list[bool]:
     """Leading edge: an event counts iff it is at least gap seconds after the last one that counted."""
@@ -55,8 +58,35 @@ def trend_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     return g.select(F.to_date("window.start").alias("day"), "n", "value")
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there now and read what it gave."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now, each batch to a table of its own below the shared folder, and read what it gave: all rows in
+    append mode, the last batch's in complete mode, in update mode each key's from the last batch that has it.
+
+    A batch that is run again writes the same table again. folder: where to go on from an earlier run; by default a new one."""
+    folder = folder or shared_folder(stream.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, names = stream.sparkSession, [f.name for f in stream.schema.fields]
+    if q.lastProgress is None and not exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max(F.struct("batch", *[n for n in names if n not in keys])).alias("row")).select(*keys, *[F.col("row")[n].alias(n) for n in names if n not in keys])
+    return rows.select(*names)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path below the one that driver and executors share."""
+    checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
