@@ -4,7 +4,7 @@ A file holds, little-endian: a mark; the ids of its documents, 2 or 4 bytes each
 never fall, so each is kept as Elias-Fano: the low bits of a number side by side, its high bits as the distance between ones, and the place
 of every 256th one, from which select finds any other. That is 2 bits a number besides the low ones and an eighth for the places, not 64.
 
-Documents are sorted by id over the cluster, and a task writes its stretch as files of bounded size, so that where one file starts in
+Texts are sorted by id over the cluster, and a task encodes its stretch and writes it as files of bounded size, so that where one file starts in
 the whole is the sum of the ids in the files before. Each attempt of a task writes under names of its own; only names in the table
 of files, which Spark commits, count, so a lost or doubled attempt leaves nothing that is read.
 """
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut_dir, cut_table, drop_tables, release, table
+from tessera.llm.common import cut_dir, cut_table, release, table
 from tessera.llm.pieces import Shared
 
 MARK = b"IDSEF001"
@@ -191,15 +191,32 @@ class Remembered(dict):
         return out
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: a visible Latin-1 character for itself, the others for the
+    characters from U+0100 on."""
+    out, other = [], 256
+    for b in range(256):
+        visible = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
+        out.append(chr(b if visible else other))
+        other += not visible
+    return out
+
+
 class Codec:
     """Texts to packed ids. Spaces and line feeds are never part of a token of this kind, so what lies between them is encoded alone and
-    remembered, and so are its words and marks where it is plain; all else goes to the tokenizers library."""
+    remembered, and so are its words and marks where it is plain: these go to the library's BPE model at once, all else to its tokenizer."""
 
     def __init__(self, spec: str, width: int):
         from tokenizers import Tokenizer
 
+        letters = byte_letters()
         self.tokenizer, self.kind = Tokenizer.from_str(spec), f"<u{width}"
-        self.parts, self.chunks = Remembered(self.whole), Remembered(self.chunk)
+        self.model, self.packed = self.tokenizer.model, struct.Struct("<H" if width == 2 else "<I").pack
+        self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
+        self.parts, self.chunks = Remembered(self.part), Remembered(self.chunk)
+
+    def part(self, part: str) -> bytes:
+        return b"".join([self.packed(t.id) for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -229,14 +246,10 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """(id, ids): each row's id as a long and its token ids with the end id last, packed little-endian at ``width`` bytes.
-
-    The tokenizer, a JSON file of the tokenizers library that lies on the driver, must split at white space; special tokens in a text are
-    found as the library finds them. Null and empty texts have the end id alone; very long texts are encoded slice by slice.
-    """
+def encoder(spark, tokenizer_path: str, end_id: int, width: int):
+    """A function for mapInArrow from (id, text) to (id, ids)."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = Shared(docs.sparkSession, f.read())  # of the size of a vocabulary
+        shared = Shared(spark, f.read())  # of the size of a vocabulary
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,21 +265,28 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
                 yield pa.record_batch([b["id"].slice(x, y - x), pa.array([codec.encode(t) + end for t in texts], pa.binary())], names=["id", "ids"])
         release()
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, ids binary")
+    return run
 
 
-FILES = "part int, number int, name string, n_docs long, n_ids long"
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
+    """(id, ids): each row's id as a long and its token ids with the end id last, packed little-endian at ``width`` bytes.
 
+    The tokenizer, a JSON file of the tokenizers library that lies on the driver, must split at white space and be of the kind that
+    _PARTS states; special tokens in a text are found as the library finds them. Null and empty texts have the end id alone; very long
+    texts are encoded slice by slice.
+    """
+    return _texts(docs, id_col, text_col).mapInArrow(encoder(docs.sparkSession, tokenizer_path, end_id, width), "id long, ids binary")
 
-def written(rows: DataFrame, folder: str, width: int = 2, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Writes rows (id, ids) into the folder in ascending order of id and returns the files' table (part, number, name, n_docs, n_ids, start),
-    already written, where start is how many ids lie before the file.
 
-    Null ids come first; rows that share an id are documents of their own, ordered by their ids' digest. Rows should be a written table.
-    Without rows there are no files. The folder must be one that driver and executors share; it is made if it isn't there.
-    """
-    system, path = opened(folder)
-    system.create_dir(path)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+
+
+FILES = "part int, number int, name string, n_docs long, n_ids long"
+
+
+def writer(folder: str, width: int, file_ids: int, file_docs: int):
+    """A function for mapInArrow that writes rows (id, ids) as files, in the order they come, and gives the files' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
@@ -285,8 +305,22 @@ def written(rows: DataFrame, folder: str, width: int = 2, file_ids: int = FILE_I
             done.append((part, len(done), name, *now.close()))
         yield table_of(done, FILES)
 
-    ordered = rows.select("id", "ids").sort(F.col("id").asc_nulls_first(), F.md5("ids"))
-    files = cut_table(ordered.mapInArrow(run, FILES))
+    return run
+
+
+def token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Encodes docs, as encoded() does, and writes them into the folder in ascending order of id; the files' table (part, number, name,
+    n_docs, n_ids, start), already written, where start is how many ids lie before the file.
+
+    Null ids come first; rows that share an id are documents of their own, ordered by a hash of their text. Texts are sorted, not ids, so
+    that each is shuffled once and encoded where it is written. Without rows there are no files. The folder must be one that driver and
+    executors share; it is made if it isn't there. Other columns are ignored, whatever their names.
+    """
+    system, path = opened(folder)
+    system.create_dir(path)
+    encode, write = encoder(docs.sparkSession, tokenizer_path, end_id, width), writer(folder, width, file_ids, file_docs)
+    ordered = _texts(docs, id_col, text_col).sort(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    files = cut_table(ordered.mapInArrow(lambda batches: write(encode(batches)), FILES))
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
@@ -325,14 +359,6 @@ def documents(files: DataFrame, folder: str) -> DataFrame:
     return read(files, folder, "ids array<int>", lambda ids: (ids.astype(np.int32),))
 
 
-def token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """Encodes docs and writes them into the folder; the files' table, as of written(). Other columns are ignored, whatever their names."""
-    scratch: list[str] = []
-    files = written(cut_table(encoded(docs, tokenizer_path, end_id, id_col, text_col, width), scratch), folder, width)
-    drop_tables(docs.sparkSession, scratch)
-    return files
-
-
 def op12_token_files(spark, sf_dir: str) -> DataFrame:
     """documents as token files below the shared folder, read back: one row for each row, null ids first."""
     import public_tokenizers

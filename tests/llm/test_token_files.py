@@ -60,7 +60,8 @@ def test_files_hold_the_documents_in_order(spark, tmp_path, library, width, limi
     big = 2**60
     rows = [(big + 7, "last"), (big + 7, "last"), (big + 7, ""), (None, "null id"), (None, None), (-3, None), (0, ""), *[(i * 5 % 101, f"text {i} " * (i % 9)) for i in range(1, 60)], (200, "x y " * 5000)]
     docs = spark.createDataFrame([(i, t, 9, "") for i, t in rows], SHAPE).repartition(4)
-    files = tf.written(tf.encoded(docs, WORDS, 2, width=width), str(tmp_path), width, *limits)
+    files = tf.token_files(docs, str(tmp_path), WORDS, 2, "doc_id", "text", width, *limits)
+    assert tf.encoded(docs, WORDS, 2).count() == len(rows)
     listed = sorted(files.collect(), key=lambda r: (r.part, r.number))
     assert [r.start for r in listed] == [0, *np.cumsum([r.n_ids for r in listed])[:-1]]
     assert all(r.n_docs == 1 or r.n_ids <= limits[0] and r.n_docs <= limits[1] for r in listed)
