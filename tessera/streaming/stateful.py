@@ -81,6 +81,19 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None, folder:
     return rows.select(*names)
 
 
+def drained_to_end(stream: DataFrame, last: DataFrame, shape, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """drained() over a stream and, once that is through, over some rows that end it, by which the watermark passes all others.
+
+    last: rows of the stream's columns, of times after all others; shape: a function from the joined stream to what is asked."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, "stream")
+    last.limit(0).write.parquet(f"{folder}/last")
+    joined = shape(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/last")))
+    drained(joined, mode, keys, folder)
+    last.write.mode("append").parquet(f"{folder}/last")
+    return drained(joined, mode, keys, folder)
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder's path below the one that driver and executors share."""
     checkpoints(spark)
