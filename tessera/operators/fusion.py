@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import fuzzy
-from tessera.operators.retrieval import top
+from tessera.operators.retrieval import holding, top
 
 
 def lane_limit(k: int, least: int = 50) -> int:
@@ -107,8 +107,10 @@ def code_candidates(files: DataFrame, symbols: DataFrame, queries: DataFrame, k:
     t = queries.select("qid", F.explode(tokens).alias("tok"))
     words = t.select("tok").distinct()
     newest = Window.partitionBy("tok").orderBy(F.col("mtime").desc(), "id")
-    by_path = files.join(words, F.contains(F.lower("path"), F.col("tok"))).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= per_path).select("tok", "id", F.lit(2.0).alias("s"), F.concat(F.lit("path:"), "tok").alias("reason"))
-    named = symbols.join(words, F.contains(F.lower("name"), F.col("tok"))).select("tok", "id").distinct()
+    terms = words.withColumnRenamed("tok", "term")
+    met = lambda rows, column: rows.withColumn("word", F.lower(column)).join(holding(rows.select(F.lower(column).alias("word")), terms), "word").withColumnRenamed("term", "tok")
+    by_path = met(files, "path").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= per_path).select("tok", "id", F.lit(2.0).alias("s"), F.concat(F.lit("path:"), "tok").alias("reason"))
+    named = met(symbols, "name").select("tok", "id").distinct()
     by_symbol = named.withColumn("n", F.row_number().over(Window.partitionBy("tok").orderBy("id"))).where(F.col("n") <= per_symbol).select("tok", "id", F.lit(3.0).alias("s"), F.concat(F.lit("symbol:"), "tok").alias("reason"))
     found = by_path.unionByName(by_symbol).join(t, "tok").select("qid", "id", "s", "reason")
     # A stated number of rows, so that it can go to each query.

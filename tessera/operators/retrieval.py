@@ -56,54 +56,76 @@ def scored(postings: DataFrame, terms: DataFrame, stats: DataFrame, n_queries: i
     return postings.join(hint(weights, n_queries), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("held"))
 
 
-def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool = True, n_queries: int | None = None, stemmed: bool = False, every: bool = False) -> DataFrame:
+def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool = True, n_queries: int | None = None, stemmed: bool = False, every: bool = False, index=None) -> DataFrame:
     """(qid, id, score, rank): BM25 over filename and content; with prefix, a query token stands for all words that start with it,
     as one term whose frequency and document count are those of all of them together. stemmed: texts and queries by Porter stems,
-    a query's before its prefixes are looked up. every: only texts that hold all of a query's terms.
+    a query's before its prefixes are looked up. every: only texts that hold all of a query's terms. index: a postings.Index of the files,
+    which then aren't read.
 
     Terms are looked up among the distinct words, which alone are stemmed or cut to prefixes; texts meet them by whole words.
     """
     body = F.concat(T.tokens(F.col("filename")), T.tokens(F.col("content")))
     terms = query_terms(queries, stemmed=stemmed)
     wanted = terms.select("term").distinct()
-    words = vocabulary(files, body)
-    stats = files.agg(F.count("*").alias("n")).crossJoin(words.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("held"))).select("n", (F.col("held") / F.col("n")).alias("avgdl"))
+    if index is not None:
+        words, stats = index.words(), index.stats().select("n", "avgdl")
+    else:
+        words = vocabulary(files, body)
+        stats = files.agg(F.count("*").alias("n")).crossJoin(words.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("held"))).select("n", (F.col("held") / F.col("n")).alias("avgdl"))
     names = words.select("word", (F.get(stems(F.array("word")), F.lit(0)) if stemmed else F.col("word")).alias("s"))
     if prefix:
         lengths = wanted.agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))  # at most as many as words are long
         starts = F.transform(F.filter("lengths", lambda n: n <= F.length("s")), lambda n: F.substring("s", F.lit(1), n))
         names = names.crossJoin(F.broadcast(lengths)).select("word", F.explode(starts).alias("s"))
     names = names.join(hint(wanted, n_queries), F.col("s") == F.col("term")).select("word", "term")
-    each = files.select("id", body.alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("word"))
-    postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    if index is not None:
+        postings = index.of_words(names).groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf"))
+    else:
+        each = files.select("id", body.alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("word"))
+        postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     out = scored(postings, terms, stats, n_queries)
     if every:
         out = out.join(hint(terms.groupBy("qid").agg(F.count("*").alias("held")), n_queries), ["qid", "held"])
     return top(out.drop("held"), k)
 
 
-def trigram(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, n_queries: int | None = None) -> DataFrame:
+def trigram(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, n_queries: int | None = None, index=None) -> DataFrame:
     """(qid, id, score, rank): BM25 over trigrams: a token of three characters or more is a phrase of trigrams, so a substring; its
     frequency counts overlapping places; a text's length is its number of trigrams.
 
     A token holds only word characters, so its places lie within words: it is looked up, by its first trigram, among the distinct
-    words, and texts meet it by whole words.
+    words, and texts meet it by whole words. index: as for bm25().
     """
     terms = query_terms(queries, least=3)
     whole = lambda x: F.coalesce(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0)), F.array().cast("array<string>"))
     body = F.filter(F.concat(whole(F.col("filename")), whole(F.col("content"))), lambda w: F.length(w) >= 3)
     dl = F.greatest(F.length("filename") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
-    stats = files.select(dl.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    words = vocabulary(files, body).select("word")
+    if index is not None:
+        stats, words = index.stats().select("n", F.col("avgspan").alias("avgdl")), index.words().where(F.length("word") >= 3).select("word")
+    else:
+        stats = files.select(dl.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        words = vocabulary(files, body).select("word")
     keyed = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))).alias("key"))
     wanted = terms.select("term", F.left("term", F.lit(3)).alias("key")).distinct()
     places = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - F.length("term") + 1), lambda i: F.substring("word", i, F.length("term")) == F.col("term")))
     names = keyed.join(hint(wanted, n_queries), "key").where(F.contains("word", F.col("term"))).select("word", "term", places.alias("times"))
-    each = files.select("id", dl.alias("dl"), body.alias("t")).select("id", "dl", F.explode("t").alias("word"))
-    postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.sum("times").alias("tf"))
+    if index is not None:
+        postings = index.of_words(names.withColumnRenamed("times", "in_word")).groupBy("term", "id", F.col("span").alias("dl")).agg(F.sum(F.col("tf") * F.col("in_word")).alias("tf"))
+    else:
+        each = files.select("id", dl.alias("dl"), body.alias("t")).select("id", "dl", F.explode("t").alias("word"))
+        postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.sum("times").alias("tf"))
     return top(scored(postings, terms, stats, n_queries).drop("held"), k)
 
 
+def holding(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term) of all words (word) that hold a term (term) as a substring, met by the term's first three characters, or fewer if it has
+    no more: no pair is tried that doesn't share these. Empty terms are held by none."""
+    key = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, F.lit(n))))
+    keys = F.flatten(F.array(*[F.when(F.length("word") >= n, key(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    wanted = terms.select("term").distinct().where("term <> ''").withColumn("key", F.left("term", F.lit(3)))
+    return words.select("word").distinct().select("word", F.explode(keys).alias("key")).join(wanted, "key").where(F.contains("word", F.col("term"))).select("word", "term")
+
+
 def fuse(lanes: list[tuple[DataFrame, Column | float]], k: int | None = None) -> DataFrame:
     """Weighted reciprocal-rank fusion of (qid, id, rank): the sum of weight / (60 + rank)."""
     parts = None
@@ -141,20 +163,23 @@ def best_chunks(hits: DataFrame, files: DataFrame, queries: DataFrame, max_chunk
 NEAR_NAME, NAME_BOOST, NAME_CAP = 70.0, 2.5, 1.25
 
 
-def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybrid", matter_id: str | None = None, exclude: list[str] | None = None, prefilter: bool = False, n_queries: int | None = None, names: bool = True) -> DataFrame:
+def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybrid", matter_id: str | None = None, exclude: list[str] | None = None, prefilter: bool = False, n_queries: int | None = None, names: bool = True, index=None) -> DataFrame:
     """(qid, id, score, rank): both lanes' best 80, fused by rank; a query that is a file's name gets that file alone with score 5.
 
     names: the word lane is stemmed; a file whose name is near a word of the query (partial ratio of NEAR_NAME or more) gains up to
     NAME_CAP; where no lane finds a file, those of near names are found, with the ratio as score. Without: the fused lanes alone.
-    matter_id and exclude (paths) apply after the lanes' limit, or before with prefilter.
+    matter_id and exclude (paths) apply after the lanes' limit, or before with prefilter. index: a postings.Index of all files, by which both
+    lanes go without reading a text; counts of a part of the files, which prefilter asks for, it doesn't have.
     """
+    if prefilter and index is not None:
+        raise ValueError("an index of all files can't be used with prefilter")
     keep = F.lit(True) if matter_id is None else F.col("matter_id") == matter_id
     keep = keep & ~F.col("path").isin(exclude) if exclude else keep
     pool = files.where(keep) if prefilter else files
     q = queries.withColumn("w", T.lane_weights(F.lit(mode), T.is_noisy(F.col("query"))))
     lanes = []
     for name, lane in (("word", bm25), ("trigram", trigram)):
-        found = lane(pool, queries, n_queries=n_queries, **({"stemmed": True} if names and lane is bm25 else {})).join(q.select("qid", F.col(f"w.{name}").alias("weight")), "qid")
+        found = lane(pool, queries, n_queries=n_queries, index=index, **({"stemmed": True} if names and lane is bm25 else {})).join(q.select("qid", F.col(f"w.{name}").alias("weight")), "qid")
         lanes.append((found, F.col("weight")))
     fused = fuse(lanes)
     if names:

@@ -10,7 +10,7 @@ from tessera.operators import fusion as X
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
 from tessera.plans.table_queries import _METRICS, _VEC
-from tessera.plans.text_queries import _BM25, _QS2, FILES, PREFIX_POST, QS, RANKED, SCORED, TERMS, TOK, WORD_POST
+from tessera.plans.text_queries import _BM25, FILES, PREFIX_POST, QS, RANKED, SCORED, TERMS, TOK, WORD_POST
 from tessera.sources import repository
 from tessera.sources.relations import files, qrels, queries, table
 
@@ -19,7 +19,7 @@ K = 10
 GROUP = 4
 
 
-def _lexical(spark, d, k, n_words=2, **options):
+def _lexical(spark, d, k, n_words=6, **options):
     q = queries(spark, d, n_words)
     return R.bm25(files(spark, d), q, k, prefix=False, n_queries=q.count(), **options)
 
@@ -43,12 +43,12 @@ def cloud_fusion(spark, d):
 
 def connector_search(spark, d):
     chunks = files(spark, d).join(_owner(spark, d, "uri", "u"), "id").select("id", "uri", F.col("filename").alias("title"), F.col("content").alias("text"))
-    out = X.connector(_lexical(spark, d, X.lane_limit(K, 20)), chunks, queries(spark, d, 2), K, exclude=["u1"])
+    out = X.connector(_lexical(spark, d, X.lane_limit(K, 20)), chunks, queries(spark, d), K, exclude=["u1"])
     return out.select("qid", "uri", F.round("score", 5).alias("score"), "matched_chunks")
 
 
 def _image(spark, d, mode):
-    return X.image(_near(spark, d, 50), _lexical(spark, d, 50), files(spark, d), queries(spark, d, 2), K, mode)
+    return X.image(_near(spark, d, 50), _lexical(spark, d, 50), files(spark, d), queries(spark, d), K, mode)
 
 
 def image_fusion(spark, d):
@@ -84,7 +84,7 @@ def code_candidates(spark, d):
     f = files(spark, d).select("id", F.lower("path").alias("path"), "content", "mtime")
     lines = f.select("id", "path", "mtime", (F.regexp_count("content", F.lit("\n")) + 1).cast("long").alias("line_count"))
     symbols = f.select("id", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("name"))
-    q = queries(spark, d, 1).select("qid", F.concat_ws(" ", F.concat(F.lit("src"), F.col("qid") % 3), "query").alias("query"))
+    q = queries(spark, d).select("qid", F.concat_ws(" ", F.concat(F.lit("src"), F.col("qid") % 3), "query").alias("query"))
     return X.code_candidates(lines, symbols, q, 20).select("qid", "id", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -102,7 +102,7 @@ def hash_embed_md5(spark, d):
 
 
 def porter_bm25(spark, d):
-    q = queries(spark, d, 3)
+    q = queries(spark, d)
     out = R.bm25(files(spark, d), q, 10, n_queries=q.count(), stemmed=True)
     return out.withColumn("score", F.round("score", 6))
 
@@ -133,7 +133,7 @@ QUERIES = {
     for f in (cloud_fusion, connector_search, image_fusion, match_type, audio_search, video_search, unified_search, code_candidates, system_compare, hash_embed_md5, porter_bm25, knn_lsh, git_log, ignore_rules)
 }
 
-_LEX = _BM25.replace(QS, _QS2)
+_LEX = _BM25
 _COS = "list_cosine_similarity(v.e::double[], q.e::double[])"
 _NEAR = f"{_VEC}, ns as (select q.id qid, v.id, round(greatest(0, 1 - sqrt(greatest(0, 2*(1-{_COS})))/2), 9) score from v, v q where q.id in (select qid from qs)), near as (select *, row_number() over (partition by qid order by score desc, id) rank from ns)"
 _CLOUD = f"""cp as (select qid, id, 1.0::double/rank s from ranked where rank <= 80 union all select qid, id, 0.85::double/rank from near where rank <= 80),
@@ -145,7 +145,7 @@ _IMAGE = f"""im as (select coalesce(a.qid, b.qid) qid, coalesce(a.id, b.id) id,
  image as (select * from (select *, row_number() over (partition by qid order by score desc, id) r from ir where score > 0) where r <= {K})"""
 _AUDIO = f"au as (select qid, id, score, md5(\"left\"(content, 500)) transcript_md5, row_number() over (partition by qid order by score desc, id) r from ranked join files using(id) where rank <= {2 * K} and category = 'src1'), audio as (select * from au where r <= {K})"
 _ALL_TERMS = SCORED.replace("group by qid, p.id)", "group by qid, p.id having count(*) = any_value(t.nt))")
-_EVERY = f"with {FILES}, {_QS2}, {TERMS.replace('terms as (', 'terms0 as (')}, terms as (select *, count(*) over (partition by qid) nt from terms0), {TOK}, {WORD_POST}, {_ALL_TERMS}, {RANKED}"
+_EVERY = f"with {FILES}, {QS}, {TERMS.replace('terms as (', 'terms0 as (')}, terms as (select *, count(*) over (partition by qid) nt from terms0), {TOK}, {WORD_POST}, {_ALL_TERMS}, {RANKED}"
 _WORD = "round(avg(ndcg), 6) ndcg, round(avg(ap), 6) ap, round(avg(recall), 6) recall, round(avg(\"precision\"), 6) \"precision\", round(avg(mrr), 6) mrr from m"
 
 #: porter_bm25 and knn_lsh have none: tests hold the stems against a full-text index and the neighbours against all pairs.
@@ -164,7 +164,7 @@ SQL = {
     "unified_search": f"""{_LEX}, {_NEAR}, {_CLOUD}, {_AUDIO}, u as (select qid, 'text' modality, id::varchar item, round(1.0::double/(60+rank), 12) score from ranked where rank <= {K} union all select qid, 'cloud', path, round(score, 6) from cloud union all select qid, 'audio', id::varchar, round(score, 6) from audio)
  select qid, modality, item, round(score, 6) score, low_confidence from (select *, max(score) over (partition by qid) < 0.1 low_confidence, row_number() over (partition by qid order by score desc, modality, item) r from u) where r <= {2 * K}""",
     "code_candidates": rf"""with {FILES}, f as (select id, lower(path) path, mtime, content, length(content) - length(replace(content, chr(10), '')) + 1 line_count from files), sy as (select distinct id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}\p{{M}}_]+')) name from f),
- q as (select item_id qid, 'src'||(item_id%3)||' '||string_split(text, ' ')[1] query from benchmark), t as (select distinct qid, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}\p{{M}}_]+')) tok from q), tk as (select * from t where length(tok) >= 2), w as (select distinct tok from tk),
+ q as (select item_id qid, 'src'||(item_id%3)||' '||array_to_string(string_split(text, ' ')[1:6], ' ') query from benchmark), t as (select qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: length(x) >= 2))) tok from q), tk as (select * from t), w as (select distinct tok from tk),
  p as (select tok, id, row_number() over (partition by tok order by mtime desc, id) n from f join w on contains(path, tok)), s as (select tok, id, row_number() over (partition by tok order by id) n from (select distinct tok, id from sy join w on contains(name, tok))),
  h as (select qid, id, 2.0 s, 'path:'||tok reason from p join tk using(tok) where n <= 300 union all select qid, id, 3.0, 'symbol:'||tok from s join tk using(tok) where n <= 500 union all select qid, id, 0.25, 'fallback' from q, (select id from f order by mtime desc, id limit 200)),
  g as (select qid, id, sum(s)::double score, string_agg(distinct reason, ',' order by reason) reasons from h group by all)
