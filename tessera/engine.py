@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,37 +15,72 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import catalog, code, maintenance, projects
 from tessera.operators import retrieval as R
+from tessera.operators.lineage import cut
+from tessera.operators.runs import RunLog
 from tessera.sources import extract
+from tessera.streaming.stateful import shared_folder
 
 FILES = "id long, path string, filename string, category string, matter_id string, mtime double, content string"
 
 
+def now_ms() -> int:
+    return int(time.time() * 1000)
+
+
 def clamp(value: int | None, least: int, most: int) -> int | None:
     return None if value is None else max(least, min(most, int(value)))
 
 
 class Engine:
-    """files: (id, path, filename, category, matter_id, mtime, content); none at first, unless some are given."""
+    """files: (id, path, filename, category, matter_id, mtime, content); none at first, unless some are given. home: a folder, which driver
+    and executors share, for the run log and what is indexed; by default a new one below the shared folder."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, files: DataFrame | None = None, home: str | None = None):
+        self.spark, self._home, self._log = spark, home, None
         self.files = files if files is not None else spark.createDataFrame([], FILES)
 
+    @property
+    def home(self) -> str:
+        self._home = self._home or shared_folder(self.spark, "engine")
+        return self._home
+
+    @property
+    def log(self) -> RunLog:
+        self._log = self._log or RunLog(self.spark, f"{self.home}/log")
+        return self._log
+
     def index_folder(self, folder: str, glob: str = "*", modalities: list[str] | None = None, matter_id: str | None = None) -> DataFrame:
         """Reads the files below a folder: new and newer ones replace the stored ones, those below it that are gone go, as does what
-        lies in noise folders; files of other modalities, where some are named, are neither read in nor purged. Returns (path, action)."""
-        found = extract.read_files(self.spark, folder, glob)
+        lies in noise folders; files of other modalities, where some are named, are neither read in nor purged. Returns (path, action).
+
+        The folder is listed first; only new and newer files are opened, and of these not the ones that the log has as unreadable
+        at the same time of change. What was found, done and counted goes into the run log; the stored files are a written table."""
+        run, started = self.log.next_run(), now_ms()
+        found = extract.list_files(self.spark, folder, glob)
         found = found.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in projects.NOISE_FOLDERS])))
-        found = found.select(F.xxhash64("path").alias("id"), "path", "filename", "category", F.lit(matter_id).cast("string").alias("matter_id"), "mtime", "content")
         ours = F.contains("path", F.lit(folder.rstrip("/") + "/")) & F.col("filename").rlike("^" + T.glob_regex(glob))
         if modalities:
             found, ours = found.where(F.col("category").isin(modalities)), ours & F.col("category").isin(modalities)
-        stored = self.files.where(ours)
-        actions = projects.scan_actions(stored, found)
-        # Stored rows stay as they are unless a path has changed; what is purged or updated is taken out by its path.
-        kept = self.files.join(actions.where("action in ('update', 'purge')").select("path"), "path", "left_anti")
-        added = found.join(actions.where("action in ('update', 'insert')").select("path"), "path", "left_semi")
-        self.files = kept.unionByName(added)
+        found = cut(found)
+        actions = cut(projects.scan_actions(self.files.where(ours), found))
+        fresh = found.join(actions.where("action in ('update', 'insert')").select("path"), "path", "left_semi")
+        known = self.log.events().where("status = 'skipped_unsupported'").select("path", "mtime").distinct()
+        again = cut(fresh.join(known, ["path", "mtime"], "left_semi"))
+        read = extract.with_contents(fresh.join(again.select("path"), "path", "left_anti"))
+        read = cut(read.unionByName(again.withColumns({"content": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})))
+        rows = read.where("error is null").select(F.xxhash64("path").alias("id"), "path", "filename", "category", F.lit(matter_id).cast("string").alias("matter_id"), "mtime", "content")
+        # Stored rows stay as they are unless a path has changed; a file that can't be read keeps what is stored of it.
+        gone = actions.where("action = 'purge'").select("path").unionByName(rows.select("path"))
+        files = self.files.join(gone, "path", "left_anti").unionByName(rows)
+        place = f"{self.home}/files/run={run}"
+        files.write.mode("overwrite").parquet(place)
+        self.files = self.spark.read.schema(files.schema).parquet(place)
+        status = F.when(F.col("error").isNotNull(), "failed").when(F.col("content").isNull(), "skipped_unsupported").otherwise("indexed")
+        none = F.lit(None).cast("string")
+        events = read.select("path", F.col("category").alias("modality"), "mtime", status.alias("status"), F.when(F.col("content").isNull() & F.col("error").isNull(), "no reader").alias("reason"), "error")
+        skipped = found.join(actions.where("action = 'skip'"), "path").select("path", F.col("category").alias("modality"), "mtime", F.lit("skipped_unchanged").alias("status"), none.alias("reason"), none.alias("error"))
+        purged = actions.where("action = 'purge'").select("path", T.modality(F.col("path")).alias("modality"), F.lit(None).cast("double").alias("mtime"), F.lit("purged").alias("status"), none.alias("reason"), none.alias("error"))
+        self.counts = self.log.record(run, folder, started, now_ms(), events.unionByName(skipped).unionByName(purged))
         return actions
 
     def forget(self, prefix: str, spare: list[str] | None = None) -> None:

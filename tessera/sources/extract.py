@@ -93,16 +93,37 @@ def extract(path: str, raw: bytes) -> str | None:
         return ""
 
 
-def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, filename, category, mtime, content) of a folder's files, below it at any depth."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    raw = raw.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), T.modality(F.col("path")).alias("category"), F.col("modificationTime").cast("double").alias("mtime"), "content")
+def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, filename, category, mtime, size) of a folder's files, below it at any depth; none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), T.modality(F.col("path")).alias("category"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"))
+
+
+def with_contents(files: DataFrame) -> DataFrame:
+    """files (path, ...) with content, each file's text, and error where it could not be read: by tasks that open these files alone."""
+    from tessera.sources.paged import opened
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(content=[extract(p, r) for p, r in zip(b["path"], b["content"])])
+            for i in range(len(b)):  # one at a time: a file may be large
+                row = b.iloc[i : i + 1]
+                text, error = None, None
+                try:
+                    system, place = opened(row["path"].iloc[0])
+                    with system.open_input_stream(place, compression=None) as f:
+                        text = extract(place, f.read())
+                except OSError as e:
+                    error = str(e)
+                yield row.assign(content=pd.Series([text], row.index, dtype=object), error=pd.Series([error], row.index, dtype=object))
+
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.repartition(tasks, "path").mapInPandas(run, f"{fields}, content string, error string")
 
-    return raw.mapInPandas(run, "path string, filename string, category string, mtime double, content string")
+
+def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, filename, category, mtime, content) of a folder's files, below it at any depth."""
+    return with_contents(list_files(spark, folder, glob)).select("path", "filename", "category", "mtime", "content")
 
 
 def ir_collection(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
