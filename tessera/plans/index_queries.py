@@ -14,12 +14,12 @@ from tessera.sources.relations import table
 _TOP, _NAMES = ["vendor", ".github", "Build"], [".git/HEAD", "package.json", "a.py", "b.rs", "README.md", "node_modules/x.js", "c.ts", "Makefile", "d.go", "next.config.js", "e.txt", "f.csproj"]
 
 
-def _tree(spark, d):
-    """A listing of folders, made from the parts."""
+def _tree(spark, d, *more):
+    """A listing of folders, made from the parts, with more columns of theirs."""
     top = F.coalesce(F.get(F.array(*[F.lit(x) for x in _TOP]), (F.col("p_partkey") % 13).cast("int")), F.concat(F.lit("r"), "p_size"))
     name = F.get(F.array(*[F.lit(x) for x in _NAMES]), (F.col("p_partkey") % len(_NAMES)).cast("int"))
     middle = F.concat(F.lit("m"), F.col("p_partkey") % 7, F.when(F.col("p_partkey") % 2 == 0, "/src/").otherwise("/"))
-    return table(spark, d, "part").select(F.concat_ws("/", top, F.concat(middle, name)).alias("path"), F.concat_ws("\n", "p_name", "p_brand").alias("content"))
+    return table(spark, d, "part").select(F.concat_ws("/", top, F.concat(middle, name)).alias("path"), F.concat_ws("\n", "p_name", "p_brand").alias("content"), *more)
 
 
 def project_roots(spark, d):

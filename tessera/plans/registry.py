@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import catalog_queries, crawl_queries, fusion_queries, index_queries, more_queries, stream_queries, table_queries, text_queries
+from tessera.plans import catalog_queries, crawl_queries, fusion_queries, index_queries, link_queries, more_queries, stream_queries, table_queries, text_queries
 
-MODULES = [text_queries, table_queries, more_queries, fusion_queries, catalog_queries, index_queries, crawl_queries, stream_queries]
+MODULES = [text_queries, table_queries, more_queries, fusion_queries, catalog_queries, index_queries, crawl_queries, stream_queries, link_queries]
 
 
 def queries() -> dict[str, Callable]:
