@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,6 +56,71 @@ def may_reach(word: str, name: str, least: float) -> Column:
     return F.lit(200.0) * c >= F.lit(least) * (F.least(F.length(word), F.length(name)) + c)
 
 
+def least_shared(n: int, least: float) -> int:
+    """How many letter pairs a string of n characters shares with any string of no fewer for a partial ratio of least or more.
+
+    Such a ratio has c letters in common order with a window of k <= n characters, c >= least (n + k) / 200. Of the c - 1 neighbours among
+    them those are at most (n - c) / 2 that stand more than two places apart in the one, and (k - c) / 2 in the other: the rest are pairs
+    of letters one or two places apart in both, each another place of both."""
+    found = []
+    for c in range(1, n + 1):
+        k = min(n, math.floor(200 * c / least - n + 1e-9))
+        if k >= c:
+            found.append(c - 1 - (n - c) // 2 - (k - c) // 2)
+    return max(0, min(found, default=n))
+
+
+def letter_pairs(text: Column) -> Column:
+    """The pairs of letters one or two places apart, each with a number that tells equal ones apart; of one letter, that letter."""
+    at = lambda i: F.substring(text, i.cast("int"), F.lit(1))
+    n = F.length(text)
+    apart = lambda d: F.when(n > d, F.transform(F.sequence(F.lit(1), n - d), lambda i: F.concat(at(i), at(i + d)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.array_sort(F.concat(apart(1), apart(2)))
+    return F.transform(pairs, lambda x, i: F.concat(x, (i + 1 - F.array_position(pairs, x)).cast("string")))
+
+
+def near_names(words: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """(word, name, score) of all pairs of distinct words (word) and names (name) whose partial ratio is least or more, 50 at the lowest.
+
+    The shorter of two strings shares least_shared() letter pairs with the longer, so at least one of its rarest, all but so many less one:
+    by these they meet, each pair of strings once. What then shares enough of them is verified. A letter by itself meets what holds it; an
+    empty string is near an empty one alone. Nulls are left out."""
+    if least < 50:
+        raise ValueError("a least ratio of 50 or more")
+    parts = []
+    for frame, column in ((words, "word"), (names, "name")):
+        parts.append(frame.select(F.col(column).alias("t")).where("t is not null").distinct().select("t", F.length("t").alias("n"), letter_pairs(F.col("t")).alias("keys")))
+    bounds = [least_shared(n, least) for n in range(1, 64)]
+
+    def prefixes(short: DataFrame, other: DataFrame) -> DataFrame:
+        """short with its rarest keys, by how many of the other side have them."""
+        counts = other.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held"))
+        each = short.select("t", "n", F.explode("keys").alias("key")).join(counts, "key", "left")
+        keys = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "key")))  # a string's own pairs
+        rows = each.groupBy("t", "n").agg(keys.alias("k"))
+        # Beyond the table the bound is not below that of its end, as it grows with the length.
+        need = F.element_at(F.array(*[F.lit(b) for b in bounds]), F.least(F.col("n"), F.lit(len(bounds)))) if len(bounds) else F.lit(1)
+        need = F.when(F.col("n") < len(bounds), need).otherwise(F.lit(min(bounds[-8:])))
+        rows = rows.withColumn("need", F.greatest(need, F.lit(1)))
+        return rows.select("t", "n", "need", F.explode(F.slice("k", F.lit(1), F.greatest(F.size("k") - F.col("need") + 1, F.lit(0)))["key"]).alias("key"))
+
+    def met(short: DataFrame, long: DataFrame, longer) -> DataFrame:
+        long_keys = long.select(F.col("t").alias("o"), F.col("n").alias("o_n"), F.explode("keys").alias("key"))
+        pairs = prefixes(short.where("n > 1"), long).join(long_keys, "key").where(longer(F.col("o_n"), F.col("n"))).select("t", "o", "need").distinct()
+        both = pairs.join(short.select("t", F.col("keys").alias("a")), "t").join(long.select(F.col("t").alias("o"), F.col("keys").alias("b")), "o")
+        return both.where(F.size(F.array_intersect("a", "b")) >= F.col("need")).select("t", "o")
+
+    def single(short: DataFrame, long: DataFrame, longer) -> DataFrame:
+        letters = long.select(F.col("t").alias("o"), F.col("n").alias("o_n"), F.explode(F.array_distinct(F.split("t", ""))).alias("t"))
+        return short.where("n = 1").join(letters, "t").where(longer(F.col("o_n"), F.col("n"))).select("t", "o")
+
+    (w, n), at_least, more = parts, lambda a, b: a >= b, lambda a, b: a > b
+    found = met(w, n, at_least).unionByName(single(w, n, at_least)).select(F.col("t").alias("word"), F.col("o").alias("name"))
+    found = found.unionByName(met(n, w, more).unionByName(single(n, w, more)).select(F.col("o").alias("word"), F.col("t").alias("name")))
+    found = found.unionByName(w.where("n = 0").join(n.where("n = 0").select(F.col("t").alias("name")), F.col("t") == F.col("name")).select(F.col("t").alias("word"), "name"))
+    return found.withColumn("score", partial_ratios(F.col("word"), F.col("name"))).where(F.col("score") >= least)
+
+
 def ratios(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -188,7 +188,10 @@ def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybri
         alone = words.join(fused.select("qid").distinct(), "qid", "left_anti")
         known = near(fused.select("qid", "id", "score").join(pool.select("id", "filename"), "id").join(words, "qid"))
         boost = F.when(F.col("near") >= NEAR_NAME, F.least(F.lit(NAME_CAP), F.col("near") / 100 * NAME_BOOST)).otherwise(0.0)
-        found = near(pool.select("id", "filename").crossJoin(hint(alone, n_queries))).where(F.col("near") >= NEAR_NAME)
+        asked = alone.select("qid", F.explode("words").alias("word")).distinct()
+        by_word = fuzzy.near_names(asked, pool.select(F.lower("filename").alias("name")), NEAR_NAME)
+        best = asked.join(by_word, "word").groupBy("qid", "name").agg(F.max("score").alias("near"))
+        found = best.join(pool.select("id", F.lower("filename").alias("name")), "name")
         fused = known.select("qid", "id", (F.col("score") + boost).alias("score")).unionByName(found.select("qid", "id", F.least(F.lit(1.0), F.col("near") / 100).alias("score")))
     exact = queries.join(pool.select("id", "filename"), F.lower(T.strip(F.col("query"))) == F.lower("filename")).groupBy("qid").agg(F.max("id").alias("id")).withColumn("score", F.lit(5.0))
     fused = fused.join(exact.select("qid"), "qid", "left_anti").unionByName(exact.select("qid", "id", "score"))

@@ -46,9 +46,16 @@ def code_lexical_score(spark, d):
 def fuzzy_partial_ratio(spark, d):
     """Best file name for each query word of four letters or more, from 70 up."""
     q = queries(spark, d).select(F.explode(T.tokens(F.col("query"))).alias("word")).where(F.length("word") >= 4).distinct()
-    f = files(spark, d).select(F.lower("filename").alias("name")).crossJoin(F.broadcast(q))
-    s = f.where(fuzzy.may_reach("word", "name", R.NEAR_NAME)).withColumn("score", F.round(fuzzy.partial_ratios(F.col("word"), F.col("name")), 6))
-    return s.where(F.col("score") >= R.NEAR_NAME).groupBy(F.col("word").alias("query")).agg(F.max("score").alias("best"))
+    f = files(spark, d).select(F.lower("filename").alias("name"))
+    return fuzzy.near_names(q, f, R.NEAR_NAME).groupBy(F.col("word").alias("query")).agg(F.round(F.max("score"), 6).alias("best"))
+
+
+def fuzzy_part_names(spark, d):
+    """Words of the parts' names that are near the name of a brand or a type, and how near."""
+    p = table(spark, d, "part")
+    words = p.select(F.explode(T.tokens(F.col("p_name"))).alias("word"))
+    names = p.select(F.lower("p_type").alias("name")).unionByName(p.select(F.lower("p_brand").alias("name")))
+    return fuzzy.near_names(words, names, R.NEAR_NAME).select("word", "name", F.round("score", 6).alias("score"))
 
 
 def html_text(spark, d):
@@ -75,7 +82,7 @@ def stream_trend(spark, d):
     return days.select(F.col("day").cast("string").alias("day"), "n", F.round("value", 2).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, manifest_deps, code_lexical_score, fuzzy_partial_ratio, html_text, debounce, stream_hits, stream_trend)}
+QUERIES = {f.__name__: f for f in (code_symbols, manifest_deps, code_lexical_score, fuzzy_partial_ratio, fuzzy_part_names, html_text, debounce, stream_hits, stream_trend)}
 SQL = {
     "stream_hits": "select 'u'||user_id source_path, count(*) hit_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_seen from events group by all",
     "stream_trend": "select strftime(ts, '%Y-%m-%d') \"day\", count(*) n, round(sum(value), 2) as value from events group by all",
