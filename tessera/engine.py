@@ -137,5 +137,5 @@ class Engine:
         facts = code.symbols(self.files)
         return {
             "roots": projects.project_roots(self.files), "folders": projects.top_folders(self.files), "languages": projects.languages(self.files),
-            "symbols": facts.where("kind <> 'import'"), "modules": projects.modules(facts), "dependencies": code.dependencies(self.files),
+            "symbols": facts.where("kind not in ('import', 'internal')"), "modules": projects.modules(facts), "dependencies": code.dependencies(self.files),
         }

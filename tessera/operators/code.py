@@ -14,12 +14,23 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-JS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|function)\s+([A-Za-z_$][\w$]*)", re.M)
-RUST = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(fn|struct|trait|enum)\s+([A-Za-z_]\w*)", re.M)
+# What counts as a symbol or an import in a text of each language. A match begins with the blank lines before it.
+JS = [
+    ("class", re.compile(r"^\s*export\s+class\s+([A-Za-z_]\w*)", re.M)),
+    ("function", re.compile(r"^\s*(?:export\s+)?function\s+([A-Za-z_]\w*)\s*\([^)]*\)", re.M)),
+]
+JS_IMPORT = re.compile(r"(?:import\s+.*?\s+from\s+|require\(|import\()\s*['\"]([^'\"]+)['\"]")
+RUST = [
+    ("function", re.compile(r"^\s*(?:pub\s+)?fn\s+([A-Za-z_]\w*)\s*\([^)]*\)", re.M)),
+    ("class", re.compile(r"^\s*(?:pub\s+)?(?:struct|trait|enum)\s+([A-Za-z_]\w*)", re.M)),
+]
+RUST_IMPORT = re.compile(r"^\s*use\s+([^;]+);", re.M)
+RELATIVE = {"js": ("./", "../", "/"), "rust": ("crate::", "super::", "self::")}
 
 
 def python_facts(source: str) -> list[tuple[str, str, int]]:
-    """(kind, name, line) of classes, functions and imports, outer ones first; a text that doesn't parse has none."""
+    """(kind, name, line) of classes, functions and imports, outer ones first; a text that doesn't parse has none. Of an import the
+    top-level module counts: as `import`, or `internal` if it is relative and names one."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
@@ -31,15 +42,19 @@ def python_facts(source: str) -> list[tuple[str, str, int]]:
         elif isinstance(node, ast.ClassDef):
             out.append(("class", node.name, node.lineno))
         elif isinstance(node, ast.Import):
-            out += [("import", a.name, node.lineno) for a in node.names]
+            out += [("import", a.name.split(".")[0], node.lineno) for a in node.names]
         elif isinstance(node, ast.ImportFrom) and node.module:
-            out.append(("import", node.module, node.lineno))
+            out.append(("internal" if node.level else "import", node.module.split(".")[0], node.lineno))
     return out
 
 
-def pattern_facts(source: str, pattern: re.Pattern) -> list[tuple[str, str, int]]:
-    kinds = {"class": "class", "struct": "class", "trait": "class", "enum": "class", "function": "function", "fn": "function"}
-    return [(kinds[m[1]], m[2], source.count("\n", 0, m.start(1)) + 1) for m in pattern.finditer(source)]
+def pattern_facts(source: str, symbols: list, imports: re.Pattern, relative: tuple, separator: str) -> list[tuple[str, str, int]]:
+    line = lambda m: source.count("\n", 0, m.start()) + 1
+    out = [(kind, m[1], line(m)) for kind, pattern in symbols for m in pattern.finditer(source)]
+    for m in imports.finditer(source):
+        name = m[1].strip()
+        out.append(("internal", name, line(m)) if name.startswith(relative) else ("import", name.split(separator)[0], line(m)))
+    return out
 
 
 def facts(language: str, source: str | None) -> list[tuple[str, str, int]]:
@@ -48,8 +63,8 @@ def facts(language: str, source: str | None) -> list[tuple[str, str, int]]:
     if language == "python":
         return python_facts(source)
     if language in ("javascript", "typescript"):
-        return pattern_facts(source, JS)
-    return pattern_facts(source, RUST) if language == "rust" else []
+        return pattern_facts(source, JS, JS_IMPORT, RELATIVE["js"], "/")
+    return pattern_facts(source, RUST, RUST_IMPORT, RELATIVE["rust"], "::") if language == "rust" else []
 
 
 def symbols(code: DataFrame) -> DataFrame:

@@ -132,8 +132,9 @@ def line_range(text: Column, first: Column, last: Column) -> Column:
 
 def modules(facts: DataFrame) -> DataFrame:
     """(path, symbols, imports): each file's symbols as kind:name:line in order of lines, and its distinct imports, from (path, kind, name, line)."""
-    by_line = F.array_sort(F.collect_list(F.when(F.col("kind") != "import", F.struct("line", "name", "kind"))))
-    imports = F.array_sort(F.collect_set(F.when(F.col("kind") == "import", F.col("name"))))
+    imported = F.col("kind").isin("import", "internal")
+    by_line = F.array_sort(F.collect_list(F.when(~imported, F.struct("line", "name", "kind"))))
+    imports = F.array_sort(F.collect_set(F.when(imported, F.col("name"))))
     out = facts.groupBy("path").agg(by_line.alias("s"), imports.alias("imports"))
     return out.select("path", F.transform("s", lambda s: F.concat_ws(":", s["kind"], s["name"], s["line"])).alias("symbols"), "imports")
 

@@ -8,7 +8,7 @@ from tessera.operators import code
 from tessera.operators import connector as C
 from tessera.operators import projects as P
 from tessera.plans.catalog_queries import _PATHS, _paths
-from tessera.plans.more_queries import CODE
+from tessera.plans.more_queries import FACTS, code_files
 from tessera.sources.relations import table
 
 _TOP, _NAMES = ["vendor", ".github", "Build"], [".git/HEAD", "package.json", "a.py", "b.rs", "README.md", "node_modules/x.js", "c.ts", "Makefile", "d.go", "next.config.js", "e.txt", "f.csproj"]
@@ -65,7 +65,7 @@ def language_summary(spark, d):
 
 
 def module_detail(spark, d):
-    return P.modules(code.symbols(spark.createDataFrame(CODE, "path string, content string"))).select("path", F.array_join("symbols", ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
+    return P.modules(code.symbols(code_files(spark, d))).select("path", F.array_join("symbols", ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
 
 
 _KINDS = ["paragraph", "to_do", "code", "bookmark", "image", "child_page", "heading_1"]
@@ -116,6 +116,7 @@ QUERIES = {f.__name__: f for f in (project_roots, nested_roots, top_folders, lis
 _TREE = f"t as (select distinct coalesce({_TOP}[p_partkey % 13 + 1], 'r' || p_size) || '/m' || p_partkey % 7 || case when p_partkey % 2 = 0 then '/src/' else '/' end || {_NAMES}[p_partkey % {len(_NAMES)} + 1] path from part), f as (select path, regexp_replace(path, '/[^/]*$', '') folder, string_split(path, '/')[-1] nm from t)"
 _BLOCKS = rf"b as (select conv_id, turn, conv_id * 1000 + turn id, role, {_KINDS}[(turn + conv_id) % {len(_KINDS)} + 1] kind, regexp_replace(text, '^\s+|\s+$', '', 'g') x from conversations)"
 SQL = {
+    "module_detail": f"with {FACTS} select path, coalesce(string_agg(kind || ':' || name || ':' || line, ',' order by line, name) filter (kind in ('class', 'function')), '') symbols, string_agg(distinct name, ',' order by name) filter (kind in ('import', 'internal')) imports from facts group by path",
     "project_roots": f"with {_TREE}, m as (select folder root, case when nm in ('package.json', 'Makefile', 'f.csproj') then 1 else 2 end place from f where nm in ('package.json', 'Makefile', 'f.csproj', 'next.config.js') union select replace(folder, '/.git', ''), 0 from f where ends_with(folder, '/.git')) select folder, coalesce(arg_min(root, place * 1000 - length(root)), folder) root, coalesce(['vcs','manifest','framework'][min(place) + 1], 'fallback') as method from (select distinct folder from f) left join m on folder = root or starts_with(folder, root || '/') group by folder",
     "nested_roots": rf"with {_TREE}, g as (select folder root, bool_or(nm in ('package.json', 'Makefile')) has_marker, count(*) filter (regexp_matches(nm, '\.(py|rs|js|ts|go)$')) code_files from f where not regexp_matches('/' || folder || '/', '/(\.git|node_modules|vendor|build)/') group by all), l as (select * from g where has_marker or code_files >= 3) select * from l where not exists (select 1 from l o where starts_with(l.root, o.root || '/'))",
     "top_folders": f"with {_TREE}, n as (select distinct string_split(path, '/')[1] n from t), c as (select n, case when n = 'vendor' then 'dependency_code' when n = 'Build' then 'generated_code' when n = '.github' then 'configuration' else 'application_code' end category from n) select category, string_agg(n, ',' order by n) folders, count(*) n from c group by category",
