@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.lineage import numbered
 
 # Fixed values of the data model.
 ENTRY_NAMES = ["main.py", "app.py", "server.py", "manage.py", "cli.py", "index.js", "index.ts", "main.rs", "main.go", "program.cs"]
@@ -70,17 +71,14 @@ def project_score(signals: DataFrame, threshold: int = 40) -> DataFrame:
 
 def upsert_images(stored: DataFrame, new: DataFrame) -> DataFrame:
     """(path, mtime, id, embedded): a newer file replaces the stored one, keeps its id and loses its embedding; an older or equal one is
-    skipped; an unknown one gets the next id, in the order of paths. Ids are counted within ranges of paths, not in one task."""
+    skipped; an unknown one gets the next id, in the order of paths, which are numbered over many tasks."""
     old = stored.select("path", F.col("mtime").alias("old_mtime"), F.col("id").alias("old_id"), F.col("embedded").alias("old_embedded"))
     both = old.join(new.select("path", F.col("mtime").alias("new_mtime")), "path", "full")
     newer = F.col("old_id").isNull() | (F.col("new_mtime") > F.col("old_mtime"))
     kept = both.where("old_id is not null").select("path", F.when(newer, F.col("new_mtime")).otherwise(F.col("old_mtime")).alias("mtime"), F.col("old_id").alias("id"), F.when(newer, False).otherwise(F.col("old_embedded")).alias("embedded"))
-    fresh = both.where("old_id is null").select("path", F.col("new_mtime").alias("mtime")).withColumn("range", F.substring("path", 1, 8))
-    counts = fresh.groupBy("range").agg(F.count("*").alias("n"))
-    ahead = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    placed = fresh.join(ahead, "range").withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("path")))
-    added = placed.crossJoin(F.broadcast(top)).select("path", "mtime", (F.col("top") + F.col("ahead") + F.col("place")).cast("long").alias("id"), F.lit(False).alias("embedded"))
+    fresh = numbered(both.where("old_id is null").select("path", F.col("new_mtime").alias("mtime")), "place", "path")
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    added = fresh.crossJoin(F.broadcast(last)).select("path", "mtime", (F.col("last") + F.col("place")).alias("id"), F.lit(False).alias("embedded"))
     return kept.unionByName(added)
 
 

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import numbered, unused
+
 TRANSITIONS = [("QUEUED", "FETCHING"), ("FETCHING", "FETCHED"), ("FETCHING", "FAILED"), ("FETCHED", "QUEUED"), ("FAILED", "QUEUED")]
 
 
 def upsert_newest(old: DataFrame, new: DataFrame, key: str = "path", order: str = "mtime") -> DataFrame:
     """The newest row a key; of equally new ones the old one."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(order).desc(), "_new")
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+    new_, n_ = unused(old.unionByName(new, allowMissingColumns=True), "new", "n")
+    both = old.withColumn(new_, F.lit(0)).unionByName(new.withColumn(new_, F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.col(order).desc(), new_)
+    return both.withColumn(n_, F.row_number().over(w)).where(F.col(n_) == 1).drop(n_, new_)
 
 
 def changed(old: DataFrame, new: DataFrame, key: str = "path", order: str = "mtime", slack: float = 0.001) -> DataFrame:
     """Rows of new that aren't in old with a time within slack."""
-    o = old.select(F.col(key).alias("_k"), F.col(order).alias("_t"))
-    return new.join(o, (new[key] == F.col("_k")) & (F.abs(new[order] - F.col("_t")) < slack), "left_anti")
+    k, t = unused(new, "k", "t")
+    o = old.select(F.col(key).alias(k), F.col(order).alias(t))
+    return new.join(o, (F.col(key) == F.col(k)) & (F.abs(F.col(order) - F.col(t)) < slack), "left_anti")
 
 
 def delete_prefix(df: DataFrame, prefix: str, spare: list[str] | None = None) -> DataFrame:
@@ -34,22 +38,11 @@ def requeue(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(m, F.col("p") == F.col("path"), "left").select("path", "size", "modified", F.when(same, "FETCHED").otherwise("QUEUED").alias("state"))
 
 
-def claim(manifest: DataFrame, workers: int, ranges: int = 32) -> DataFrame:
-    """Queued files in the order smallest first, dealt to workers in turn: (path, place, worker).
-
-    The queue is cut into ranges at files picked by a hash, which only spread the work: places are counted within each range, from
-    the number of files in the ranges before.
-    """
-    at = F.struct("size", "path")
+def claim(manifest: DataFrame, workers: int) -> DataFrame:
+    """Queued files in the order smallest first, dealt to workers in turn: (path, place, worker). A queue of any length is numbered over as
+    many tasks as its sort has."""
     q = manifest.where("state = 'QUEUED'").select("path", F.coalesce("size", F.lit(0)).alias("size"))
-    some = q.where("path is not null").orderBy(F.xxhash64("path"), "path").limit(64 * ranges).orderBy("size", "path").collect()
-    cuts = [F.struct(F.lit(r["size"]).cast(q.schema["size"].dataType).alias("size"), F.lit(r["path"]).alias("path")) for r in some[64::64]]
-    q = q.withColumn("range", sum([(at >= c).cast("int") for c in cuts], F.lit(0)))
-    counts = q.groupBy("range").agg(F.count("*").alias("n"))
-    ahead = counts.select(F.col("range"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
-    q = q.withColumn("within", F.row_number().over(Window.partitionBy("range").orderBy("size", "path")))
-    q = q.join(F.broadcast(ahead), "range").withColumn("place", F.col("ahead") + F.col("within"))
-    return q.select("path", "place", F.pmod(F.col("place") - 1, F.lit(workers)).alias("worker"))
+    return numbered(q, "place", "size", "path").select("path", "place", F.pmod(F.col("place") - 1, F.lit(workers)).alias("worker"))
 
 
 def guard(changes: DataFrame) -> DataFrame:

@@ -136,27 +136,37 @@ def fuse(lanes: list[tuple[DataFrame, Column | float]], k: int | None = None) ->
     return top(scored, k) if k else scored
 
 
+def trimmed(text: Column, budget: int) -> Column:
+    """As many words of a text as fit a token budget, and three dots."""
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
+    return F.concat(F.array_join(F.slice(words, F.lit(1), F.lit(max(1, round(budget / 1.35)))), " "), F.lit(" ..."))
+
+
 def best_chunks(hits: DataFrame, files: DataFrame, queries: DataFrame, max_chunks: int = 1, budget: int | None = None, ratio: float = 0.82) -> DataFrame:
-    """Adds to (qid, id, ...) the best chunks of each text: the best, and more while they score at least ratio of it, in a token budget.
+    """Adds to (qid, id, ...) the best chunks of each text: the best, and more while they score at least ratio of it, in a token budget. A
+    best one beyond the budget is trimmed to it and stands alone; the first of the others that doesn't fit ends the list.
 
-    (…, chunk_index, chunk_id, matched_chunks, chunk_text, tokens)
+    (…, chunk_index, chunk_id, matched_chunks, chunk_text, tokens, chunk_total, chunk_indices). Chunks are scored where they are cut: no
+    shuffle has them all. Texts without a chunk go.
     """
     size, overlap = T.chunk_config(F.length("content"))
     docs = hits.join(files.select("id", "content"), "id").join(queries.select("qid", "query"), "qid")
-    docs = docs.withColumn("cc", size).withColumn("ov", overlap).withColumn("chunks", T.char_chunks(F.col("content"), F.col("cc"), F.col("ov")))
-    each = docs.select(*hits.columns, "query", "cc", "ov", F.explode("chunks").alias("c"))
-    each = each.withColumn("chunk_score", T.chunk_score(T.tokens(F.col("query")), T.strip(F.col("query")), F.col("c.text")))
-    w = Window.partitionBy("qid", "id")
-    line = w.orderBy(F.col("chunk_score").desc(), F.col("c.index"))
-    picked = each.withColumn("n", F.row_number().over(line)).withColumn("best", F.max("chunk_score").over(w))
-    picked = picked.where((F.col("n") <= max_chunks) & (F.col("chunk_score") >= F.col("best") * ratio))
-    picked = picked.withColumn("tokens", T.token_estimate(T.words(F.col("c.text"))))
+    docs = docs.withColumn("cc", size).withColumn("ov", overlap).withColumn("words", T.tokens(F.col("query"))).withColumn("phrase", T.strip(F.col("query")))
+    chunks = T.char_chunks(F.col("content"), F.col("cc"), F.col("ov"))
+    scored = F.transform(chunks, lambda c: F.struct((-T.chunk_score(F.col("words"), F.col("phrase"), c["text"])).alias("less"), c["index"].alias("index"), c["text"].alias("text")))
+    docs = docs.select(*hits.columns, "cc", "ov", F.size(chunks).alias("total"), F.slice(F.array_sort(scored), 1, max_chunks).alias("x")).where("total > 0")
+    docs = docs.withColumn("x", F.filter("x", lambda c, i: (i == 0) | (c["less"] <= F.col("x")[0]["less"] * ratio)))
+    cost = lambda text: T.token_estimate(T.words(text))
+    docs = docs.withColumn("x", F.transform("x", lambda c: F.struct(c["index"].alias("index"), c["text"].alias("text"), cost(c["text"]).alias("tokens"))))
     if budget:
-        picked = picked.withColumn("used", F.sum("tokens").over(line)).where((F.col("n") == 1) | (F.col("used") <= budget))
-    chosen = F.array_sort(F.collect_list(F.struct("n", F.col("c.index").alias("index"), F.col("c.text").alias("text"), "tokens")))
-    keys = [c for c in hits.columns]
-    out = picked.groupBy(*keys, "cc", "ov").agg(chosen.alias("x"))
-    return out.select(*keys, F.col("x")[0]["index"].alias("chunk_index"), T.text_chunk_id(F.col("id"), F.col("x")[0]["index"], F.col("cc"), F.col("ov")).alias("chunk_id"), F.size("x").alias("matched_chunks"), F.array_join(F.col("x.text"), "\n\n---\n\n").alias("chunk_text"), F.aggregate("x", F.lit(0), lambda a, s: a + s["tokens"]).alias("tokens"))
+        short = F.struct(F.col("x")[0]["index"].alias("index"), trimmed(F.col("x")[0]["text"], budget).alias("text"), cost(trimmed(F.col("x")[0]["text"], budget)).alias("tokens"))
+        used = lambda i: F.aggregate(F.slice("x", F.lit(1), i + 1), F.lit(0), lambda a, c: a + c["tokens"])
+        docs = docs.withColumn("x", F.when(F.col("x")[0]["tokens"] > budget, F.array(short)).otherwise(F.filter("x", lambda c, i: used(i) <= budget)))
+    first = F.col("x")[0]["index"]
+    return docs.select(
+        *hits.columns, first.alias("chunk_index"), T.text_chunk_id(F.col("id"), first, F.col("cc"), F.col("ov")).alias("chunk_id"), F.size("x").alias("matched_chunks"),
+        F.array_join(F.col("x.text"), "\n\n---\n\n").alias("chunk_text"), F.aggregate("x", F.lit(0), lambda a, c: a + c["tokens"]).alias("tokens"), F.col("total").alias("chunk_total"), F.col("x.index").alias("chunk_indices"),
+    )
 
 
 #: Of the reference's names: the least partial ratio of a near name, the boost's factor and its cap, which every near name reaches.

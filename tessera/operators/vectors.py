@@ -21,15 +21,55 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Queries in a block, and bytes of all blocks up to which they are broadcast.
+BLOCK, BROADCAST_BYTES = 1024, 64 << 20
+
+
+def packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
+    """(ids, vecs, n): rows in packs of up to ``size``, as they lie in their partitions; no shuffle. Null ids and vectors are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in range(0, len(b), size):
+                part = b.iloc[x : x + size]
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(part["vec"].to_numpy()).astype(np.float64).tobytes()], "n": [len(part)]})
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null").mapInPandas(run, "ids binary, vecs binary, n long")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", n_queries: int | None = None) -> DataFrame:
     """(qid, id, score, rank) of the k nearest by cosine, angular (1 - distance / 2 of unit vectors, not below 0) or l2 distance.
 
-    queries (qid, q) are a stated set: broadcast if counted and few; the best k are kept before any shuffle.
-    """
-    side = F.broadcast(queries) if n_queries is not None and n_queries <= 10_000 else queries
-    c = cosine(F.col("embedding"), F.col("q"))
-    scores = {"cosine": c, "angular": F.greatest(F.lit(0.0), 1 - F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - c))) / 2), "l2": -F.sqrt(F.aggregate(F.zip_with("embedding", "q", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0)), F.lit(0.0), lambda s, x: s + x))}
-    scored = vectors.crossJoin(side).select("qid", "id", F.round(scores[metric], 9).alias("score"))
+    queries (qid, q) are a stated set, met by all vectors, of one length all: packs of either side are multiplied as matrices, and of each
+    product a query's best k go on. The packs of queries are broadcast if their bytes are few. Vectors of norm 0 have no cosine and are left out
+    where one is asked for."""
+    tiles, blocks = packed(vectors, "id", "embedding", 8192), packed(queries, "qid", "q", BLOCK)
+    blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("n").alias("q_n"))
+    width = queries.agg(F.max(F.size("q"))).first()[0] or 0
+    few = n_queries is not None and n_queries * width * 8 <= BROADCAST_BYTES
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.float64).reshape(r.n, -1)
+                qids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vecs, np.float64).reshape(r.q_n, -1)
+                if metric == "l2":
+                    s = -np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in q]))  # as squares of sums, near vectors would lose their digits
+                else:
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+                    if metric == "angular":
+                        s = np.maximum(0, 1 - np.sqrt(np.maximum(0, 2 * (1 - s))) / 2)
+                s = np.round(s, 9)
+                order = [np.lexsort((ids, -row))[:k] for row in np.where(np.isnan(s), -np.inf, s)]
+                of = np.repeat(np.arange(len(q)), [len(o) for o in order])
+                at = np.concatenate(order)
+                ok = ~np.isnan(s[of, at])
+                yield pd.DataFrame({"qid": qids[of][ok], "id": ids[at][ok], "score": s[of, at][ok]})
+
+    if metric not in ("cosine", "angular", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    scored = tiles.crossJoin(F.broadcast(blocks) if few else blocks).mapInPandas(best, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -58,17 +98,31 @@ def hash_embed(tokens: Column) -> Column:
 def greedy_distinct(frames: DataFrame, threshold: float = 0.85, most: int | None = None, group: str = "video_id", order: str = "ts") -> DataFrame:
     """(group, id) kept in order: a frame stays iff its cosine with every kept one before it is below the threshold, up to ``most`` if given.
 
-    Order decides, so each group is one task; what is kept is held against each new one."""
+    Order decides, so each group is one task; a block of frames is held against all that is kept by one product, and what is left of it
+    against itself. The kept vectors lie in one array that grows by doubling."""
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, ids = [], []
-        for r in rows.sort_values([order, "id"]).itertuples():
-            v = np.asarray(r.embedding, float)
-            v = v / (np.linalg.norm(v) + 1e-12)
-            if (most is None or len(kept) < most) and (not kept or (np.stack(kept) @ v).max() < threshold):
-                kept.append(v)
-                ids.append((getattr(r, group), r.id))
-        return pd.DataFrame(ids, columns=[group, "id"])
+        rows = rows.sort_values([order, "id"])
+        kept, n, ids = None, 0, []
+        for at in range(0, len(rows), 512):
+            part = rows.iloc[at : at + 512]
+            x = np.stack(part["embedding"].to_numpy()).astype(float)
+            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+            far = (kept[:n] @ x.T).max(axis=0) < threshold if n else np.ones(len(x), bool)
+            among = x @ x.T
+            new: list[int] = []
+            for i in np.flatnonzero(far):
+                if (most is None or n + len(new) < most) and (not new or among[i, new].max() < threshold):
+                    new.append(i)
+            if new:
+                if kept is None or n + len(new) > len(kept):
+                    bigger = np.empty((max(2 * n, n + len(new), 64), x.shape[1]))
+                    bigger[:n] = kept[:n] if n else 0
+                    kept = bigger
+                kept[n : n + len(new)] = x[new]
+                n += len(new)
+                ids += part["id"].iloc[new].tolist()
+        return pd.DataFrame({group: [rows[group].iloc[0]] * len(ids), "id": ids})
 
     return frames.groupBy(group).applyInPandas(keep, f"{group} {frames.schema[group].dataType.simpleString()}, id long")
 

@@ -144,7 +144,7 @@ def best_chunk(spark, d):
     q = queries(spark, d)
     f = files(spark, d)
     hits = R.bm25(f, q, 3, prefix=False, n_queries=_n(q)).select("qid", "id")
-    return R.best_chunks(hits, f, q, max_chunks=2, budget=400).select("qid", "id", "chunk_index", "chunk_id", "matched_chunks", "tokens")
+    return R.best_chunks(hits, f, q, max_chunks=2, budget=150).select("qid", "id", "chunk_index", "chunk_id", "matched_chunks", "tokens", F.md5("chunk_text").alias("text_md5"))
 
 
 def line_chunks(spark, d):
@@ -172,6 +172,16 @@ _CH = rf"""{_CONFIG}, raw as (select id, cc, ov, unnest(range(0, greatest(0, cas
  cut as (select id, cc, ov, k*(cc-ov) "start", least(k*(cc-ov)+cc, n) "end", regexp_replace(substr(content, k*(cc-ov)+1, cc), '^\s+|\s+$', '', 'g') txt from raw),
  ch as (select *, row_number() over (partition by id order by "start") - 1 chunk_index from cut where txt <> '')"""
 
+_W = r"[\p{L}\p{N}\p{M}_]"
+_NOT = r"[^\p{L}\p{N}\p{M}_]"
+#: Where a word t first stands alone in low, from 1.
+_PLACE = f"case when regexp_matches(low, '(?s)^(.*?)(^|{_NOT})' || t || '({_NOT}|$)') then length(regexp_extract(low, '(?s)^(.*?)(^|{_NOT})' || t || '({_NOT}|$)', 1)) + length(regexp_extract(low, '(?s)^(.*?)(^|{_NOT})' || t || '({_NOT}|$)', 2)) + 1 end"
+#: CTEs of chunk scores for hits (qid, id): best (qid, id, chunk_index, txt, cc, ov, score, n).
+_CHUNKS = rf"""{_CH}, qt as (select qid, trim(query) phrase, regexp_extract_all(lower(query), '{WORD}') toks from qs), hc as (select h.qid, h.id, chunk_index, txt, cc, ov, phrase, toks, lower(txt) low from hits h join ch on ch.id = h.id join qt on qt.qid = h.qid),
+ cu as (select qid, id, chunk_index, low, unnest(list_distinct(toks)) t from hc), cn as (select qid, id, chunk_index, sum((length(low) - length(replace(low, t, ''))) // length(t)) hits, count(*) filter (contains(low, t)) uniq from cu group by all),
+ cp as (select qid, id, chunk_index, count(place) m, max(place) - min(place) span from (select qid, id, chunk_index, {_PLACE} place from (select qid, id, chunk_index, low, unnest(toks) t from hc)) group by all),
+ cs as (select hc.*, case when len(toks) = 0 then 1.0 else coalesce(hits, 0) + 0.35 * coalesce(uniq, 0) + coalesce(hits, 0)::double / greatest(1, len(regexp_extract_all(low, '\S+'))) * 10 + case when m >= 2 then 250.0 / (1 + span) else 0 end + case when length(phrase) >= 4 and contains(low, lower(phrase)) then 2.5 else 0 end end score from hc left join cn using(qid, id, chunk_index) left join cp using(qid, id, chunk_index)),
+ best as (select *, row_number() over w n, max(score) over (partition by qid, id) top, greatest(1, round_even(len(regexp_extract_all(txt, '\S+')) * 1.35::double, 0)::bigint) tokens from cs window w as (partition by qid, id order by round(score, 9) desc, chunk_index))"""
 #: text_search has no SQL, as DuckDB has no stems: tests hold it against plain versions, and fused_search is what is left without them.
 QUERIES = {
     f.__name__: f
@@ -202,6 +212,10 @@ SQL = {
     "chunk_id": f"""with {FILES}, {_CH} select id, chunk_index, rtrim(translate(base64(encode('{{"fid":'||id||',"idx":'||chunk_index||',"cc":'||cc||',"ov":'||ov||'}}')), '+/', '-_'), '=') chunk_id from ch""",
     "chunk_neighbors": f"with {FILES}, {_CH} select id, chunk_index, lag(chunk_index) over w before, lead(chunk_index) over w after, count(*) over (partition by id order by chunk_index rows between 2 preceding and 2 following) around from ch window w as (partition by id order by chunk_index)",
     "relevance_tag": f"{_BM25} select qid, id, case when score/max(score) over (partition by qid) >= 0.75 then 'strong' when score/max(score) over (partition by qid) >= 0.4 then 'medium' else 'weak' end tag from ranked where rank <= 10",
+    "best_chunk": f"""{_BM25}, hits as (select qid, id from ranked where rank <= 3), {_CHUNKS}, two as (select *, sum(tokens) over (partition by qid, id order by n) used, first(tokens) over (partition by qid, id order by n) one from best where n <= 2 and (n = 1 or score >= 0.82 * top)),
+ kept as (select *, case when n = 1 and tokens > 150 then array_to_string(regexp_extract_all(txt, '\\S+')[1:111], ' ') || ' ...' else txt end piece from two where n = 1 or (one <= 150 and used <= 150)),
+ o as (select qid, id, first(chunk_index order by n) chunk_index, first(cc) cc, first(ov) ov, count(*) matched_chunks, sum(greatest(1, round_even(len(regexp_extract_all(piece, '\\S+')) * 1.35::double, 0)::bigint))::bigint tokens, md5(string_agg(piece, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by n)) text_md5 from kept group by qid, id)
+ select qid, id, chunk_index, rtrim(translate(base64(encode('{{"fid":'||id||',"idx":'||chunk_index||',"cc":'||cc||',"ov":'||ov||'}}')), '+/', '-_'), '=') chunk_id, matched_chunks, tokens, text_md5 from o""",
     "line_chunks": rf"""with {FILES}, l as (select id, string_split(content, chr(10)) a from files), l2 as (select id, case when a[-1] = '' then a[1:len(a)-1] else a end a from l),
  w as (select id, a, unnest(range(0, greatest(0, cast(ceil((len(a)-8)/6.0) as bigint))+1)) k from l2), t as (select id, k*6+1 s, least(k*6+8, len(a)) e, regexp_replace(array_to_string(a[k*6+1:k*6+8], chr(10)), '^\s+|\s+$', '', 'g') txt from w)
  select id, row_number() over (partition by id order by s) - 1 chunk_index, s start_line, e end_line, md5(txt) text_md5 from t where txt <> ''""",
