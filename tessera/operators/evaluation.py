@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(qid, ndcg, ap, recall, precision, mrr) for each query with relevant rows; a query without hits scores 0.
@@ -27,3 +29,30 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
 def means(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     names = ["ndcg", "ap", "recall", "precision", "mrr"]
     return metrics.groupBy(*(by or [])).agg(F.count("*").alias("queries"), F.count_if(F.col("recall") > 0).alias("queries_with_hits"), *[F.round(F.avg(n), 6).alias(n) for n in names])
+
+
+def reduction(baseline: Column, got: Column) -> Column:
+    """By how many per cent got is below a baseline; 0 for a baseline of 0 or less."""
+    return F.when(baseline > 0, (1 - got / baseline) * 100).otherwise(F.lit(0.0))
+
+
+def token_counts(run: DataFrame, qrels: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, oracle_tokens, full_tokens, chunk_tokens, vs_oracle, vs_full) of each query of the run (qid, id): the tokens of all relevant
+    texts, of the texts found, each once, and of their best chunks (qid, tokens); and by how much the last is below the others.
+
+    A text's tokens are counted once, however many queries ask for it."""
+    asked = run.select("id").unionByName(qrels.select("id")).distinct()
+    sizes = files.join(asked, "id", "left_semi").select("id", T.token_estimate(T.words(F.col("content"))).cast("long").alias("t"))
+    of = lambda rows, name: rows.select("qid", "id").distinct().join(sizes, "id").groupBy("qid").agg(F.sum("t").alias(name))
+    out = run.select("qid").distinct().join(of(qrels.where("rel > 0"), "oracle_tokens"), "qid", "left").join(of(run, "full_tokens"), "qid", "left").join(chunks.groupBy("qid").agg(F.sum("tokens").cast("long").alias("chunk_tokens")), "qid", "left")
+    out = out.select("qid", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("oracle_tokens", "full_tokens", "chunk_tokens")])
+    return out.withColumn("vs_oracle", reduction(F.col("oracle_tokens"), F.col("chunk_tokens"))).withColumn("vs_full", reduction(F.col("full_tokens"), F.col("chunk_tokens")))
+
+
+def token_summary(counts: DataFrame) -> DataFrame:
+    """One row from token_counts(): sums, means a query, the reduction of the sums and the mean of the queries' reductions."""
+    kinds = ("oracle", "full", "chunk")
+    sums = [F.sum(f"{k}_tokens").alias(f"{k}_total") for k in kinds]
+    means_ = [F.avg(f"{k}_tokens").alias(f"{k}_mean") for k in kinds]
+    out = counts.agg(F.count("*").alias("queries"), *sums, *means_, F.avg("vs_oracle").alias("mean_vs_oracle"), F.avg("vs_full").alias("mean_vs_full"))
+    return out.withColumn("overall_vs_oracle", reduction(F.col("oracle_total"), F.col("chunk_total"))).withColumn("overall_vs_full", reduction(F.col("full_total"), F.col("chunk_total")))

@@ -10,7 +10,7 @@ from tessera.operators import evaluation as E
 from tessera.operators import maintenance as M
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
-from tessera.plans.text_queries import _BM25, FILES, QS
+from tessera.plans.text_queries import _BM25, _CHUNKS, FILES, QS
 from tessera.sources.relations import files, qrels, queries, table
 
 _VEC = "v as (select vec_id id, embedding e, label from embeddings)"
@@ -65,13 +65,20 @@ def ndcg(spark, d):
     return m.select("qid", *[F.round(c, 6).alias(c) for c in ("ndcg", "ap", "recall", "precision", "mrr")])
 
 
-def token_reduction(spark, d):
-    """Tokens of the texts found against those of their best chunks."""
+def _tokens(spark, d):
     q, f = queries(spark, d), files(spark, d)
     hits = R.bm25(f, q, 5, prefix=False, n_queries=q.count()).select("qid", "id")
-    chunks = R.best_chunks(hits, f, q).groupBy("qid").agg(F.sum("tokens").alias("chunk_tokens"))
-    full = hits.join(f, "id").groupBy("qid").agg(F.sum(T.token_estimate(T.words(F.col("content")))).alias("full_tokens"))
-    return full.join(chunks, "qid").select("qid", "full_tokens", "chunk_tokens", F.round((1 - F.col("chunk_tokens") / F.col("full_tokens")) * 100, 4).alias("reduction"))
+    return E.token_counts(hits, qrels(spark, d), f, R.best_chunks(hits, f, q))
+
+
+def token_reduction(spark, d):
+    """Tokens of the relevant texts, of those found, and of the best chunks of these."""
+    return _tokens(spark, d).withColumns({c: F.round(c, 4) for c in ("vs_oracle", "vs_full")})
+
+
+def token_summary(spark, d):
+    out = E.token_summary(_tokens(spark, d))
+    return out.select("queries", "oracle_total", "full_total", "chunk_total", *[F.round(c, 4).alias(c) for c in out.columns if "mean" in c or "overall" in c])
 
 
 def _two(spark, d):
@@ -258,7 +265,7 @@ def tombstones(spark, d):
     return s.select("uri", F.when(F.col("change") == "deleted", "deleted").otherwise("active").alias("status"))
 
 
-NAMES = """knn_cosine knn_angular knn_l2 hash_embed_blake2b greedy_dedup run_metrics ndcg token_reduction upsert_newest unchanged_skip stale_rows resume_semi prefix_delete content_hash_sync
+NAMES = """knn_cosine knn_angular knn_l2 hash_embed_blake2b greedy_dedup run_metrics ndcg token_reduction token_summary upsert_newest unchanged_skip stale_rows resume_semi prefix_delete content_hash_sync
  manifest_queue manifest_requeue manifest_counts state_guard buffer_assemble hit_counter top_searched recent_sync daily_trend day_delta dir_stats lang_dist state_pivot kpi_snapshot modality_classify language_map
  name_style json_props paging correlated_count left_distinct three_way_join budget_sessions tombstones"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
@@ -273,10 +280,16 @@ _SYNC = """o as (select page_id::varchar k, html body from pages where page_id %
  s as (select coalesce(uri, k) uri, case when k is null then 'inserted' when uri is null then 'deleted' when n.body = o.body then 'unchanged' else 'updated' end change from n full join o on uri = k)"""
 _HITS = "h as (select source_path, count(*) hit_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_seen, max(ts) mt from (select event_id // 3 q, 'u'||user_id source_path, max(ts) ts from events group by all) group by source_path)"
 _DAYS = "t as (select strftime(day, '%Y-%m-%d') as day, coalesce(n, 0) n, coalesce(value, 0) as value from (select unnest(generate_series(min(ts::date)::timestamp, max(ts::date)::timestamp, interval 1 day)) as day from events) left join (select ts::date as day, count(*) n, round(sum(value), 2) as value from events group by all) using(day))"
+_COUNT = r"greatest(1, round_even(len(regexp_extract_all(content, '\S+')) * 1.35::double, 0)::bigint)"
+_TOKENS = f"""{_BM25}, {_QREL}, hits as (select qid, id from ranked where rank <= 5), {_CHUNKS}, ct as (select qid, sum(tokens)::bigint t from best where n = 1 group by qid), ft as (select qid, sum({_COUNT})::bigint t from hits join files using(id) group by qid), ot as (select qid, sum({_COUNT})::bigint t from qrels join files using(id) group by qid),
+ tq as (select distinct qid from hits), tn as (select qid, coalesce(ot.t, 0) oracle_tokens, coalesce(ft.t, 0) full_tokens, coalesce(ct.t, 0) chunk_tokens from tq left join ot using(qid) left join ft using(qid) left join ct using(qid)),
+ tc as (select *, case when oracle_tokens > 0 then (1 - chunk_tokens / oracle_tokens::double) * 100 else 0 end vs_oracle, case when full_tokens > 0 then (1 - chunk_tokens / full_tokens::double) * 100 else 0 end vs_full from tn)"""
 SQL = {
     "knn_cosine": _knn(_COS, 6),
     "knn_angular": _knn(f"greatest(0, 1 - sqrt(greatest(0, 2*(1-{_COS})))/2)", 4),
     "knn_l2": _knn("-list_distance(v.e::double[], q.e::double[])", 4).replace("round(score, 4) score, rank", "round(score, 4) + 0.0 score, rank"),
+    "token_reduction": f"{_TOKENS} select qid, oracle_tokens, full_tokens, chunk_tokens, round(vs_oracle, 4) vs_oracle, round(vs_full, 4) vs_full from tc",
+    "token_summary": f"{_TOKENS} select count(*) queries, sum(oracle_tokens)::bigint oracle_total, sum(full_tokens)::bigint full_total, sum(chunk_tokens)::bigint chunk_total, round(avg(oracle_tokens), 4) oracle_mean, round(avg(full_tokens), 4) full_mean, round(avg(chunk_tokens), 4) chunk_mean, round(avg(vs_oracle), 4) mean_vs_oracle, round(avg(vs_full), 4) mean_vs_full, round((1 - sum(chunk_tokens) / sum(oracle_tokens)) * 100, 4) overall_vs_oracle, round((1 - sum(chunk_tokens) / sum(full_tokens)) * 100, 4) overall_vs_full from tc",
     "run_metrics": f'{_METRICS} select count(*) queries, count(*) filter(recall > 0) queries_with_hits, round(avg(ndcg), 6) ndcg, round(avg(ap), 6) ap, round(avg(recall), 6) recall, round(avg("precision"), 6) "precision", round(avg(mrr), 6) mrr from m',
     "ndcg": f'{_METRICS} select qid, round(ndcg, 6) ndcg, round(ap, 6) ap, round(recall, 6) recall, round("precision", 6) "precision", round(mrr, 6) mrr from m',
     "upsert_newest": f"{_TWO} select path, mtime, h from (select *, row_number() over (partition by path order by mtime desc, p) r from (select *, 0 p from old union all select *, 1 p from nw)) where r = 1",
