@@ -97,6 +97,27 @@ def text_chunk_id(file_id: Column, index: Column, size: Column, overlap: Column)
     return F.rtrim(F.translate(F.base64(F.encode(json, "UTF-8")), "+/", "-_"), F.lit("="))
 
 
+def code_chunk_id(path: Column, index: Column, lines: Column, overlap: Column) -> Column:
+    """As text_chunk_id(), for a chunk of lines of a file of code."""
+    json = F.to_json(F.struct(path.alias("p"), index.alias("idx"), lines.alias("cl"), overlap.alias("ov")))
+    return F.rtrim(F.translate(F.base64(F.encode(json, "UTF-8")), "+/", "-_"), F.lit("="))
+
+
+def short_number(n: Column) -> Column:
+    """A count with K or M from a thousand and a million on; N/A below 0."""
+    short = lambda size, mark: F.format_string(f"%.1f{mark}", n / F.lit(float(size)))
+    return F.when(n < 0, "N/A").when(n >= 1_000_000, short(1_000_000, "M")).when(n >= 1000, short(1000, "K")).otherwise(n.cast("string"))
+
+
+def sparkline(values: Column, ticks: str = "▁▂▃▄▅▆▇█") -> Column:
+    """A tick for each number of an array, from the lowest to the highest; of equal ones full ticks, of zeros dots; none: empty."""
+    low, high, top = F.array_min(values), F.array_max(values), len(ticks) - 1
+    place = lambda v: F.bround((v - low) / (high - low) * top, 0).cast("int")
+    drawn = F.array_join(F.transform(values, lambda v: F.substring(F.lit(ticks), F.greatest(F.lit(0), F.least(F.lit(top), place(v))) + 1, F.lit(1))), "")
+    flat = F.repeat(F.when(low == 0, "·").otherwise(ticks[-1]), F.size(values))
+    return F.when(F.size(values) == 0, "").when(low == high, flat).otherwise(drawn)
+
+
 def is_noisy(query: Column) -> Column:
     t = tokens(query)
     return F.when(F.size(t) == 0, False).otherwise((F.size(t) <= 2) | F.exists(t, lambda x: F.length(x) <= 3) | query.rlike(r"(?U)[^\w\s]"))

@@ -65,6 +65,23 @@ def image(semantic: DataFrame, ocr: DataFrame, images: DataFrame, queries: DataF
     return top(scored.where("score > 0"), k)
 
 
+def ordered_union(lanes: list[DataFrame], most: int = 100) -> DataFrame:
+    """(qid, id, place) of lanes (qid, id, rank): the first lane's rows in their order, then what the next has beside them, and so on; of each
+    query the first ``most``."""
+    rows = reduce(DataFrame.unionByName, [x.select("qid", "id", F.struct(F.lit(i).alias("lane"), "rank").alias("at")) for i, x in enumerate(lanes)])
+    first = rows.groupBy("qid", "id").agg(F.min("at").alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("at", "id"))).where(F.col("place") <= most).select("qid", "id", "place")
+
+
+def images_by_name(queries: DataFrame, images: DataFrame, answered: DataFrame, k: int, least: float = 70.0) -> DataFrame:
+    """(qid, id, score, rank) for queries (qid, query) that no lane has answered (qid): images (id, filename) whose name is near a word of
+    theirs, by 1.8 times the best partial ratio."""
+    words = queries.join(answered.select("qid").distinct(), "qid", "left_anti").select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("word"))
+    named = images.select("id", F.lower("filename").alias("name"))
+    near = words.join(fuzzy.near_names(words, named, least), "word").groupBy("qid", "name").agg(F.max("score").alias("s"))
+    return top(near.join(named, "name").select("qid", "id", (F.col("s") / 100 * 1.8).alias("score")), k)
+
+
 def audio(lexical: DataFrame, files: DataFrame, category: str, k: int) -> DataFrame:
     """(qid, id, score, transcript, rank): rows of the lane whose file is of the category, with the first 500 characters of the text."""
     of = files.where(F.lower("category") == category.lower()).select("id", F.left("content", F.lit(500)).alias("transcript"))

@@ -51,3 +51,16 @@ class RunLog:
         status = "completed" if not failed else "completed_with_errors"
         self.spark.createDataFrame([(run, root, started, ended, status, total, total - failed, counts)], RUN).coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
         return counts | {"total": total}
+
+
+FEEDBACK = "query string, excluded string, note string, at long"
+
+
+def append_feedback(spark: SparkSession, folder: str, rows: DataFrame) -> None:
+    """Append feedback (query, excluded: an array of paths, note, at) to the log in the folder; the paths as one text, joined by commas."""
+    rows.select("query", F.array_join("excluded", ",").alias("excluded"), "note", F.col("at").cast("long").alias("at")).write.mode("append").parquet(f"{folder}/feedback")
+
+
+def feedback(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{folder}/feedback"
+    return spark.read.schema(FEEDBACK).parquet(place) if exists(spark, place) else spark.createDataFrame([], FEEDBACK)

@@ -86,6 +86,16 @@ def hashed(words: list[str]) -> np.ndarray:
     return v / n
 
 
+def embedding_hash(vector: Column) -> Column:
+    """The sha256, in hex, of a vector's bytes as 32-bit floats, by which a changed embedding is told; null for none."""
+
+    @F.pandas_udf("string")
+    def digest(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest() for v in x], dtype=object)
+
+    return digest(vector)
+
+
 def hash_embed(tokens: Column) -> Column:
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

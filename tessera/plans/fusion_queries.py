@@ -9,10 +9,12 @@ from tessera.operators import evaluation as E
 from tessera.operators import fusion as X
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
+from tessera.operators.forest import Forest
 from tessera.plans.table_queries import _METRICS, _VEC
 from tessera.plans.text_queries import _BM25, FILES, PREFIX_POST, QS, RANKED, SCORED, TERMS, TOK, WORD_POST
 from tessera.sources import repository
 from tessera.sources.relations import files, qrels, queries, table
+from tessera.streaming.stateful import shared_folder
 
 K = 10
 #: Documents that a cloud file, a connector's page and a video have.
@@ -113,6 +115,32 @@ def knn_lsh(spark, d):
     return V.nearest_approx(v, q, 5, 64)
 
 
+def candidate_union(spark, d):
+    """Ids of the word lane, then of the vectors', 100 a query."""
+    return X.ordered_union([_lexical(spark, d, 50), _near(spark, d, 80)])
+
+
+def knn_forest(spark, d):
+    """knn_lsh's question to a stored forest, after a part of the vectors has been changed in it."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    forest = Forest.build(v.where("id % 9 <> 0").unionByName(v.where("id % 7 = 0").select((-F.col("id") - 1).alias("id"), "embedding")), shared_folder(spark, "forest"))
+    forest.change(v.where("id % 9 = 0"), v.where("id % 7 = 0").select((-F.col("id") - 1).alias("id")))
+    return forest.nearest(v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q")), 5)
+
+
+def event_sparklines(spark, d):
+    """Each kind of event day by day, drawn, with its number in short."""
+    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    days = e.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "n"))), lambda x: x["n"]).alias("n"))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    return days.select("event_type", T.sparkline(F.col("n")).alias("drawn"), T.short_number(total * 1000 + 7).alias("short"), T.short_number(total).alias("plain"))
+
+
+def code_chunk_ids(spark, d):
+    c = files(spark, d).select("path", F.explode(T.line_chunks(F.col("content"), 80, 20)).alias("c"))
+    return c.select("path", F.col("c.index").alias("chunk_index"), T.code_chunk_id(F.col("path"), F.col("c.index"), F.lit(80), F.lit(20)).alias("chunk_id"))
+
+
 def git_log(spark, d):
     """Commits, here made from orders: key, date and priority as a log's lines."""
     o = table(spark, d, "orders")
@@ -130,7 +158,7 @@ def ignore_rules(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (cloud_fusion, connector_search, image_fusion, match_type, audio_search, video_search, unified_search, code_candidates, system_compare, hash_embed_md5, porter_bm25, knn_lsh, git_log, ignore_rules)
+    for f in (cloud_fusion, connector_search, image_fusion, match_type, audio_search, video_search, unified_search, code_candidates, system_compare, hash_embed_md5, porter_bm25, knn_lsh, knn_forest, candidate_union, event_sparklines, code_chunk_ids, git_log, ignore_rules)
 }
 
 _LEX = _BM25
@@ -172,6 +200,13 @@ SQL = {
     "system_compare": f"select 'word' \"system\", * from ({_METRICS} select count(*) queries, count(*) filter(recall > 0) queries_with_hits, {_WORD}) union all select 'prefix', * from ({_METRICS.replace(WORD_POST, PREFIX_POST)} select count(*) queries, count(*) filter(recall > 0) queries_with_hits, {_WORD})",
     "hash_embed_md5": rf"""with {FILES}, t as (select id, md5(unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}\p{{M}}_]+'))) h from files),
  x as (select id, ('0x'||h[1:4])::int % 256 slot, sum((case when ('0x'||h[5])::int % 2 = 1 then 1.0 else -1.0 end) * (1 + (('0x'||h[6:9])::int % 100)/400.0::double)) x from t group by all) select id, slot, round(x / sqrt(sum(x*x) over (partition by id)), 5) + 0.0 as value from x""",
+    "candidate_union": f"{_LEX}, {_NEAR}, un as (select qid, id, min(lane * 1000 + rank) at_ from (select qid, id, rank, 0 lane from ranked where rank <= 50 union all select qid, id, rank, 1 from near where rank <= 80) group by all) select qid, id, place from (select qid, id, row_number() over (partition by qid order by at_) place from un) where place <= 100",
+    "event_sparklines": """with e as (select event_type, ts::date d, count(*) n from events group by all), b as (select *, min(n) over w lo, max(n) over w hi from e window w as (partition by event_type)),
+ t as (select event_type, string_agg(case when lo = hi then '█' else ('▁▂▃▄▅▆▇█')[round_even((n - lo) / (hi - lo)::double * 7, 0)::int + 1] end, '' order by d) drawn, sum(n)::bigint n from b group by event_type)
+ select event_type, drawn, case when n * 1000 + 7 >= 1000000 then printf('%.1fM', (n * 1000 + 7) / 1e6::double) when n * 1000 + 7 >= 1000 then printf('%.1fK', (n * 1000 + 7) / 1e3::double) else (n * 1000 + 7)::varchar end short, case when n >= 1000000 then printf('%.1fM', n / 1e6::double) when n >= 1000 then printf('%.1fK', n / 1e3::double) else n::varchar end plain from t""",
+    "code_chunk_ids": rf"""with {FILES}, l as (select path, string_split(content, chr(10)) a from files), l2 as (select path, case when a[-1] = '' then a[1:len(a)-1] else a end a from l),
+ w as (select path, a, unnest(range(0, greatest(0, cast(ceil((len(a)-80)/60.0) as bigint))+1)) k from l2), t as (select path, k, regexp_replace(array_to_string(a[k*60+1:k*60+80], chr(10)), '^\s+|\s+$', '', 'g') txt from w), i as (select path, row_number() over (partition by path order by k) - 1 chunk_index from t where txt <> '')
+ select path, chunk_index, rtrim(translate(base64(encode('{{"p":"'||path||'","idx":'||chunk_index||',"cl":80,"ov":20}}')), '+/', '-_'), '=') chunk_id from i""",
     "git_log": "select message, count(*) n, min(h) first from (select o_orderpriority||'|'||o_orderstatus message, sha1(o_orderkey::varchar) h from orders) group by all",
     "ignore_rules": f"with {FILES} select id, starts_with(path, '/src1/en/') or regexp_full_match(path, '/src2/.*/doc_1.*\\.txt') or regexp_full_match(filename, 'doc_.\\.txt') ignored from files",
 }

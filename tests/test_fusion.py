@@ -105,3 +105,30 @@ def test_commits_and_ignore_files(spark):
     paths = ["build", "build/x", "builder/x", "a/b.pyc", "docs/a.md", "a/docs/a.md", "b.py"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select(repository.ignored(F.col("path"), patterns).alias("i")).collect()
     assert [r["i"] for r in rows] == [True, True, False, True, True, False, False]
+
+
+def test_numbers_lines_hashes_and_names(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+    from tessera.operators import fusion as X
+    from tessera.operators import runs
+    from tessera.operators import vectors as V
+
+    n = spark.createDataFrame([(v,) for v in (-1, 0, 999, 1000, 1250, 1_000_000, 12_345_678)], "n long")
+    assert [r[0] for r in n.select(T.short_number(F.col("n"))).collect()] == ["N/A", "0", "999", "1.0K", "1.3K", "1.0M", "12.3M"]
+    lines = spark.createDataFrame([([],), ([0, 0],), ([3, 3, 3],), ([0, 7, 14, 1],)], "v array<long>")
+    assert [r[0] for r in lines.select(T.sparkline(F.col("v"))).collect()] == ["", "··", "███", "▁▅█▁"]
+    v = spark.createDataFrame([([1.0, -0.5],), (None,)], "v array<float>").select(V.embedding_hash(F.col("v"))).collect()
+    assert [r[0] for r in v] == [hashlib.sha256(np.array([1.0, -0.5], np.float32).tobytes()).hexdigest(), None]
+    lanes = [spark.createDataFrame(x, "qid long, id long, rank int") for x in ([(0, 5, 1), (0, 3, 2)], [(0, 9, 1), (0, 5, 2), (1, 4, 1)])]
+    assert sorted(map(tuple, X.ordered_union(lanes, 3).collect())) == [(0, 3, 2), (0, 5, 1), (0, 9, 3), (1, 4, 1)]
+    q = spark.createDataFrame([(0, "holiday photo"), (1, "answered"), (2, "zzz")], "qid long, query string")
+    images = spark.createDataFrame([(1, "Holidays.png"), (2, "answered.png"), (3, "x.png")], "id long, filename string")
+    got = X.images_by_name(q, images, spark.createDataFrame([(1,)], "qid long"), 5).collect()
+    assert [(r.qid, r.id, round(r.score, 6)) for r in got] == [(0, 1, 1.8)]
+    runs.append_feedback(spark, str(tmp_path), spark.createDataFrame([("q", ["a", "b"], "bad", 5), ("r", [], None, 6)], "query string, excluded array<string>, note string, at int"))
+    assert sorted(map(tuple, runs.feedback(spark, str(tmp_path)).collect()), key=str) == [("q", "a,b", "bad", 5), ("r", "", None, 6)]
