@@ -70,7 +70,7 @@ def paged_stream(spark, d):
     """What was edited after a time, as a stream."""
     options = _service(spark, d, 2) | {"since": "400"}
     spark.dataSource.register(paged.PagedSource)
-    return drained(spark.readStream.format("paged").options(**options).load(), "append").select(F.col("id").cast("long").alias("id"), "edited")
+    return drained(spark.readStream.format("paged").options(**options).load(), "paged", "append").select(F.col("id").cast("long").alias("id"), "edited")
 
 
 def connector_sync(spark, d):

@@ -80,12 +80,12 @@ def _stream(spark, d):
 
 
 def stream_hits(spark, d):
-    return stateful.drained(stateful.hits_stream(_stream(spark, d)), "complete").select("source_path", "hit_count", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    return stateful.drained(stateful.hits_stream(_stream(spark, d)), "hits", "complete").select("source_path", "hit_count", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
 def stream_trend(spark, d):
     """Each day's last state, open days too."""
-    days = stateful.drained(stateful.trend_stream(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))), "update", ["day"])
+    days = stateful.drained(stateful.trend_stream(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))), "trend", "update", ["day"])
     return days.select(F.col("day").cast("string").alias("day"), "n", F.round("value", 2).alias("value"))
 
 

@@ -58,12 +58,13 @@ def trend_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     return g.select(F.to_date("window.start").alias("day"), "n", "value")
 
 
-def drained(stream: DataFrame, mode: str, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """Run a stream over all that is there now, each batch to a table of its own below the shared folder, and read what it gave: all rows in
     append mode, the last batch's in complete mode, in update mode each key's from the last batch that has it.
 
-    A batch that is run again writes the same table again. folder: where to go on from an earlier run; by default a new one."""
-    folder = folder or shared_folder(stream.sparkSession, "stream")
+    A batch that is run again writes the same table again. folder: where to go on from an earlier run; by default a new
+    one, named so."""
+    folder = folder or shared_folder(stream.sparkSession, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
@@ -89,9 +90,9 @@ def drained_to_end(stream: DataFrame, last: DataFrame, shape, mode: str = "appen
     folder = shared_folder(spark, "stream")
     last.limit(0).write.parquet(f"{folder}/last")
     joined = shape(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/last")))
-    drained(joined, mode, keys, folder)
+    drained(joined, "stream", mode, keys, folder)
     last.write.mode("append").parquet(f"{folder}/last")
-    return drained(joined, mode, keys, folder)
+    return drained(joined, "stream", mode, keys, folder)
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:

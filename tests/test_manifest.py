@@ -49,7 +49,7 @@ def test_stream_equals_batch_over_replays_and_a_restart(spark, tmp_path, seed):
 
     def run():
         stream = spark.readStream.schema(M.EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-        return drained(M.machine(stream, lease=15_000, delay="30 seconds"), "append", folder=folder)
+        return drained(M.machine(stream, lease=15_000, delay="30 seconds"), "manifest", "append", folder=folder)
 
     for x in range(0, 160, 40):  # each restart brings a part in any order, some of it again, some from what was to come
         part = events[x : x + 40] + rng.sample(events[max(0, x - 5) : x + 50], 10)

@@ -114,11 +114,11 @@ def test_stream_goes_on_from_its_offset(spark, service, tmp_path):
     stream = lambda: spark.readStream.format("paged").options(**service.options).load()
     for i in range(8):
         add(service, "a", str(i), i, [])
-    assert drained(stream(), "append", folder=str(tmp_path)).count() == 8
+    assert drained(stream(), "paged", "append", folder=str(tmp_path)).count() == 8
     service.asked.clear()
     add(service, "b", "new", 20, [])
     service.objects["a"][3]["edited"] = 21
-    rows = drained(stream(), "append", folder=str(tmp_path))  # started again from its checkpoint
+    rows = drained(stream(), "paged", "append", folder=str(tmp_path))  # started again from its checkpoint
     assert sorted((r.id, r.edited) for r in rows.collect()) == sorted([*((str(i), i) for i in range(8)), ("new", 20), ("3", 21)])
     assert all(q["since"] == "7" and q["until"] == "21" for p, q, _ in service.asked if p.startswith("/collections/"))
 
