@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.stem import stems
 from tessera.operators import fuzzy
+from tessera.operators.lineage import cut
 
 K1, B, RRF, CANDIDATES = 1.2, 0.75, 60.0, 80
 #: Rows of a query side up to which it is broadcast; larger ones are joined by a shuffle.
@@ -79,7 +80,7 @@ def bm25(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, prefix: bool
         names = names.crossJoin(F.broadcast(lengths)).select("word", F.explode(starts).alias("s"))
     names = names.join(hint(wanted, n_queries), F.col("s") == F.col("term")).select("word", "term")
     if index is not None:
-        postings = index.of_words(names).groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf"))
+        postings = cut(index.of_words(names).groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf")))  # read twice below
     else:
         each = files.select("id", body.alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("word"))
         postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
@@ -110,7 +111,7 @@ def trigram(files: DataFrame, queries: DataFrame, k: int = CANDIDATES, n_queries
     places = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - F.length("term") + 1), lambda i: F.substring("word", i, F.length("term")) == F.col("term")))
     names = keyed.join(hint(wanted, n_queries), "key").where(F.contains("word", F.col("term"))).select("word", "term", places.alias("times"))
     if index is not None:
-        postings = index.of_words(names.withColumnRenamed("times", "in_word")).groupBy("term", "id", F.col("span").alias("dl")).agg(F.sum(F.col("tf") * F.col("in_word")).alias("tf"))
+        postings = cut(index.of_words(names.withColumnRenamed("times", "in_word")).groupBy("term", "id", F.col("span").alias("dl")).agg(F.sum(F.col("tf") * F.col("in_word")).alias("tf")))
     else:
         each = files.select("id", dl.alias("dl"), body.alias("t")).select("id", "dl", F.explode("t").alias("word"))
         postings = each.join(names, "word").groupBy("term", "id", "dl").agg(F.sum("times").alias("tf"))
@@ -193,6 +194,7 @@ def search(files: DataFrame, queries: DataFrame, k: int = 20, mode: str = "hybri
         lanes.append((found, F.col("weight")))
     fused = fuse(lanes)
     if names:
+        fused = cut(fused)  # at most 160 rows a query, which three joins below ask for
         words = q.select("qid", T.tokens(F.col("query")).alias("words"))
         near = lambda hits: hits.withColumn("near", fuzzy.best_ratios(F.col("words"), F.lower("filename")))
         alone = words.join(fused.select("qid").distinct(), "qid", "left_anti")
