@@ -60,16 +60,20 @@ def property_text(value: Column) -> Column:
 
 
 def reached(roots: DataFrame, links: DataFrame, key: str = "id") -> DataFrame:
-    """(key, level) of the objects that roots lead to, each once, by links (parent, child): one join a level, until a level brings none."""
-    level, out = 0, roots.select(key).distinct().withColumn("level", F.lit(0))
-    front = out
+    """(key, level) of the objects that roots lead to, each once, by links (parent, child): one join a level, until a level brings none.
+
+    What is read again at each level is written: the links once, what has been reached as one table, so that neither plans nor tasks add up
+    level upon level."""
+    links = cut(links.select("parent", "child"))
+    out = cut(roots.select(key).distinct().withColumn("level", F.lit(0)))
+    front, level = out, 0
     while True:
         level += 1
         step = links.join(front.select(F.col(key).alias("parent")), "parent", "left_semi").select(F.col("child").alias(key)).distinct()
         front = cut(step.join(out.select(key), key, "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             return out
-        out = out.unionByName(front)
+        out = cut(out.unionByName(front).repartition(key))
 
 
 def page_texts(blocks: DataFrame, levels: DataFrame) -> DataFrame:

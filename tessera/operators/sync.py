@@ -19,24 +19,35 @@ REF = "id string, object_type string, title string"
 STATE = "provider string, account_id string, id string, object_type string, title string, content string, sha256 string, status string, error string, last_seen long"
 #: What a crawl brings: a row for each block, or one with the status alone where an object has none or could not be had.
 FOUND = "object string, http_status int, error string, id string, parent string, pos long, kind string, payload string"
+#: Rows that a task hands over at once.
+ROWS = 2000
 
 
 def fetched(refs: DataFrame, options: dict) -> DataFrame:
     """FOUND rows of refs (id): all blocks of each object, over as many answers as it takes."""
 
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = paged.Client(paged.transport(options["path"], options.get("token")), int(options.get("size", paged.SIZE)), float(options.get("pause", 1.0)))
+        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"pos": "Int64"})
+        rows: list[tuple] = []
         for b in batches:
             for object in b["id"]:
                 try:
-                    rows = [(object, 200, None, r["id"], r.get("parent"), pos, r["kind"], json.dumps(r["payload"])) for pos, r in enumerate(client.results(f"objects/{object}/blocks"))]
-                    rows = rows or [(object, 200, None, None, None, None, None, None)]
+                    got = [(object, 200, None, r["id"], r.get("parent"), pos, r["kind"], json.dumps(r["payload"])) for pos, r in enumerate(client.results(f"objects/{object}/blocks"))]
+                    rows += got or [(object, 200, None, None, None, None, None, None)]
                 except paged.ServiceError as e:
-                    rows = [(object, e.status, str(e), None, None, None, None, None)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"pos": "Int64"})
+                    rows.append((object, e.status, str(e), None, None, None, None, None))
+                if len(rows) >= ROWS:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return refs.select("id").repartition(tasks, "id").mapInPandas(run, FOUND)
+    path = F.concat(F.lit("objects/"), "id", F.lit("/blocks"))
+    return paged.placed(refs.select("id"), options["path"], path, tasks).mapInPandas(run, FOUND)
 
 
 def crawl(roots: DataFrame, options: dict) -> tuple[DataFrame, DataFrame]:

@@ -17,12 +17,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Tries of a request, the statuses that are worth another try, results of an answer.
 ATTEMPTS, AGAIN, SIZE = 5, (500, 502, 503, 504), 100
+#: Paths whose recorded answers lie in one bucket.
+PER_BUCKET = 500
 SCHEMA = "collection string, id string, edited long, body string"
 
 
@@ -53,7 +55,8 @@ class Http:
 
 
 class Recorded:
-    """Answers that record() has written below a folder which driver and executors share; only the files asked for are read."""
+    """Answers that record() has written below a folder which driver and executors share; only the files asked for are read. Who asks for many
+    paths does so bucket by bucket (placed()), or a bucket is read again for each of them."""
 
     def __init__(self, folder: str):
         self.folder, self.held = folder, {}
@@ -61,8 +64,7 @@ class Recorded:
     def answers(self, path: str) -> dict:
         system, root = opened(self.folder)
         if "n" not in self.held:
-            with system.open_input_stream(f"{root}/buckets") as f:
-                self.held["n"] = int(f.read())
+            self.held["n"] = buckets_of(self.folder)
         bucket = zlib.crc32(path.encode()) % self.held["n"]
         if self.held.get("bucket") != bucket:  # one at a time: a bucket's size is the caller's choice
             files = system.get_file_info(pafs.FileSelector(f"{root}/answers/bucket={bucket}", allow_not_found=True))
@@ -98,11 +100,32 @@ def transport(url: str, token: str | None = None) -> Http | Recorded:
     return Http(url, token) if url.startswith(("http://", "https://")) else Recorded(url)
 
 
-def record(answers: DataFrame, folder: str, buckets: int = 16) -> None:
+def buckets_of(folder: str) -> int:
+    system, root = opened(folder)
+    with system.open_input_stream(f"{root}/buckets") as f:
+        return int(f.read())
+
+
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(path.cast("binary")), F.lit(buckets))
+
+
+def placed(rows: DataFrame, url: str, path: Column, tasks: int) -> DataFrame:
+    """rows dealt out to tasks so that the answers to their paths are found together: recorded ones bucket by bucket, others anyhow."""
+    if isinstance(transport(url), Http):
+        return rows.repartition(tasks, path)
+    bucket = bucket_of(path, buckets_of(url))
+    return rows.repartition(tasks, bucket).sortWithinPartitions(bucket)
+
+
+def record(answers: DataFrame, folder: str, buckets: int | None = None) -> None:
     """Write answers (path, cursor, next, statuses, results) for Recorded: the statuses that one try after the other gets, the last of them for
-    good; the results, as JSON texts, of those that are 200; the cursor of the next answer, null at the end. A first answer's cursor is ''."""
-    bucket = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(buckets)).alias("bucket")
-    answers.select("path", "cursor", "next", "statuses", "results", bucket).write.partitionBy("bucket").option("compression", "none").json(f"{folder}/answers")
+    good; the results, as JSON texts, of those that are 200; the cursor of the next answer, null at the end. A first answer's cursor is ''.
+    buckets: as many as paths need, if not given, so that a bucket stays small however many there are."""
+    if buckets is None:
+        buckets = max(16, -(-answers.agg(F.approx_count_distinct("path")).first()[0] // PER_BUCKET))
+    rows = answers.select("path", "cursor", "next", "statuses", "results", bucket_of(F.col("path"), buckets).alias("bucket"))
+    rows.repartition("bucket").write.partitionBy("bucket").option("compression", "none").json(f"{folder}/answers")
     system, root = opened(folder)
     with system.open_output_stream(f"{root}/buckets") as f:
         f.write(str(buckets).encode())

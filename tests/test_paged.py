@@ -1,5 +1,7 @@
+import itertools
 import json
 import threading
+import zlib
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -152,3 +154,14 @@ def test_two_syncs(spark, service):
     assert {r.id: r.action for r in third.actions.collect()} == {"r1": "unchanged", "r2": "unchanged", "k1": "unchanged", "k3": "failed"}
     accounts = S.upsert_accounts(S.upsert_accounts(first.account, second.account), third.account)
     assert [r.updated_at for r in accounts.collect()] == [3]
+
+
+def test_recorded_answers_are_read_bucket_by_bucket(spark, tmp_path):
+    made = spark.range(1200).selectExpr("concat('objects/', id, '/blocks') path", "'' cursor", "cast(null as string) next", "array(200) statuses", "array('{}') results")
+    paged.record(made, f"{tmp_path}/few", 7)
+    paged.record(made, f"{tmp_path}/many")
+    assert paged.buckets_of(f"{tmp_path}/few") == 7 and paged.buckets_of(f"{tmp_path}/many") == 16
+    tasks = paged.placed(made.select("path"), f"{tmp_path}/few", made["path"], 3).rdd.map(lambda r: r["path"]).glom().collect()
+    assert sum(map(len, tasks)) == 1200
+    buckets = [[k for k, _ in itertools.groupby(zlib.crc32(p.encode()) % 7 for p in t)] for t in tasks]
+    assert sorted(sum(buckets, [])) == list(range(7))  # each is opened once, by one task
