@@ -1,6 +1,7 @@
 """A stored inverted index: postings in blocks with bounds, read block by block in the order of what they can still give.
 
-Files are dealt to shards by a hash of their ids. A block holds the files of one shard that hold one word, best first, with the largest
+Files are dealt to shards by a hash of their ids, and texts are shuffled once, by shard: words are counted and blocks made, met and added up
+where a shard is. A block holds the files of one shard that hold one word, best first, with the largest
 frequency and the shortest file among them: with the word's weight these bound what any file of the block gains by the word, whatever the
 mean length has become since. The bounds of a query's words, added up over a shard, bound every file of it. So top() scores each query's
 most promising shards, and of the others only those whose bound reaches the k-th score found: no file that belongs to the k is missed.
@@ -18,11 +19,11 @@ from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators.lineage import cut
 
-PER_SHARD, BUCKETS = 4096, 32
+PER_SHARD, BUCKETS = 2048, 32
 
 
 class Index:
-    """An index in a folder. n_shards and buckets are fixed when it is made."""
+    """An index in a folder. n_shards is fixed when it is made; buckets is noted alone, as blocks lie by shard."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -56,22 +57,27 @@ class Index:
 
     def entries(self, blocks: DataFrame) -> DataFrame:
         """The entries (id, tf, dl, span) of blocks, beside their other columns, of files as they are now."""
-        rows = blocks.select(*[c for c in blocks.columns if c not in ("entries", "most_tf", "least_dl", "n", "bucket")], F.inline("entries"))
+        rows = blocks.select(*[c for c in blocks.columns if c not in ("entries", "most_tf", "least_dl", "n", "total")], F.inline("entries"))
         if len(self.segments) > 1:
-            rows = rows.join(self.files().select("id", "segment"), ["id", "segment"], "left_semi")
+            live = R.counted(self.files().select(F.col("id").alias("live_id"), F.col("segment").alias("live_segment")))
+            rows = rows.join(live, (F.col("id") == F.col("live_id")) & (F.col("segment") == F.col("live_segment")), "left_semi")
         return rows
 
+    def met(self, names: DataFrame, *on: str) -> DataFrame:
+        """The entries of the blocks that names asks for, dealt out by shard: as lists, which are short."""
+        blocks = self.table("blocks").select("word", "shard", "segment", "entries").join(names, list(on))
+        return self.entries(blocks.repartition(parts(self.spark, self.n_shards), "shard"))
+
     def of_words(self, names: DataFrame) -> DataFrame:
-        """(word, id, tf, dl, span, and what names has) of the words that names (word, ...) asks for."""
-        names = names.withColumn("bucket", bucket(F.col("word"), self.buckets))
-        return self.entries(self.table("blocks").join(names, ["bucket", "word"]))
+        """(word, shard, id, tf, dl, span, and what names has) of the words that names (word, ...) asks for."""
+        return self.met(names, "word")
 
     def update(self, files: DataFrame, gone: DataFrame | None = None) -> Index:
         """The index after these files (id, filename, content) have come or changed and those of gone (id) have gone."""
         changed = files.select("id") if gone is None else files.select("id").unionByName(gone.select("id"))
         shards = changed.distinct().select("id", shard(F.col("id"), self.n_shards).alias("shard"))
         blocks = self.table("blocks").join(shards.select("shard").distinct(), "shard", "left_semi")
-        old = self.entries(blocks.select("word", "segment", "entries")).join(changed.distinct(), "id", "left_semi")
+        old = self.entries(blocks.select("word", "segment", "entries")).join(R.counted(changed.distinct()), "id", "left_semi")
         dropped = old.groupBy("word").agg((-F.sum("tf")).alias("times"), (-F.count("*")).alias("held"))
         _write(files, (dropped, gone), self.folder, self.segments[-1] + 1, self.n_shards, self.buckets)
         return Index(self.spark, self.folder)
@@ -80,7 +86,8 @@ class Index:
         """The same index as one segment of another folder, without what no longer counts; no text is read."""
         files = self.files()
         n_shards = max(1, -(-files.count() // per_shard))
-        rows = self.entries(self.table("blocks").select("word", "segment", "entries")).drop("segment")
+        blocks = self.table("blocks").select("word", "segment", "entries")
+        rows = self.entries(blocks).drop("segment").withColumn("shard", shard(F.col("id"), n_shards)).repartition(parts(self.spark, n_shards), "shard")
         _store(rows, files.select("id", "dl", "span"), None, folder, 0, n_shards, self.buckets)
         return Index(self.spark, folder)
 
@@ -89,31 +96,32 @@ def shard(id: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(id), F.lit(n))
 
 
-def bucket(word: Column, n: int) -> Column:
-    return F.pmod(F.hash(word), F.lit(n))
+def parts(spark: SparkSession, n_shards: int) -> int:
+    """Parts that shards are dealt to: twice as many as they, so that few meet in one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_shards)
 
 
 def _write(files: DataFrame, changes: tuple | None, folder: str, segment: int, n_shards: int, buckets: int) -> None:
     dl = F.size("t")
     span = F.greatest(F.length("filename") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
     body = F.concat(T.tokens(F.col("filename")), T.tokens(F.col("content")))
-    each = files.select("id", body.alias("t"), F.coalesce(span, F.lit(0)).alias("span")).select("id", "t", dl.alias("dl"), "span")
-    rows = each.select("id", "dl", "span", F.explode("t").alias("word")).groupBy("word", "id", "dl", "span").agg(F.count("*").cast("int").alias("tf"))
-    _store(rows, each.select("id", "dl", "span"), changes, folder, segment, n_shards, buckets)
+    texts = files.select("id", "filename", "content", shard(F.col("id"), n_shards).alias("shard")).repartition(parts(files.sparkSession, n_shards), "shard")
+    each = lambda texts, *more: texts.select("id", *more, body.alias("t"), F.coalesce(span, F.lit(0)).alias("span")).select("id", *more, "t", dl.alias("dl"), "span")
+    rows = each(texts, "shard").select("shard", "id", "dl", "span", F.explode("t").alias("word")).groupBy("shard", "word", "id", "dl", "span").agg(F.count("*").cast("int").alias("tf"))
+    _store(rows, each(files).select("id", "dl", "span"), changes, folder, segment, n_shards, buckets)
 
 
 def _store(rows: DataFrame, files: DataFrame, changes: tuple | None, folder: str, segment: int, n_shards: int, buckets: int) -> None:
-    """A segment of rows (word, id, tf, dl, span) of files (id, dl, span); changes: the counts to add and the files (id) that have gone."""
+    """A segment of rows (shard, word, id, tf, dl, span), dealt out by shard, of files (id, dl, span); changes: the counts to add and the
+    files (id) that have gone."""
     spark, to = rows.sparkSession, lambda name: f"{folder}/{name}/segment={segment}"
     # At most a shard's files in one list: a word that all files hold has as many blocks as there are shards.
     entry = F.struct((-F.col("tf")).alias("less"), "dl", "id", "span")
-    blocks = rows.groupBy("word", shard(F.col("id"), n_shards).alias("shard")).agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(entry)).alias("e"))
+    blocks = rows.groupBy("shard", "word").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.sort_array(F.collect_list(entry)).alias("e"))
     listed = F.transform("e", lambda e: F.struct(e["id"].alias("id"), (-e["less"]).alias("tf"), e["dl"].alias("dl"), e["span"].alias("span")))
-    blocks = blocks.select("word", "shard", "n", "most_tf", "least_dl", listed.alias("entries"), bucket(F.col("word"), buckets).alias("bucket"))
-    blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "word", "shard").write.mode("overwrite").partitionBy("bucket").parquet(to("blocks"))
-    stored = spark.read.parquet(to("blocks"))
-    words = stored.select("word", "n", F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + e["tf"]).alias("times"))
-    words = words.groupBy("word").agg(F.sum("times").alias("times"), F.sum("n").alias("held"))
+    blocks = blocks.select("word", "shard", "n", "total", "most_tf", "least_dl", listed.alias("entries"))
+    blocks.sortWithinPartitions("word", "shard").write.mode("overwrite").parquet(to("blocks"))
+    words = spark.read.parquet(to("blocks")).groupBy("word").agg(F.sum("total").alias("times"), F.sum("n").alias("held"))
     live = files.withColumn("live", F.lit(True))
     if changes is not None:
         dropped, gone = changes
@@ -134,9 +142,8 @@ def top(index: Index, queries: DataFrame, k: int = 10, first: int = 2, report: l
     of (query, shard) that there were, and that were scored, are added."""
     terms = R.query_terms(queries)
     weights = terms.join(index.words().select(F.col("word").alias("term"), "held"), "term").crossJoin(F.broadcast(index.stats()))
-    weights = weights.select("qid", F.col("term").alias("word"), "avgdl", (F.col("times") * R.idf(F.col("n"), F.col("held"))).alias("w"), bucket(F.col("term"), index.buckets).alias("bucket"))
-    weights = cut(weights)
-    met = index.table("blocks").select("bucket", "word", "shard", "most_tf", "least_dl").join(weights, ["bucket", "word"])
+    weights = R.counted(weights.select("qid", F.col("term").alias("word"), "avgdl", (F.col("times") * R.idf(F.col("n"), F.col("held"))).alias("w")))
+    met = index.table("blocks").select("word", "shard", "most_tf", "least_dl").join(weights, "word")
     part = F.col("w") * R.term_score(F.col("most_tf"), F.col("least_dl"), F.col("avgdl"))
     # Of several segments' blocks of one word and shard the best bounds all; room for the rounding of sums.
     bounds = met.groupBy("qid", "shard", "word").agg(F.max(part).alias("part")).groupBy("qid", "shard").agg((F.sum("part") * (1 + 1e-9) + 1e-6).alias("bound"))
@@ -144,10 +151,10 @@ def top(index: Index, queries: DataFrame, k: int = 10, first: int = 2, report: l
     bounds = cut(bounds.withColumn("place", F.row_number().over(order)))
 
     def scored(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.select("qid", "shard").join(weights, "qid")
-        rows = index.entries(index.table("blocks").join(wanted, ["bucket", "word", "shard"]))
+        wanted = R.counted(chosen.select("qid", "shard").join(weights, "qid"))
+        rows = index.met(R.counted(wanted.select("word", "shard").distinct()), "word", "shard").join(wanted, ["word", "shard"])
         gain = F.col("w") * R.term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))
-        return R.top(rows.groupBy("qid", "id").agg(F.round(F.sum(gain), 9).alias("score")), k).drop("rank")
+        return R.top(rows.groupBy("shard", "qid", "id").agg(F.round(F.sum(gain), 9).alias("score")), k).drop("rank", "shard")
 
     best = cut(scored(bounds.where(F.col("place") <= first)))
     least = best.groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("least"))

@@ -60,3 +60,15 @@ def test_search_by_the_index_is_search_by_texts(spark, tmp_path):
     assert rows(R.search(files, asked(spark), 10, index=index)) == rows(R.search(files, asked(spark), 10))
     with pytest.raises(ValueError):
         R.search(files, asked(spark), prefilter=True, index=index)
+
+
+def test_words_of_texts_meet_a_query_without_a_shuffle_of_their_own(spark, tmp_path):
+    files = spark.createDataFrame(made(range(40), 3), FILES)
+    index = P.Index.create(files, str(tmp_path), per_shard=9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for options in ({"prefix": False}, {"prefix": True}, {"index": index}):
+            plan = R.bm25(files, asked(spark), 5, n_queries=7, **options)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
