@@ -44,10 +44,8 @@ def manifest_deps(spark, d):
 
 
 def code_lexical_score(spark, d):
-    q, f = queries(spark, d), files(spark, d)
-    toks = F.array_distinct(F.filter(T.tokens(F.col("query")), lambda t: F.length(t) >= 2))
-    s = f.crossJoin(R.hint(q, q.count())).select("qid", "id", code.chunk_lexical_score(toks, F.lower("query"), F.col("path"), F.col("content")).alias("score"))
-    return R.top(s.where("score > 0").withColumn("score", F.round("score", 6)), 5)
+    q = queries(spark, d)
+    return R.top(code.lexical_scores(files(spark, d), q, q.count()).withColumn("score", F.round("score", 6)), 5)
 
 
 def fuzzy_partial_ratio(spark, d):
