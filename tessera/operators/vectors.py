@@ -148,23 +148,37 @@ def hash_embed_md5(tokens: DataFrame, dim: int = DIM) -> DataFrame:
 
 def nearest_approx(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 72, bits: int = 6, seed: int = 3) -> DataFrame:
     """(qid, id, score, rank) by cosine among rows that share a bucket with the query: in each of ``tables`` tables a bucket is the signs
-    of ``bits`` random projections. Candidates are scored exactly; vectors are shuffled as bucket numbers, then met again by id."""
+    of ``bits`` random projections. Buckets this coarse let most pairs through, so no pair is shuffled: packs of either side are multiplied, and
+    of each product a query's best k go on among those that share a bucket. Work grows with vectors times queries, memory doesn't."""
+    if bits > 8:
+        raise ValueError("8 bits a bucket at most")
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(6)
 
-    def buckets(v: Column) -> Column:
-        @F.pandas_udf("array<long>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for b in batches:
-                x = np.stack(b.to_numpy()).astype(float) if len(b) else np.empty((0, dim))
-                signs = np.einsum("nd,tbd->ntb", x, planes) > 0
-                numbers = (signs << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
-                yield pd.Series(list(numbers.astype(np.int64)))
-
-        return run(v)
-
-    of_rows = vectors.select("id", F.explode(buckets(F.col("embedding"))).alias("b"))
-    of_queries = queries.select("qid", F.explode(buckets(F.col("q"))).alias("b"))
-    met = of_rows.join(of_queries, "b").select("qid", "id").distinct()
-    scored = met.join(vectors, "id").join(queries, "qid").select("qid", "id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    def buckets(x: np.ndarray) -> np.ndarray:
+        """(tables, rows) numbers of buckets."""
+        return ((np.einsum("nd,tbd->tnb", x, planes, optimize=True) > 0) << np.arange(bits)).sum(axis=2).astype(np.uint8)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.float64).reshape(r.n, -1)
+                qids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vecs, np.float64).reshape(r.q_n, -1)
+                shared = np.zeros((len(q), len(x)), bool)
+                for of_q, of_x in zip(buckets(q), buckets(x)):
+                    shared |= of_q[:, None] == of_x
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.round((q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1), 9)
+                shared &= ~np.isnan(s)
+                s[~shared] = -np.inf
+                order = [np.lexsort((ids, -row))[:k] for row in s]
+                of, at = np.repeat(np.arange(len(q)), [len(o) for o in order]), np.concatenate(order)
+                ok = shared[of, at]
+                yield pd.DataFrame({"qid": qids[of][ok], "id": ids[at][ok], "score": s[of, at][ok]})
+
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles, blocks = packed(vectors, "id", "embedding", 2048).repartition(tasks), packed(queries, "qid", "q", BLOCK)
+    blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("n").alias("q_n"))
+    few = queries.count() * dim * 8 <= BROADCAST_BYTES
+    scored = tiles.crossJoin(F.broadcast(blocks) if few else blocks).mapInPandas(best, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
