@@ -7,6 +7,8 @@ them to their leaves, and of these splits only those that have grown too large.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,12 +16,15 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut
 from tessera.operators.replace import Table
+from tessera.operators.vectors import BROADCAST_BYTES, packed
 from tessera.streaming.stateful import exists
 
 #: Trees, vectors that a leaf holds at most, vectors below which a node is split by one task, share from which a split is no use.
 TREES, LEAF, GROUP, ONE_SIDED = 12, 48, 20_000, 0.95
 #: How near a plane a query looks at both sides, as the cosine of its angle to it.
 MARGIN = 0.12
+#: Queries in a block; rows that a task of a search holds before it drops all but each query's best.
+QUERIES, HELD = 4096, 1_000_000
 NODE = "node string, plane array<double>"
 ENTRY = "leaf string, id long, vec array<double>"
 
@@ -155,28 +160,95 @@ class Forest:
             if rows.isEmpty():
                 return cut(out)
 
-    def nearest(self, queries: DataFrame, k: int, margin: float = MARGIN) -> DataFrame:
-        """(qid, id, score, rank) by cosine among the vectors of the leaves that queries (qid, q) come to; near a plane they go to both sides.
-        Pending changes are brought in first."""
+    def nearest(self, queries: DataFrame, k: int, margin: float = MARGIN, group: int = GROUP) -> DataFrame:
+        """(qid, id, score, rank) by cosine among the vectors of the leaves that queries (qid, q), numbered by longs, come to; near a plane they
+        go to both sides. Pending changes are brought in first.
+
+        Neither ways nor pairs are shuffled: packs of leaves meet blocks of queries, and each query's best k of a task go on."""
         self.refreshed()
-        q = queries.select("qid", F.col("q").cast("array<double>").alias("q")).where("q is not null")
-        trees = self.leaves.rows().select(F.concat(F.split("leaf", ":")[0], F.lit(":")).alias("node")).distinct()
-        front, found, nodes = q.crossJoin(F.broadcast(trees)), None, self.nodes()
-        while True:
-            met = cut(front.join(nodes.withColumn("inner", F.lit(True)), "node", "left"))
-            there = met.where("inner is null").select("qid", "q", F.col("node").alias("leaf"))
-            found = there if found is None else found.unionByName(there)
-            inner = met.where("inner")
-            if inner.isEmpty():
-                break
-            angle = dot("q", "plane") / F.sqrt(dot("q", "q"))
-            ways = F.when(F.col("plane").isNull() | (F.abs(angle) < margin), F.array(F.lit("0"), F.lit("1"))).otherwise(F.array(F.when(angle > 0, "1").otherwise("0")))
-            front = inner.select("qid", "q", F.explode(ways).alias("way"), "node").select("qid", "q", F.concat("node", "way").alias("node"))
-        pairs = self.leaves.rows().join(found, "leaf").groupBy("qid", "id").agg(F.first("vec").alias("vec"), F.first("q").alias("q"))
-        scored = pairs.select("qid", "id", F.round(dot("vec", "q") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("q", "q")), 9).alias("score"))
+        blocks = query_blocks(queries)
+        packs = self._packs(group).crossJoin(blocks)
+        scored = packs.mapInPandas(lambda batches: searched(batches, k, margin), "qid long, id long, score double")
+        scored = scored.groupBy("qid", "id").agg(F.max("score").alias("score"))  # once for each tree that has the vector in a leaf
         w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+    def _packs(self, group: int) -> DataFrame:
+        """(root, names, sizes, ids, vecs, nodes, planes): the entries of some leaves below a root, leaf by leaf, and the nodes on the ways to
+        them. Roots lie at one depth, that of some ``group`` vectors if planes halve them; below a larger one leaves are dealt out by hash."""
+        stored = self.leaves.rows()
+        n = stored.groupBy(F.split("leaf", ":")[0]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        depth = max(0, int(np.ceil(np.log2(max(1, n / group)))))
+        root = lambda name: F.left(name, F.locate(":", name) + depth)
+        entries = stored.select(root(F.col("leaf")).alias("root"), "leaf", "id", "vec")
+        roots = cut(entries.groupBy("root").agg(F.ceil(F.count("*") / group).alias("parts")))
+        entries = entries.join(F.broadcast(roots), "root").select("root", F.pmod(F.hash("leaf"), F.col("parts")).alias("part"), "leaf", "id", "vec")
+        packs = entries.groupBy("root", "part").applyInPandas(pack, "root string, names array<string>, sizes array<int>, ids binary, vecs binary")
+        above = roots.select("root", F.explode(F.sequence(F.locate(":", F.col("root")), F.length("root"))).alias("at"))
+        above = above.where(F.col("at") < F.length("root")).select("root", F.left("root", F.col("at")).alias("node"))
+        nodes = self.nodes()
+        met = nodes.join(F.broadcast(above), "node").select("root", "node", "plane")
+        met = met.unionByName(nodes.where(F.length("node") >= F.locate(":", F.col("node")) + depth).select(root(F.col("node")).alias("root"), "node", "plane"))
+        ways = met.groupBy("root").agg(F.collect_list(F.struct("node", "plane")).alias("ways")).select("root", F.col("ways.node").alias("nodes"), F.col("ways.plane").alias("planes"))
+        return packs.join(ways, "root", "left")
+
+
+def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["leaf", "id"])
+    sizes = rows.groupby("leaf", sort=True).size()
+    x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+    return pd.DataFrame({"root": [rows["root"].iloc[0]], "names": [sizes.index.tolist()], "sizes": [sizes.tolist()], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "vecs": [x.tobytes()]})
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """queries (qid, q) in blocks, broadcast if their bytes are few; null ones and those of norm 0, which have no cosine, are left out."""
+    q = usable(queries.select(F.col("qid").alias("id"), F.col("q").alias("embedding")))
+    n, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    blocks = packed(q.repartition(max(1, -(-n // QUERIES))), "id", "vec", QUERIES).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("n").alias("q_n"))
+    return F.broadcast(blocks) if n * width * 8 <= BROADCAST_BYTES else blocks
+
+
+def searched(batches: Iterator[pd.DataFrame], k: int, margin: float) -> Iterator[pd.DataFrame]:
+    """(qid, id, score) of the k best of a task's packs by query, each id once. Queries go down a pack's nodes together, and a leaf's entries
+    are multiplied with those that come to it."""
+    held: list[pd.DataFrame] = []
+
+    def best() -> pd.DataFrame:
+        rows = pd.concat(held).sort_values(["qid", "score", "id"], ascending=[True, False, True]).drop_duplicates(["qid", "id"])
+        return rows.groupby("qid").head(k)
+
+    for b in batches:
+        for r in b.itertuples(index=False):
+            ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
+            x, q = unit(np.frombuffer(r.vecs, np.float64).reshape(len(ids), -1)), unit(np.frombuffer(r.q_vecs, np.float64).reshape(r.q_n, -1))
+            ends = np.cumsum(r.sizes)
+            leaves = {name: slice(end - size, end) for name, size, end in zip(r.names, r.sizes, ends)}
+            nodes = dict(zip(r.nodes, r.planes)) if r.nodes is not None else {}
+            s, i = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+            todo = [(r.root[: r.root.index(":") + 1], np.arange(len(q)))]
+            while todo:
+                name, at = todo.pop()
+                if not len(at) or not (name.startswith(r.root) or r.root.startswith(name)):
+                    continue
+                if name in nodes:
+                    plane = nodes[name]
+                    angle = q[at] @ np.asarray(plane, float) if plane is not None else np.zeros(len(at))
+                    near = np.abs(angle) < margin if plane is not None else np.ones(len(at), bool)
+                    todo += [(name + "1", at[near | (angle > 0)]), (name + "0", at[near | (angle <= 0)])]
+                elif name in leaves:
+                    found = np.round(q[at] @ x[leaves[name]].T, 9)
+                    better = found.max(axis=1) >= s[at, -1]
+                    at, found = at[better], found[better]
+                    found, of = np.concatenate([s[at], found], axis=1), np.concatenate([i[at], np.broadcast_to(ids[leaves[name]], found.shape)], axis=1)
+                    order = np.lexsort((of, -found), axis=1)[:, :k]
+                    s[at], i[at] = np.take_along_axis(found, order, 1), np.take_along_axis(of, order, 1)
+            of, place = np.nonzero(s > -np.inf)
+            held.append(pd.DataFrame({"qid": qids[of], "id": i[of, place], "score": s[of, place]}))
+            if sum(map(len, held)) > HELD:
+                held = [best()]
+    if held:
+        yield best()
+
 
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

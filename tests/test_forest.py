@@ -54,3 +54,29 @@ def test_equal_vectors_and_tiny_forests(spark, tmp_path):
     assert [(r.qid, r.id, r.score) for r in f.nearest(q, 3).orderBy("rank").collect()] == [(0, 0, 1.0), (0, 1, 1.0), (0, 2, 1.0)]
     f = V.Forest.build(same.limit(3), f"{tmp_path}/b", trees=2)
     assert f.status().first()[:3] == (3, 2, 0) and f.nearest(q, 5).count() == 3
+
+
+def test_search_by_packs_finds_what_walking_the_trees_finds(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 8)) + np.repeat([[0.0] * 8, [4.0] * 8], [350, 150], axis=0)
+    f = V.Forest.build(frame(spark, range(500), x), str(tmp_path), trees=3, leaf=12, group=100)
+    f.change(frame(spark, [500, 501], [x[3], x[3] + 0.01]))
+    asked = spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(0, 500, 20)] + [(1000, [0.0] * 8)], "qid long, q array<double>")
+    got = {g: {(r.qid, r.id, r.score, r.rank) for r in f.nearest(asked, 4, group=g).collect()} for g in (20_000, 40)}
+    assert all(r[0] != 1000 for r in got[40])  # no direction, no cosine
+    nodes, leaves = {r.node: r.plane for r in f.nodes().collect()}, {}
+    for r in f.leaves.rows().collect():
+        leaves.setdefault(r.leaf, []).append((r.id, np.array(r.vec)))
+    plain = set()
+    for i in range(0, 500, 20):
+        q, todo, found = np.array(x[i], np.float64), ["0:", "1:", "2:"], {}
+        while todo:
+            name = todo.pop()
+            if name not in nodes:
+                found |= {id: round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 9) for id, v in leaves.get(name, [])}
+                continue
+            angle = 0 if nodes[name] is None else q @ np.array(nodes[name]) / np.linalg.norm(q)
+            todo += [name + s for s, goes in (("1", angle > 0), ("0", angle <= 0)) if goes or abs(angle) < V.MARGIN]
+        plain |= {(i, id, s, n + 1) for n, (s, id) in enumerate(sorted((-s, id) for id, s in found.items())[:4])}
+    plain = {(q, id, -s, n) for q, id, s, n in plain}
+    assert got[20_000] == got[40] == plain
