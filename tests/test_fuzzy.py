@@ -59,3 +59,16 @@ def fuzzy_words(text):
     import re
 
     return re.findall(r"\b\w+\b", " ".join(text.split(" ")[:6]).lower())
+
+
+def test_names_that_differ_in_letters_no_word_has_are_one_shape(spark):
+    words, names = ["text", "doc", "x", "", "tx👍"], [f"doc_{i}.txt" for i in range(200)] + ["", "_", "7", "\u0000doc", "tex👍", "d1o2c", "15", "16"]
+    w, n = spark.createDataFrame([(x,) for x in [*words, None]], "word string"), spark.createDataFrame([(x,) for x in [*names, None]], "name string")
+    shapes = {r.name: r.shape for r in fuzzy.shaped(w, n).collect()}
+    assert shapes["doc_12.txt"] == shapes["doc_99.txt"] == "doc\0\0\0\0txt" and shapes["15"] == shapes["16"] == "\0\0" and shapes[""] == "" and len(shapes) == len(names)
+    assert len(set(shapes.values())) == 9
+    got = fuzzy.near_names(w, n, 70)
+    assert {(r.word, r.name, round(r.score, 9)) for r in got.collect()} == plain(words, names, 70)
+    odd = ["\u0000\u0000", "doc"]  # a word that has the mark itself
+    got = fuzzy.near_names(spark.createDataFrame([(x,) for x in odd], "word string"), n, 70)
+    assert {(r.word, r.name, round(r.score, 9)) for r in got.collect()} == plain(odd, names, 70)
