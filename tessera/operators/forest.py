@@ -104,7 +104,7 @@ class Forest:
         small, nodes = None, None
         while True:
             counts = rows.groupBy("node").agg(F.count("*").alias("n"))
-            big = counts.where(F.col("n") > group).select("node")
+            big = F.broadcast(cut(counts.where(F.col("n") > group).select("node")))  # as many as there are groups at most, like their planes
             ready = rows.join(big, "node", "left_anti")
             small = ready if small is None else small.unionByName(ready)
             rows = rows.join(big, "node", "left_semi")
@@ -112,7 +112,7 @@ class Forest:
                 break
             planes = cut(split_planes(rows))
             nodes = planes if nodes is None else nodes.unionByName(planes)
-            rows = cut(moved(rows, planes))
+            rows = cut(moved(rows, F.broadcast(planes)))
         made = finished(small, leaf)
         forest._store(made, nodes, 0)
         return forest
@@ -260,12 +260,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def split_planes(rows: DataFrame) -> DataFrame:
-    """(node, plane) of rows (id, vec, node): between the two vectors of a node that hashes pick; none where that leaves nearly all on one side."""
-    pick = lambda n: F.min_by("vec", F.xxhash64("id", "node", F.lit(n)))
+    """(node, plane) of rows (id, vec, node) of a few large nodes: between the two vectors of a node that hashes pick; none where that leaves nearly all on one side."""
+    pick = lambda n: F.min_by("id", F.xxhash64("id", "node", F.lit(n)))
     norm = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
-    two = rows.groupBy("node").agg(pick(1).alias("a"), pick(2).alias("b")).select("node", norm(F.col("a")).alias("a"), norm(F.col("b")).alias("b"))
+    picked = F.broadcast(rows.groupBy("node").agg(pick(1).alias("a_id"), pick(2).alias("b_id")))
+    ends = rows.join(picked, "node").where("id in (a_id, b_id)").groupBy("node")
+    two = ends.agg(*[F.first(F.when(F.col("id") == F.col(f"{e}_id"), F.col("vec")), True).alias(e) for e in "ab"]).select("node", norm(F.col("a")).alias("a"), norm(F.col("b")).alias("b"))
     two = two.select("node", F.zip_with("a", "b", lambda x, y: x - y).alias("d"))
-    planes = two.select("node", F.when(F.exists("d", lambda x: F.abs(x) > 1e-9), norm(F.col("d"))).alias("plane"))
+    planes = F.broadcast(cut(two.select("node", F.when(F.exists("d", lambda x: F.abs(x) > 1e-9), norm(F.col("d"))).alias("plane"))))
     shares = rows.join(planes, "node").groupBy("node").agg(F.avg(F.when(dot("vec", "plane") > 0, 1.0).otherwise(0.0)).alias("share"))
     even = F.greatest("share", 1 - F.col("share")) <= ONE_SIDED
     return planes.join(shares, "node").select("node", F.when(even, F.col("plane")).alias("plane"))
