@@ -72,12 +72,15 @@ class Index:
         """(word, shard, id, tf, dl, span, and what names has) of the words that names (word, ...) asks for."""
         return self.met(names, "word")
 
+    def touched(self, changed: DataFrame) -> DataFrame:
+        """The blocks of the shards that files (id) are dealt to; shards are few, so no block is shuffled for it."""
+        shards = changed.select(shard(F.col("id"), self.n_shards).alias("shard")).distinct()
+        return self.table("blocks").join(F.broadcast(shards), "shard", "left_semi")
+
     def update(self, files: DataFrame, gone: DataFrame | None = None) -> Index:
         """The index after these files (id, filename, content) have come or changed and those of gone (id) have gone."""
         changed = files.select("id") if gone is None else files.select("id").unionByName(gone.select("id"))
-        shards = changed.distinct().select("id", shard(F.col("id"), self.n_shards).alias("shard"))
-        blocks = self.table("blocks").join(shards.select("shard").distinct(), "shard", "left_semi")
-        old = self.entries(blocks.select("word", "segment", "entries")).join(R.counted(changed.distinct()), "id", "left_semi")
+        old = self.entries(self.touched(changed).select("word", "segment", "entries")).join(R.counted(changed.distinct()), "id", "left_semi")
         dropped = old.groupBy("word").agg((-F.sum("tf")).alias("times"), (-F.count("*")).alias("held"))
         _write(files, (dropped, gone), self.folder, self.segments[-1] + 1, self.n_shards, self.buckets)
         return Index(self.spark, self.folder)

@@ -72,3 +72,18 @@ def test_words_of_texts_meet_a_query_without_a_shuffle_of_their_own(spark, tmp_p
             assert "SortMergeJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_update_shuffles_no_block(spark, tmp_path):
+    files = spark.createDataFrame([(i, f"doc_{i}.txt", f"w{i % 5} common") for i in range(40)], "id long, filename string, content string")
+    index = P.Index.create(files, str(tmp_path), per_shard=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocks = index.touched(spark.createDataFrame([(3,), (7,), (3,)], "id long"))
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        held = {r[0] for r in blocks.select("entries.id").selectExpr("explode(id)").collect()}
+        assert {3, 7} <= held < set(range(40))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
