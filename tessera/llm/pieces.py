@@ -79,11 +79,13 @@ class Codec:
     def __init__(self, t: PieceTable):
         import ahocorasick
 
-        self.t, self.pairs, self.odd, self.chunks, self.spaced = t, {}, {}, Chunks(self), Chunks(self, MARK)
-        self.chars = {p for p in t.ids if len(p) == 1}
+        self.t, self.odd, self.chunks, self.spaced = t, {}, Chunks(self), Chunks(self, MARK)
+        self.chars, self.numbers = {p for p in t.ids if len(p) == 1}, {p: str(i) for p, i in t.ids.items()}
+        #: For each piece, which pieces before it have been found to be compatible or not; how many of both are held.
+        self.after, self.held = {p: {} for p in t.halves}, 0
         self.long = ahocorasick.Automaton()
         for p in t.halves:
-            self.long.add_word(p, p)
+            self.long.add_word(p, (p, len(p) - 1, self.after[p]))
         self.long.make_automaton()
         self.text_of = {i: p.replace(MARK, " ").encode() for p, i in t.ids.items()} | {i: bytes([b]) for b, i in enumerate(t.byte_ids)}
         alone = "" if "\n" in "".join(t.ids) else "\n"
@@ -93,7 +95,7 @@ class Codec:
     def compatible(self, a: str, b: str) -> bool:
         """Whether a then b is what their joined text encodes to: undo the later of the two inner joins, step by step; a piece that
         spans the border and would be joined before the join just undone means that the pair can't stand."""
-        known = self.pairs.get((a, b))
+        known = self.after.setdefault(b, {}).get(a)
         if known is not None:
             return known
         rank, halves, x, y, below, ok = self.t.rank, self.t.halves, a, b, (float("inf"), 0), True
@@ -110,9 +112,12 @@ class Codec:
                 below, x = (rx, 0), halves[x][1]
             else:
                 below, y = (ry, 1), halves[y][0]
-        if len(self.pairs) >= 200_000:
-            self.pairs.clear()
-        self.pairs[a, b] = ok
+        if self.held >= 200_000:
+            for before in self.after.values():
+                before.clear()
+            self.held = 0
+        self.after[b][a] = ok
+        self.held += 1
         return ok
 
     def word(self, s: str) -> list[str]:
@@ -120,25 +125,16 @@ class Codec:
         n = len(s)
         if n == 1:
             return [s]
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for e, p in self.long.iter(s):
-            ends[e].append(p)
-        last: list[str] = [""] * (n + 1)
-        pairs, compatible = self.pairs, self.compatible
-        for e in range(n):
-            for p in ends[e]:
-                b = last[e + 1 - len(p)]
-                if not b:
-                    if len(p) == e + 1:
-                        last[e + 1] = p
-                        break
-                else:
-                    ok = pairs.get((b, p))
-                    if compatible(b, p) if ok is None else ok:
-                        last[e + 1] = p
-                        break
-            else:
-                last[e + 1] = s[e]
+        last, done, compatible = ["", *s], -1, self.compatible
+        for e, (p, before, known) in self.long.iter(s):
+            if e == done:
+                continue
+            if before < e:
+                b = last[e - before]
+                ok = known.get(b)
+                if not (compatible(b, p) if ok is None else ok):
+                    continue
+            last[e + 1], done = p, e
         out = []
         while n:
             out.append(last[n])
@@ -192,9 +188,10 @@ class Codec:
 
 
 class Chunks(dict):
-    """Ids, as text, of each chunk seen, ``before`` and a key. Each new chunk's ids are decoded too: those that don't give the chunk again go to the codec's odd."""
+    """Ids, as text, of each chunk seen, ``before`` and a key. Pieces alone decode to their own text; each other new chunk's ids are decoded too: those that
+    don't give the chunk again go to the codec's odd."""
 
-    limit = 150_000
+    limit = 300_000
 
     def __init__(self, codec: Codec, before: str = ""):
         super().__init__()
@@ -202,13 +199,16 @@ class Chunks(dict):
 
     def __missing__(self, word: str) -> str:
         s = self.before + word
-        ids = self.codec.chunk(s)
         if len(self) >= self.limit:
             self.clear()
-        decoded = b"".join([self.codec.text_of[i] for i in ids]).decode("utf-8", "replace")
-        if decoded != s.replace(MARK, " "):
-            self.codec.odd[s] = decoded
-        out = " ".join(map(str, ids))
+        if s and self.codec.chars.issuperset(s):
+            out = " ".join(map(self.codec.numbers.__getitem__, self.codec.word(s)))
+        else:
+            ids = self.codec.chunk(s)
+            decoded = b"".join([self.codec.text_of[i] for i in ids]).decode("utf-8", "replace")
+            if decoded != s.replace(MARK, " "):
+                self.codec.odd[s] = decoded
+            out = " ".join(map(str, ids))
         if len(word) < 200:
             self[word] = out
         return out

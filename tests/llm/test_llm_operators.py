@@ -105,6 +105,22 @@ def test_pieces_match_the_library(spark):
     assert {x.doc_id for x in pieces.digests(table(spark, ODD), MODEL).collect()} == {i for i, _ in ODD}
 
 
+def test_words_of_pieces_are_read_off_at_once(monkeypatch):
+    codec, sp = pieces.Codec(pieces.read_model(MODEL)), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(codec, "chunk", None)  # asked only for chunks with a character that isn't a piece
+    for t in ("the quick brown fox, unhelpfulness", "été doublean", " two  spaces", "a"):
+        ids = sp.encode(t, add_eos=True)
+        assert codec.digest(t) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+
+
+def test_forgotten_pairs_are_found_again():
+    codec = pieces.Codec(pieces.read_model(MODEL))
+    first = codec.encode("unhelpfulness of the quick")
+    codec.held = 200_000
+    codec.chunks.clear(), codec.spaced.clear()
+    assert codec.encode("forgetfulness") and codec.held < 200_000 and codec.encode("unhelpfulness of the quick") == first
+
+
 def test_segments_are_maximal():
     r = random.Random(1)
 
