@@ -170,13 +170,15 @@ def opened(folder: str) -> tuple[pafs.FileSystem, str]:
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: How the tokenizer's file splits lower-case text, within those characters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: A word with or without marks after it, which are two parts, or one.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
 _BREAK = re.compile("[ \n]")
 
 
 class Remembered(dict):
     """What a function gives for a text, kept for texts of fewer than 100 characters; all is dropped when ``limit`` are held."""
 
-    limit = 300_000
+    limit = 600_000
 
     def __init__(self, function):
         super().__init__()
@@ -222,6 +224,11 @@ class Codec:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
+        plain = _WORD.fullmatch(chunk)
+        if plain and "<|" not in chunk:
+            word, marks = plain.groups()
+            word = self.parts[word.lower()]
+            return word + self.parts[marks] if marks else word
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(chunk.lower())))
         return self.whole(chunk)
