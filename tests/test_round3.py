@@ -65,3 +65,12 @@ def test_approximate_neighbours_are_scored_without_shuffling_pairs(spark):
         near = [(-round(float(u[i] @ u[j]), 9), j) for j in range(300) if (signs[i] == signs[j]).all(axis=1).any()]
         want |= {(i, j) for _, j in sorted(near)[:3]}
     assert {(r["qid"], r["id"]) for r in out.collect()} == want
+
+
+def test_lanes_count_texts_and_words_once(spark):
+    f = spark.createDataFrame([(i, f"n{i}.txt", c) for i, _, c in FILES], "id long, filename string, content string")
+    q = spark.createDataFrame(ASKED, "qid long, query string")
+    for lane, options, kept in ((R.bm25, {"prefix": False}, 2), (R.bm25, {"stemmed": True}, 3), (R.trigram, {}, 2)):
+        plan = lane(f, q, 5, n_queries=7, **options)._jdf.queryExecution().optimizedPlan().toString()
+        # Postings, which weights and scores ask for, and the words where their number is asked for too.
+        assert plan.count("InMemoryRelation") == kept
