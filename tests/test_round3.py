@@ -74,3 +74,13 @@ def test_lanes_count_texts_and_words_once(spark):
         plan = lane(f, q, 5, n_queries=7, **options)._jdf.queryExecution().optimizedPlan().toString()
         # Postings, which weights and scores ask for, and the words where their number is asked for too.
         assert plan.count("InMemoryRelation") == kept
+
+
+def test_best_chunks_cuts_no_text_that_no_hit_names(spark):
+    f = spark.createDataFrame([(i, c) for i, _, c in FILES] + [(6, None)], "id long, content string")
+    q, hits = spark.createDataFrame(ASKED, "qid long, query string"), spark.createDataFrame([(0, 1), (0, 3), (1, 4), (2, 6), (4, 1)], "qid long, id long")
+    out = R.best_chunks(hits, f, q)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner", plan.index("Join Inner") + 1) :]  # the inner one: texts and hits
+    assert "transform(" not in joined and "chars" not in joined
+    assert sorted((r["qid"], r["id"], r["chunk_text"]) for r in out.collect()) == [(0, 1, FILES[0][2]), (1, 4, FILES[3][2]), (4, 1, FILES[0][2])]  # those without a text have no chunk
