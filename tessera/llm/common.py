@@ -75,6 +75,10 @@ def release() -> None:
         gc.collect()
 
 
+#: Edges that one task reads in a round of components(), about.
+EDGES = 1 << 16
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, component), component the smallest node.
 
@@ -85,6 +89,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("u is not null and v is not null and u <> v").distinct()
     e, before = cut(e), None
     for _ in range(max_rounds):
+        if before:  # edges don't grow in number, and few of them need few tasks and files
+            e = e.coalesce(before[0] // EDGES + 1)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now[0] == 0 or now == before:
             break

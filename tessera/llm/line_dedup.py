@@ -26,6 +26,9 @@ BROADCAST_BYTES = 8 << 20
 #: Lines of a mixed band that one task compares with the band's lines outside the main component, about.
 BLOCK = 1024
 HASHES = 9
+#: Shingles that are hashed together, in generated code.
+STEP = 8
+HASHED = [f"h{i}" for i in range(STEP)]
 #: Three min-hashes each, any two of which are together in one: the lines of the affine plane of order three.
 BANDS = [tuple(3 * x + (slope * x + c) % 3 for x in range(3)) for slope in range(3) for c in range(3)] + [tuple(3 * x + y for y in range(3)) for x in range(3)]
 
@@ -41,19 +44,32 @@ def code_points(line: str) -> Column:
     return F.encode(F.lower(line), "UTF-16BE")
 
 
-def starts(points: str, characters: int = CHARACTERS) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(points) / 2 - characters).cast("int")))
-
-
 def shingle(points: Column, start: Column, characters: int = CHARACTERS) -> Column:
     return F.substring(points, start * 2 + 1, F.lit(2 * characters))
 
 
+def shingles(line: str, hashed_by=F.xxhash64) -> Column:
+    """The hashes of a line's shingles, from all places. The array of one binds the code points, which else were made for each place."""
+    firsts = lambda p: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(p) - (2 * CHARACTERS - 1)), F.lit(2))
+    each = lambda p: F.transform(firsts(p), lambda i: hashed_by(F.substring(p, i, F.lit(2 * CHARACTERS))))
+    return F.get(F.transform(F.array(code_points(line)), each), F.lit(0))
+
+
 def shingle_set(line: str) -> Column:
-    """The distinct 64-bit hashes of a line's shingles. The array of one binds the code points, which else were made for each place."""
-    last = lambda p: F.greatest(F.lit(0), (F.octet_length(p) / 2 - CHARACTERS).cast("int"))
-    each = lambda p: F.transform(F.sequence(F.lit(0), last(p)), lambda i: F.xxhash64(shingle(p, i)))
-    return F.array_distinct(F.get(F.transform(F.array(code_points(line)), each), F.lit(0)))
+    """The distinct 64-bit hashes of a line's shingles."""
+    return F.array_distinct(shingles(line))
+
+
+def hashed(rows: DataFrame, line: str) -> DataFrame:
+    """rows, once for every STEP places of a line: place, and instead of the line the columns h0, h1, ..., the hashes of its shingles from
+    there on. Where the line has no more, its last shingle is repeated, which changes no set and no least hash.
+
+    That is generated code; functions of arrays are interpreted, and take several times as long."""
+    kept = [c for c in rows.columns if c != line]
+    rows = rows.select(*kept, code_points(line).alias("points"))
+    last = F.greatest(F.lit(0), (F.octet_length("points") / 2 - CHARACTERS).cast("int"))
+    rows = rows.select("*", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(STEP))).alias("place"))
+    return rows.select(*kept, "place", *[F.xxhash64(shingle(F.col("points"), F.least(F.col("place") + i, F.col("last")))).alias(h) for i, h in enumerate(HASHED)])
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,12 +81,11 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(key, n, s0, s1, ...): each distinct line's 64-bit hash, how often it occurs, and its min-hashes. Should two different lines
     share a key, neither has a row."""
-    rows = lines.select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("check"), code_points("line").alias("points"))
-    rows = rows.select("key", "check", "points", F.explode(starts("points")).alias("i"))
-    rows = rows.select("key", "check", "i", F.xxhash64(shingle(F.col("points"), F.col("i"))).alias("h"))
+    rows = hashed(lines.select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("check"), "line"), "line")
     # The largest of the numbers is a min-hash too, that of the seed's complement.
-    least = [(F.max if i % 2 else F.min)(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{i}") for i, c in enumerate(x for c in seeds((HASHES + 1) // 2) for x in (c, c)) if i < HASHES]
-    grouped = rows.groupBy("key").agg(F.count(F.when(F.col("i") == 0, 1)).alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), *least)
+    both = [(f, each, c) for c in seeds((HASHES + 1) // 2) for f, each in ((F.min, F.least), (F.max, F.greatest))][:HASHES]
+    least = [f(each(*[h.bitwiseXOR(F.lit(c)) for h in map(F.col, HASHED)])).alias(f"s{i}") for i, (f, each, c) in enumerate(both)]
+    grouped = rows.groupBy("key").agg(F.count(F.when(F.col("place") == 0, 1)).alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), *least)
     return grouped.where("c0 = c1").select("key", "n", *[F.hash(f"s{i}").alias(f"s{i}") for i in range(HASHES)])
 
 
@@ -110,10 +125,10 @@ def banded(distinct: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(band, t, key, s0, ...): the rows of all bands of more than one line; t is the band's number among a line's."""
     names = [f"s{i}" for i in range(HASHES)]
     of = [F.xxhash64(F.lit(t), *[f"s{i}" for i in band]) for t, band in enumerate(BANDS)]
-    by_key = Window.partitionBy("band").orderBy("key")
+    # A window without an order sorts by one number alone, which costs a fraction of sorting by two.
     rows = distinct.select("key", F.explode(F.array(*of)).alias("band"))
-    rows = rows.select("key", "band", F.lag("key").over(by_key).alias("before"), F.lead("key").over(by_key).alias("after"))
-    rows = cut_table(rows.where("before is not null or after is not null").select("key", "band"), scratch)
+    rows = rows.withColumn("size", F.count("key").over(Window.partitionBy("band")))
+    rows = cut_table(rows.where("size > 1").select("key", "band"), scratch)
     number = F.coalesce(*[F.when(F.col("band") == h, F.lit(t)) for t, h in enumerate(of)])
     return cut_table(rows.join(distinct.select("key", *names), "key").select("band", number.alias("t"), "key", *names), scratch)
 
@@ -138,7 +153,7 @@ def linked(pairs: DataFrame, text: DataFrame, similarity: float, scratch: list[s
     ends = [text.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b")]
     # Sets of sizes further apart than the similarity can't have it.
     both = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    shared = F.size(F.array_intersect(shingle_set("line_a"), shingle_set("line_b")))
+    shared = F.size(F.array_intersect(shingles("line_a"), shingles("line_b")))
     # Written before the condition, which would compute the sets once for each time it names them.
     both = cut_table(both.select("a", "b", shared.alias("shared"), (F.col("n_a") + F.col("n_b")).alias("sizes")), scratch)
     return both.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -160,7 +175,8 @@ def exhausted(unsettled: DataFrame, text: DataFrame, similarity: float, scratch:
     Of each pair one line at least is outside its band's main component; the pair is tried in the first band that it shares. It is
     tried on 32-bit hashes inside the join, and what passes is verified on the whole sets.
     """
-    small = text.select("key", "n", F.transform(shingle_set("line"), lambda h: F.hash(h)).alias("h"))
+    held = text.join(unsettled.select("key").distinct(), "key", "left_semi")
+    small = held.select("key", "n", F.array_distinct(shingles("line", F.hash)).alias("h"))
     rows = unsettled.join(small, "key")
     x = rows.where("class <> main").select(*[F.col(c).alias(f"x_{c}") for c in rows.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x_block"))
     rows = rows.withColumn("block", F.pmod("key", "blocks"))
@@ -186,9 +202,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_, gone, cut_ = fresh(docs, "id", "removed", "cut")
     removed = duplicate_lines(docs, id_col, text_col).select(F.col(id_col).alias(id_), F.col("removed").alias(gone))
     joined = docs.join(removed, docs[id_col] == F.col(id_), "left")
-    lines = F.split(docs[text_col], "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    text = F.when(F.col(gone).isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")).otherwise(docs[text_col])
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n")
+    # The array of one binds the lines, which else were split off again for each place.
+    text = F.when(F.col(gone).isNotNull(), F.get(F.transform(F.array(F.split(docs[text_col], "\n", -1)), kept), F.lit(0))).otherwise(docs[text_col])
     # An array of one, exploded: what follows reads the text, and would make it again wherever it is moved before a plain column.
     out = joined.select(*[docs[c] for c in docs.columns if c != text_col], F.col(gone).isNotNull().alias(cut_), F.explode(F.array(text)).alias(text_col))
     if drop_emptied:

@@ -325,6 +325,20 @@ def test_lines_are_compared_by_every_character(spark):
     assert [len(r.s) for r in found] == [len(shingled(t)) for t in texts]
 
 
+def test_lines_are_split_and_hashed_once(spark):
+    """A text's lines aren't split off again for each line that stays, and blocks of hashes hold each shingle of a line and no other."""
+    texts = ["ab", "Measured temperature humidity pressure visibility 12 45 77", "x" * 300, "", "a\U0001f600" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = line_dedup.dedup_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "get(split(" not in plan
+    rows = line_dedup.hashed(df, "text")
+    sets = {r.doc_id: set(r.s) for r in df.select("doc_id", line_dedup.shingle_set("text").alias("s")).collect()}
+    got = defaultdict(set)
+    for r in rows.collect():
+        got[r.doc_id] |= {r[h] for h in line_dedup.HASHED}
+    assert got == sets and rows.count() == sum(-(-max(1, len(t.encode("utf-16-be")) // 2 - 9) // line_dedup.STEP) for t in texts)
+
+
 def test_topk_counts_every_row_of_an_id(spark):
     rows = [(5, [0.1, 0.0]), (5, [0.9, 0.9]), (5, [0.9, 0.9]), (7, [0.5, 0.5]), (100, [1.0, 1.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (200, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
