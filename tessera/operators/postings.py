@@ -63,14 +63,16 @@ class Index:
             rows = rows.join(live, (F.col("id") == F.col("live_id")) & (F.col("segment") == F.col("live_segment")), "left_semi")
         return rows
 
-    def met(self, names: DataFrame, *on: str) -> DataFrame:
+    def met(self, names: DataFrame, *on: str, seen: DataFrame | None = None) -> DataFrame:
         """The entries of the blocks that names asks for, dealt out by shard: as lists, which are short."""
-        blocks = self.table("blocks").select("word", "shard", "segment", "entries").join(names, list(on))
+        blocks = self.table("blocks").select("word", "shard", "segment", "entries")
+        blocks = blocks.join(names, list(on)) if seen is None else R.meet(blocks, names, seen)
         return self.entries(blocks.repartition(parts(self.spark, self.n_shards), "shard"))
 
-    def of_words(self, names: DataFrame) -> DataFrame:
-        """(word, shard, id, tf, dl, span, and what names has) of the words that names (word, ...) asks for."""
-        return self.met(names, "word")
+    def of_words(self, names: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+        """(word, shard, id, tf, dl, span, and what names has) of the words that names (word, ...) asks for. seen: as for retrieval.meet(), if
+        names may be many."""
+        return self.met(names, "word", seen=seen)
 
     def touched(self, changed: DataFrame) -> DataFrame:
         """The blocks of the shards that files (id) are dealt to; shards are few, so no block is shuffled for it."""

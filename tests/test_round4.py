@@ -1,3 +1,6 @@
+import random
+
+from tessera.operators import postings as P
 from tessera.operators import retrieval as R
 
 
@@ -11,3 +14,38 @@ def test_no_lane_is_asked_for_a_files_name(spark, monkeypatch):
     got = {(r.qid, r.id): r.score for r in R.search(files, queries, 10, n_queries=3, names=False).collect()}
     assert asked == {"bm25": {2, 3}, "trigram": {2, 3}}
     assert got[(1, 3)] == 5.0 and {id for q, id in got if q == 2} == {1, 3, 5, 7} and len([1 for q, _ in got if q == 3]) == 8
+
+
+def test_a_lane_without_weight_is_left_out(spark, monkeypatch):
+    files = spark.createDataFrame([(1, "/a/x.txt", "x.txt", "c", "en", "red apples"), (2, "/a/y.txt", "y.txt", "c", "en", "pineapples"), (3, "/a/z.txt", "z.txt", "c", "de", "apples")], "id long, path string, filename string, category string, matter_id string, content string")
+    queries, asked = spark.createDataFrame([(1, "apple")], "qid long, query string"), []
+    for name in ("bm25", "trigram"):
+        lane = getattr(R, name)
+        monkeypatch.setattr(R, name, lambda *files, lane=lane, name=name, **more: asked.append(name) or lane(*files, **more))
+    for mode, lanes, found in (("bm25_only", ["bm25"], {1}), ("trigram_only", ["trigram"], {1, 2}), ("hybrid", ["bm25", "trigram"], {1, 2})):
+        asked.clear()
+        got = R.search(files, queries, 10, mode=mode, matter_id="en", n_queries=1, names=False).collect()
+        assert asked == lanes and {r.id for r in got} == found
+
+
+def test_many_names_meet_texts_without_a_shuffle_of_common_words(spark, tmp_path, monkeypatch):
+    draw = random.Random(4)
+    words = [a + b + c for a in "abcd" for b in "aeio" for c in ("ns", "rt", "ning", "rted")]
+    text = lambda: " ".join(words[min(int(draw.expovariate(0.15)), len(words) - 1)] for _ in range(60))
+    files = spark.createDataFrame([(i, f"/a/{i}.txt", f"{i}.txt", "m", text()) for i in range(50)], "id long, path string, filename string, matter_id string, content string")
+    queries = spark.createDataFrame([(1, "a b ain"), (2, "cor dart ans bert"), (3, "ning")], "qid long, query string")
+    index = P.Index.create(files, str(tmp_path), per_shard=9)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    lanes = [(R.bm25, {}), (R.bm25, {"stemmed": True}), (R.trigram, {}), (R.bm25, {"index": index}), (R.trigram, {"index": index})]
+    before = [rows(lane(files, queries, 9, n_queries=3, **more)) for lane, more in lanes]
+    assert all(before)
+    monkeypatch.setattr(R, "KEYS", 12)
+    assert [rows(lane(files, queries, 9, n_queries=3, **more)) for lane, more in lanes] == before
+    for lane, more in lanes[:3]:
+        met = []
+        monkeypatch.setattr(R, "kept", lambda df: met.append(df) or df)
+        lane(files, queries, 9, n_queries=3, **more)
+        monkeypatch.undo()
+        monkeypatch.setattr(R, "KEYS", 12)
+        plan = met[-1]._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and plan.index("HashAggregate") < plan.index("Union") and "Exchange" not in plan[: plan.index("Union")]
