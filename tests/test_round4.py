@@ -79,3 +79,14 @@ def test_code_scores_do_not_shuffle_texts_for_common_words_or_whole_queries(spar
             assert {(r.qid, r.id): round(r.score, 6) for r in got.collect()} == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_searches_make_no_index(spark, monkeypatch):
+    from tessera.plans import text_queries as Q
+
+    def made(spark, d):
+        raise AssertionError("an index of all texts is made")
+
+    monkeypatch.setattr(Q, "_index", made)
+    for name in ("fused_search", "text_search"):
+        assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 100
